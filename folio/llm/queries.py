@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, toxicity, warc
+from . import mixing, simhash, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("h")
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every near copy among the documents, with the document that stays for it."""
+    return simhash.groups(table(spark, sf_dir, "documents")).select("doc_id", "kept_id")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages, written as WARC files and read back by byte ranges."""
     return warc.round_trip(table(spark, sf_dir, "pages"))
@@ -30,7 +35,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mix_sources, op8_warc, op9_toxicity)}
+    return {f.__name__: f for f in (op2_mix_sources, op7_simhash, op8_warc, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
