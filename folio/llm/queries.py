@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, simhash, toxicity, warc
+from . import bpe, mixing, simhash, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of every document, and its text decoded from them."""
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in the order of the production mix, up to half of all tokens."""
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("h")
@@ -35,7 +40,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mix_sources, op7_simhash, op8_warc, op9_toxicity)}
+    return {f.__name__: f for f in (op1_bpe, op2_mix_sources, op7_simhash, op8_warc, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
