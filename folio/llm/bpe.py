@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from . import kernel
 
@@ -479,7 +480,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", out: st
                     lists = pa.ListArray.from_arrays(lists.offsets, lists.values, mask=texts.is_null())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), lists], names=[*keep, out])
 
-    schema = rows.drop(source).schema.add(out, "array<int>")
+    schema = rows.drop(source).schema.add(out, ArrayType(IntegerType()))
     return rows.mapInArrow(apply, schema)
 
 
