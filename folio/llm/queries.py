@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lattice, mixing, simhash, toxicity, warc
+from . import bpe, lattice, mixing, simhash, suffixes, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("h")
 
 
+def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of the documents that has occurred before, and where."""
+    return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op6_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The marginal log probability of every document, by a model of all of them."""
     return lattice.score_corpus(table(spark, sf_dir, "documents"))
@@ -45,7 +50,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_mix_sources, op6_lattice, op7_simhash, op8_warc, op9_toxicity)}
+    return {f.__name__: f for f in (op1_bpe, op2_mix_sources, op5_suffixes, op6_lattice, op7_simhash, op8_warc, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
