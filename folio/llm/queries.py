@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lattice, mixing, simhash, suffixes, toxicity, warc
+from . import bpe, debruijn, lattice, mixing, simhash, suffixes, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,8 +49,13 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(docs, docs, table(spark, sf_dir, "labels"))
 
 
+def op10_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every repeated span of the documents, with the paths it goes along."""
+    return debruijn.repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_mix_sources, op5_suffixes, op6_lattice, op7_simhash, op8_warc, op9_toxicity)}
+    return {f.__name__: f for f in (op1_bpe, op2_mix_sources, op5_suffixes, op6_lattice, op7_simhash, op8_warc, op9_toxicity, op10_debruijn)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -55,8 +55,8 @@ class Stretches:
     key: np.ndarray  # hash of the minimizer
     at: np.ndarray  # its place in the stretch
     body: np.ndarray  # hash of all words
-    before: np.ndarray  # hash of the word before the stretch, 0 where the text begins
-    after: np.ndarray
+    before: np.ndarray  # hash of the first window and the word before it, 0 where the text begins
+    after: np.ndarray  # of the last and the word after it
 
     @staticmethod
     def of(texts: pa.Array) -> Stretches:
@@ -81,8 +81,10 @@ class Stretches:
         end = start + windows + WIDTH - 1
         row = rows[start]
         body = kernel.mix(kernel.Prefix(words.hashes, SECOND_BASE).slices(start, end) + windows.astype(np.uint64))
-        before = np.where(start > words.first[row], words.hashes[np.maximum(start - 1, 0)], np.uint64(0))
-        after = np.where(end < words.first[row + 1], words.hashes[np.minimum(end, n - 1)], np.uint64(0))
+        # Runs of WIDTH + 1 words that lead into the stretch and out of it.
+        into, out = start > words.first[row], end < words.first[row + 1]
+        before = np.where(into, kernel.mix(whole.slices(np.maximum(start - 1, 0), start + WIDTH)), np.uint64(0))
+        after = np.where(out, kernel.mix(whole.slices(end - WIDTH, np.minimum(end + 1, n))), np.uint64(0))
         return Stretches(words, row, start, windows, grams[place[start]], place[start] - start, body, before, after)
 
 
@@ -123,7 +125,7 @@ class Repeats:
 
     occurrences: (key, body, id, text_key, start, windows), each place once.
     kinds: one row for each (key, body): the first of its places, how many there are, whether
-    the minimizer has other kinds (many), and the least and largest words before and after.
+    the minimizer has other kinds (many), and the least and largest hash before and after.
     """
 
     occurrences: DataFrame
@@ -135,7 +137,8 @@ def repeats(docs: DataFrame) -> Repeats:
     # Partial aggregation leaves one row a task of a passage however many copies it has.
     often = every.groupBy("key").agg(F.min(place()).alias("first"), F.max(place()).alias("last"), F.min("body").alias("b0"), F.max("body").alias("b1")).where("first <> last")
     often = often.select(F.col("key").alias("often_key"), (F.col("b0") != F.col("b1")).alias("many"))
-    some = kernel.cut(every.join(often, F.col("key") == F.col("often_key")).drop("often_key"))
+    some = every.join(often, F.col("key") == F.col("often_key")).drop("often_key")
+    some = kernel.cut(some.dropDuplicates(["key", "id", "text_key", "start"]))  # rows equal in id and text are one
     kinds = some.groupBy("key", "body").agg(
         F.min(place()).alias("first"), F.count("*").alias("copies"), F.first("windows").alias("windows"), F.first("many").alias("many"),
         *(f(c).alias(f"{c}_{n}") for c in ("before", "after") for n, f in (("least", F.min), ("most", F.max))),
