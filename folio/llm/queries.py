@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, debruijn, lattice, mixing, simhash, suffixes, toxicity, warc
+from . import bpe, debruijn, embeddings, lattice, mixing, simhash, sketches, suffixes, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,16 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("h")
 
 
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every near copy among the vectors, with the one that stays for it."""
+    return embeddings.groups(table(spark, sf_dir, "embeddings"))
+
+
+def op4_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sketch of every document, and what it estimates."""
+    return sketches.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every passage of the documents that has occurred before, and where."""
     return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
@@ -55,8 +65,8 @@ def op10_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_mix_sources, op5_suffixes, op6_lattice, op7_simhash, op8_warc, op9_toxicity, op10_debruijn)}
+    return {f.__name__: f for f in (op1_bpe, op2_mix_sources, op3_embeddings, op4_sketches, op5_suffixes, op6_lattice, op7_simhash, op8_warc, op9_toxicity, op10_debruijn)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": mixing.oracle_sql(), "op8_warc": "SELECT page_id, url, html FROM pages"}
+    return {"op2_mix_sources": mixing.oracle_sql(), "op3_embeddings": embeddings.oracle_sql(), "op8_warc": "SELECT page_id, url, html FROM pages"}
