@@ -32,6 +32,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
@@ -477,7 +478,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", out: st
                 tokens, counts = encoder.flat(texts)
                 lists = kernel.ragged(tokens, counts, pa.int32())
                 if texts.null_count:
-                    lists = pa.ListArray.from_arrays(lists.offsets, lists.values, mask=texts.is_null())
+                    lists = pc.if_else(texts.is_null(), None, lists)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), lists], names=[*keep, out])
 
     schema = rows.drop(source).schema.add(out, ArrayType(IntegerType()))
@@ -497,7 +498,7 @@ def decode(docs: DataFrame, path: str | None = None, tokens: str = "tokens", out
                 raise ValueError("a token number is null or unknown")
             texts = model.value.decode(values, counts).cast(pa.string())
             if lists.null_count:
-                texts = pa.array([None if null else t for null, t in zip(lists.is_null().to_pylist(), texts.to_pylist(), strict=True)], pa.string())
+                texts = pc.if_else(lists.is_null(), None, texts)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), texts], names=[*keep, out])
 
     schema = docs.select(*(f"`{c.replace('`', '``')}`" for c in keep)).schema.add(out, "string")
@@ -505,5 +506,19 @@ def decode(docs: DataFrame, path: str | None = None, tokens: str = "tokens", out
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, tokens, decoded) of every document."""
-    return decode(encode(docs.select("doc_id", "text"), path, keep=["doc_id"]), path)
+    """(doc_id, tokens, decoded) of every document: encode() and decode(), with their defined cases, in one task."""
+    model = docs.sparkSession.sparkContext.broadcast(automaton(path))
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(model.value)
+        for batch in batches:
+            for part in kernel.pieces(batch, "text"):
+                texts = part.column("text")
+                tokens, counts = encoder.flat(texts)
+                lists, decoded = kernel.ragged(tokens, counts, pa.int32()), model.value.decode(tokens, counts).cast(pa.string())
+                if texts.null_count:
+                    lists, decoded = pc.if_else(texts.is_null(), None, lists), pc.if_else(texts.is_null(), None, decoded)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, decoded], names=["doc_id", "tokens", "decoded"])
+
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(apply, rows.drop("text").schema.add("tokens", ArrayType(IntegerType())).add("decoded", "string"))
