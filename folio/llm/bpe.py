@@ -35,7 +35,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from . import kernel
 
@@ -481,8 +481,8 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", out: st
                     lists = pc.if_else(texts.is_null(), None, lists)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), lists], names=[*keep, out])
 
-    schema = rows.drop(source).schema.add(out, ArrayType(IntegerType()))
-    return rows.mapInArrow(apply, schema)
+    schema = StructType([f for f in rows.schema if f.name != source]).add(out, ArrayType(IntegerType()))
+    return kernel.map_rows(rows, apply, schema)
 
 
 def decode(docs: DataFrame, path: str | None = None, tokens: str = "tokens", out: str = "decoded") -> DataFrame:
@@ -502,7 +502,7 @@ def decode(docs: DataFrame, path: str | None = None, tokens: str = "tokens", out
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), texts], names=[*keep, out])
 
     schema = docs.select(*(f"`{c.replace('`', '``')}`" for c in keep)).schema.add(out, "string")
-    return docs.mapInArrow(apply, schema)
+    return kernel.map_rows(docs, apply, schema)
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -11,11 +11,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructField, StructType
 
 CHUNK_BYTES = 2_000_000
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
@@ -164,5 +165,17 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return [n if n.lower() not in taken else f"{n}_{uuid.uuid5(uuid.NAMESPACE_OID, n).hex[:12]}" for n in names]
 
 
+def map_rows(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
+    """df.mapInArrow(work, schema) for column names of any kind, dots included, which mapInArrow itself can't take."""
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in work(b.rename_columns(names) for b in batches):
+            yield out.rename_columns([f"d{i}" for i in range(out.num_columns)])
+
+    numbered = StructType([StructField(f"d{i}", f.dataType) for i, f in enumerate(schema)])
+    return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(run, numbered).toDF(*(f.name for f in schema))
+
+
 def tokenizer_file(name: str) -> str:
     return os.path.join(os.environ.get("FOLIO_TOKENIZERS", "/opt/tokenizers"), name)

@@ -221,4 +221,4 @@ def drop_repeated(docs: DataFrame) -> DataFrame:
                         out[counts] = pa.array(sizes, out[counts].type)
                 yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
-    return joined.mapInArrow(rewrite, schema)
+    return kernel.map_rows(joined, rewrite, schema)

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from . import kernel
 
@@ -159,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 def score(docs: DataFrame, machine: Machine, out: tuple[str, str] = ("toxicity", "toxic"), threshold: float = THRESHOLD) -> DataFrame:
     """docs, with the score and the verdict of each row. One pass, nothing shuffled."""
     model = docs.sparkSession.sparkContext.broadcast(machine)
-    schema = ", ".join([f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema] + [f"`{out[0]}` double", f"`{out[1]}` boolean"])
+    schema = StructType([*docs.schema.fields, StructField(out[0], DoubleType()), StructField(out[1], BooleanType())])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,7 +168,7 @@ def score(docs: DataFrame, machine: Machine, out: tuple[str, str] = ("toxicity",
                 p = model.value.score(part.column("text"))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p), pa.array(p >= threshold)], names=[*part.schema.names, *out])
 
-    return docs.mapInArrow(apply, schema)
+    return kernel.map_rows(docs, apply, schema)
 
 
 def classify(docs: DataFrame, training: DataFrame, labels: DataFrame) -> DataFrame:
