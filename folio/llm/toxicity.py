@@ -99,20 +99,26 @@ def fit(lists: list[np.ndarray], toxic: np.ndarray, seed: int = 7) -> Machine:
     none = Machine(np.zeros(0, np.int64), -10.0, np.zeros(0), np.zeros((0, FACTORS)))
     if not positive or positive == n:
         return none
-    rows = np.repeat(np.arange(n), [len(x) for x in lists])
-    terms = np.concatenate(lists) if n else np.zeros(0, np.int64)
+    sizes = [len(x) for x in lists]
+    terms = np.concatenate(lists)
     have = np.bincount(terms, minlength=BUCKETS)
-    bad = np.bincount(terms, toxic[rows], BUCKETS)
-    odds = np.log((bad + 0.5) / (positive - bad + 0.5)) - np.log((have - bad + 0.5) / (n - positive - have + bad + 0.5))
-    error = np.sqrt(1 / (bad + 0.5) + 1 / (positive - bad + 0.5) + 1 / (have - bad + 0.5) + 1 / (n - positive - have + bad + 0.5))
-    z = np.where((have >= MIN_DOCS) & (np.abs(odds) >= np.log(MIN_LIFT)), np.abs(odds / error), 0)
-    buckets = np.sort(np.argsort(-z, kind="stable")[:MAX_TERMS])
-    buckets = buckets[z[buckets] >= MIN_Z]
+    bad = np.bincount(terms[np.repeat(toxic > 0, sizes)], minlength=BUCKETS)
+    often = np.flatnonzero(have >= MIN_DOCS)
+    have, bad = have[often], bad[often]
+    sides = (bad + 0.5, positive - bad + 0.5, have - bad + 0.5, n - positive - have + bad + 0.5)
+    odds = np.log(sides[0] / sides[1]) - np.log(sides[2] / sides[3])
+    z = np.where(np.abs(odds) >= np.log(MIN_LIFT), np.abs(odds) / np.sqrt(sum(1 / x for x in sides)), 0)
+    best = np.sort(np.argsort(-z, kind="stable")[:MAX_TERMS])
+    best = best[z[best] >= MIN_Z]
+    buckets, odds = often[best], odds[best]
     if not len(buckets):
         return none
-    keep = np.isin(terms, buckets)
-    rows, at = rows[keep], np.searchsorted(buckets, terms[keep])
-    start = np.concatenate([[np.log(positive / (n - positive))], np.clip(odds[buckets], -3, 3) * 0.3])
+    chosen = np.zeros(BUCKETS, bool)
+    chosen[buckets] = True
+    keep = np.flatnonzero(chosen[terms])
+    rows, at = np.searchsorted(np.cumsum(sizes), keep, "right"), np.searchsorted(buckets, terms[keep])
+    del terms, keep, chosen
+    start = np.concatenate([[np.log(positive / (n - positive))], np.clip(odds, -3, 3) * 0.3])
     made = np.random.default_rng(seed)
     b, w, v = start[:1].copy(), start[1:].copy(), made.normal(0, 0.02, (len(buckets), FACTORS))
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in (b, w, v)]
@@ -154,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     values, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy()
     order = sorted(range(len(lists)), key=lambda i: (ends[i + 1] - ends[i], values[ends[i] : ends[i + 1]].tobytes()))  # the same whatever order tasks end in
     toxic = table.column("toxic").to_numpy().astype(float)
-    return fit([values[ends[i] : ends[i + 1]].astype(np.int64) for i in order], toxic[order])
+    return fit([values[ends[i] : ends[i + 1]] for i in order], toxic[order])
 
 
 def score(docs: DataFrame, machine: Machine, out: tuple[str, str] = ("toxicity", "toxic"), threshold: float = THRESHOLD) -> DataFrame:
