@@ -66,6 +66,8 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
                     out.write(member)
                     n += 1
                     size += len(member)
+        if system.get_file_info(name).type != fs.FileType.NotFound:  # of an attempt that ended but whose executor was lost
+            system.delete_file(name)
         system.move(draft, name)
         yield pa.RecordBatch.from_pydict({"file": [name.rsplit("/", 1)[1]], "records": [n], "bytes": [size]})
 
