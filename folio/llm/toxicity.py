@@ -20,7 +20,8 @@ from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from . import kernel
 
-BUCKETS = 1 << 22
+BUCKETS = 1 << 31  # so many that a very long text hardly meets a chosen one by chance
+SIEVE = 1 << 22
 PREFIXES = (3, 4, 5, 6, 7, 8)
 #: At most so many labelled documents train the machine: those with the least digests of their ids.
 SAMPLE_ROWS = 12_000
@@ -71,10 +72,12 @@ class Machine:
         n = len(texts)
         total = np.full(n, self.bias)
         if len(self.buckets):
-            known = np.zeros(BUCKETS, bool)
-            known[self.buckets] = True
+            sieve = np.zeros(SIEVE, bool)
+            sieve[self.buckets % SIEVE] = True
             rows, terms = term_buckets(texts)
-            hit = known[terms]
+            hit = np.flatnonzero(sieve[terms % SIEVE])
+            at = np.minimum(np.searchsorted(self.buckets, terms[hit]), len(self.buckets) - 1)
+            hit = hit[self.buckets[at] == terms[hit]]
             rows, at = distinct(rows[hit], np.searchsorted(self.buckets, terms[hit]), len(self.buckets))
             total += machine_sum(rows, at, n, self.weights, self.factors)[0]
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
@@ -101,23 +104,25 @@ def fit(lists: list[np.ndarray], toxic: np.ndarray, seed: int = 7) -> Machine:
         return none
     sizes = [len(x) for x in lists]
     terms = np.concatenate(lists)
-    have = np.bincount(terms, minlength=BUCKETS)
-    bad = np.bincount(terms[np.repeat(toxic > 0, sizes)], minlength=BUCKETS)
-    often = np.flatnonzero(have >= MIN_DOCS)
-    have, bad = have[often], bad[often]
+    known, have = np.unique(terms, return_counts=True)
+    known, have = known[have >= MIN_DOCS], have[have >= MIN_DOCS]
+    bad_terms, bad_counts = np.unique(terms[np.repeat(toxic > 0, sizes)], return_counts=True)
+    at = np.minimum(np.searchsorted(bad_terms, known), len(bad_terms) - 1)
+    bad = np.where(bad_terms[at] == known, bad_counts[at], 0) if len(bad_terms) else np.zeros(len(known), np.int64)
     sides = (bad + 0.5, positive - bad + 0.5, have - bad + 0.5, n - positive - have + bad + 0.5)
     odds = np.log(sides[0] / sides[1]) - np.log(sides[2] / sides[3])
     z = np.where(np.abs(odds) >= np.log(MIN_LIFT), np.abs(odds) / np.sqrt(sum(1 / x for x in sides)), 0)
     best = np.sort(np.argsort(-z, kind="stable")[:MAX_TERMS])
     best = best[z[best] >= MIN_Z]
-    buckets, odds = often[best], odds[best]
+    buckets, odds = known[best].astype(np.int64), odds[best]
     if not len(buckets):
         return none
-    chosen = np.zeros(BUCKETS, bool)
-    chosen[buckets] = True
-    keep = np.flatnonzero(chosen[terms])
+    near = np.zeros(SIEVE, bool)
+    near[buckets % SIEVE] = True
+    keep = np.flatnonzero(near[terms % SIEVE])
+    keep = keep[np.isin(terms[keep], buckets)]
     rows, at = np.searchsorted(np.cumsum(sizes), keep, "right"), np.searchsorted(buckets, terms[keep])
-    del terms, keep, chosen
+    del terms, keep, near
     start = np.concatenate([[np.log(positive / (n - positive))], np.clip(odds, -3, 3) * 0.3])
     made = np.random.default_rng(seed)
     b, w, v = start[:1].copy(), start[1:].copy(), made.normal(0, 0.02, (len(buckets), FACTORS))
