@@ -41,7 +41,8 @@ def repair_plan(pages: DataFrame) -> DataFrame:
     number reaches them.
     """
     said = text.stored_page_number(F.col("original_filename"))
-    marked = pages.withColumn("said", said).withColumn("too_large", text.too_large_number(F.col("original_filename")))
+    # By document once: windows within a document and a number need no other partitioning.
+    marked = pages.repartition("document_id").withColumn("said", said).withColumn("too_large", text.too_large_number(F.col("original_filename")))
     marked = marked.withColumn("moves", F.coalesce(F.col("said") != F.col("page_number"), F.lit(False)))
     document = Window.partitionBy("document_id")
     marked = marked.withColumn("final", F.when(F.col("moves"), F.col("said")).otherwise(F.col("page_number")))

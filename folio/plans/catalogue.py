@@ -228,6 +228,14 @@ def title_from_name(s: SparkSession, d: str) -> DataFrame:
     return upload_files(s, d).select("pos", text.title_from_name(F.col("name")).alias("title"))
 
 
+@query(f"WITH {FILES} SELECT f.pos, 'Demo: ' || {_stem('name')} || ' - ' || p_brand AS title FROM f JOIN part ON p_partkey = pos WHERE starts_with('Demo: ' || {_stem('name')} || ' - ' || p_brand, 'Demo: small')")
+def sample_titles(s: SparkSession, d: str) -> DataFrame:
+    """Titles of samples, found again by their beginning."""
+    described = upload_files(s, d).join(table(s, d, "part").select("p_partkey", "p_brand"), F.col("pos") == F.col("p_partkey"))
+    titled = described.select("pos", text.sample_title(F.concat(F.lit("samples/"), F.col("name")), F.col("p_brand")).alias("title"))
+    return titled.where(F.startswith("title", F.lit("Demo: small")))
+
+
 @query(f"""WITH {FILES}, v AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY pos) AS place FROM f WHERE lower({_EXT.format(n="name")}) IN ('.pdf', '.jpg', '.jpeg', '.png', '.tiff', '.tif')),
   n AS (SELECT *, coalesce({_upload_number("name")}, place) AS page_number, first_value(name) OVER (PARTITION BY batch ORDER BY pos) AS first FROM v)
   SELECT batch, {_title("first")} AS title, page_number::INTEGER AS page_number, (row_number() OVER (PARTITION BY batch ORDER BY page_number, pos))::INTEGER AS page_order, name FROM n""")

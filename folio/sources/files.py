@@ -21,6 +21,11 @@ def page_files(spark: SparkSession, folder: str) -> DataFrame:
     return found.where(text.accepted(text.basename(F.col("path")), EXTENSIONS))
 
 
+def sample_files(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
+    """page_files() of the given names; those that are missing are passed over, a missing folder is an error."""
+    return page_files(spark, folder).where(text.basename(F.col("path")).isin(names))
+
+
 def jdbc_table(spark: SparkSession, url: str, name: str, key: str | None = None, least: int | None = None, most: int | None = None, parts: int = 8, **options: str) -> DataFrame:
     """A relational table; read in parts where a numeric key and its range are given."""
     reader = spark.read.format("jdbc").options(url=url, dbtable=name, **options)

@@ -124,6 +124,7 @@ def test_files(spark, tmp_path):
     for n in ("a_001.pdf", "b.JPG", "c.txt"):
         (tmp_path / n).write_bytes(n.encode())
     assert sorted(r.path.rsplit("/", 1)[1] for r in files.page_files(spark, str(tmp_path)).collect()) == ["a_001.pdf", "b.JPG"]
+    assert files.sample_files(spark, str(tmp_path), ["b.JPG", "gone.pdf"]).count() == 1
 
 
 def test_queue(spark, page_rows, tmp_path):
