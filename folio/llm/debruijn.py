@@ -93,6 +93,7 @@ def paths(segments: DataFrame) -> DataFrame:
         on = now.where("path <> segment").select(F.col("segment").alias("path"), F.col("path").alias("further"), F.col("distance").alias("more"))
         after = kernel.cut(now.join(on, "path", "left").select("segment", F.coalesce("further", "path").alias("path"), (F.col("distance") + F.coalesce("more", F.lit(0))).alias("distance"), F.col("further").isNotNull().alias("moved")))
         now = after.drop("moved")
+        kernel.release(segments.sparkSession)
         if after.where("moved").isEmpty():
             break
     sized = now.join(segments.select("segment", "nodes"), "segment")
@@ -110,6 +111,7 @@ def path_occurrences(docs: DataFrame) -> DataFrame:
 
     alike = found.kinds.where("not many").select("key", "body", F.lit(0).alias("j0"), F.col("windows").alias("j1"), F.xxhash64("key", "body").alias("segment"), only("before").alias("way_in"), only("after").alias("way_out"), "copies")
     placed = kernel.cut(compared.unionByName(alike))
+    kernel.release(docs.sparkSession)
     segments = placed.groupBy("segment").agg(F.first(F.col("j1") - F.col("j0")).cast("long").alias("nodes"), F.first("way_in").alias("way_in"), F.first("way_out").alias("way_out"))
     known = paths(kernel.cut(segments))
     located = placed.join(known, "segment").select("key", "body", "j0", "j1", "path", "distance", "length", "copies")

@@ -1,13 +1,14 @@
 """Vectorised byte-level text primitives shared by the operators of this subpackage.
 
 Everything here works on one Arrow string array at a time, as flat NumPy buffers, and
-holds a few megabytes of text at once however large the batch is. A null text is an empty
+holds about a megabyte of text at once however large the batch is. A null text is an empty
 one. Words are runs of bytes other than blank, tab, newline, vertical tab, form feed and
 carriage return.
 """
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -16,9 +17,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 WORD_BASE = 0xD1342543DE82EF95
 SPACE = np.zeros(256, bool)
@@ -159,6 +161,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Has Spark's cleaner remove shuffle files and checkpoints that nothing refers to any more, which else waits for the driver to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def small(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """df, computed once, and marked for broadcast if it has at most so many rows; beyond that the join shuffles."""
+    done = cut(df)
+    return F.broadcast(done) if done.limit(rows + 1).count() <= rows else done
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like these that clash with none of df, in any letter case."""
     taken = {c.lower() for c in df.columns}

@@ -143,7 +143,10 @@ def repeats(docs: DataFrame) -> Repeats:
         F.min(place()).alias("first"), F.count("*").alias("copies"), F.first("windows").alias("windows"), F.first("many").alias("many"),
         *(f(c).alias(f"{c}_{n}") for c in ("before", "after") for n, f in (("least", F.min), ("most", F.max))),
     )
-    return Repeats(some.select("key", "body", "id", "text_key", "start", "windows"), kernel.cut(kinds.select("key", "body", "first.*", "copies", "windows", "many", "before_least", "before_most", "after_least", "after_most")))
+    found = Repeats(some.select("key", "body", "id", "text_key", "start", "windows"), kernel.cut(kinds.select("key", "body", "first.*", "copies", "windows", "many", "before_least", "before_most", "after_least", "after_most")))
+    del every, often, some, kinds
+    kernel.release(docs.sparkSession)
+    return found
 
 
 def with_text(kinds: DataFrame, docs: DataFrame, extra: list[str]) -> DataFrame:
