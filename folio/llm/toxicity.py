@@ -92,37 +92,37 @@ def machine_sum(rows: np.ndarray, at: np.ndarray, n: int, weights: np.ndarray, f
     return out, sums
 
 
-def fit(lists: list[np.ndarray], toxic: np.ndarray, seed: int = 7) -> Machine:
-    """A machine from the distinct term buckets of each document and its label (0 or 1).
+def evidence(have, bad, n, positive, log, sqrt):
+    """Log odds of a term in toxic against other documents, and its standard error; of arrays or columns."""
+    a, b, c, d = bad + 0.5, positive - bad + 0.5, have - bad + 0.5, n - positive - have + bad + 0.5
+    return log(a / b) - log(c / d), sqrt(1 / a + 1 / b + 1 / c + 1 / d)
 
-    Terms are chosen for their odds: in enough documents, and far enough more or less often in
-    toxic ones. Without documents of both kinds the machine calls nothing toxic.
-    """
+
+def fit(lists: list[np.ndarray], toxic: np.ndarray, seed: int = 7) -> Machine:
+    """train() of documents in memory, from the distinct term buckets of each and its label (0 or 1)."""
     n, positive = len(lists), int(toxic.sum())
-    none = Machine(np.zeros(0, np.int64), -10.0, np.zeros(0), np.zeros((0, FACTORS)))
     if not positive or positive == n:
-        return none
-    sizes = [len(x) for x in lists]
-    terms = np.concatenate(lists)
-    known, have = np.unique(terms, return_counts=True)
-    known, have = known[have >= MIN_DOCS], have[have >= MIN_DOCS]
-    bad_terms, bad_counts = np.unique(terms[np.repeat(toxic > 0, sizes)], return_counts=True)
-    at = np.minimum(np.searchsorted(bad_terms, known), len(bad_terms) - 1)
-    bad = np.where(bad_terms[at] == known, bad_counts[at], 0) if len(bad_terms) else np.zeros(len(known), np.int64)
-    sides = (bad + 0.5, positive - bad + 0.5, have - bad + 0.5, n - positive - have + bad + 0.5)
-    odds = np.log(sides[0] / sides[1]) - np.log(sides[2] / sides[3])
-    z = np.where(np.abs(odds) >= np.log(MIN_LIFT), np.abs(odds) / np.sqrt(sum(1 / x for x in sides)), 0)
+        return nothing()
+    sizes, terms = [len(x) for x in lists], np.concatenate(lists)
+    known, at, have = np.unique(terms, return_inverse=True, return_counts=True)
+    bad = np.bincount(at, np.repeat(toxic, sizes), len(known))
+    odds, error = evidence(have, bad, n, positive, np.log, np.sqrt)
+    z = np.where((have >= MIN_DOCS) & (np.abs(odds) >= np.log(MIN_LIFT)), np.abs(odds) / error, 0)
     best = np.sort(np.argsort(-z, kind="stable")[:MAX_TERMS])
     best = best[z[best] >= MIN_Z]
-    buckets, odds = known[best].astype(np.int64), odds[best]
+    return learn([x[np.isin(x, known[best])] for x in lists], toxic, known[best].astype(np.int64), odds[best], seed)
+
+
+def nothing() -> Machine:
+    return Machine(np.zeros(0, np.int64), -10.0, np.zeros(0), np.zeros((0, FACTORS)))
+
+
+def learn(lists: list[np.ndarray], toxic: np.ndarray, buckets: np.ndarray, odds: np.ndarray, seed: int = 7) -> Machine:
+    """The machine over chosen buckets, from those that each document has."""
+    n, positive = len(lists), int(toxic.sum())
     if not len(buckets):
-        return none
-    near = np.zeros(SIEVE, bool)
-    near[buckets % SIEVE] = True
-    keep = np.flatnonzero(near[terms % SIEVE])
-    keep = keep[np.isin(terms[keep], buckets)]
-    rows, at = np.searchsorted(np.cumsum(sizes), keep, "right"), np.searchsorted(buckets, terms[keep])
-    del terms, keep, near
+        return nothing()
+    rows, at = np.repeat(np.arange(n), [len(x) for x in lists]), np.searchsorted(buckets, np.concatenate(lists))
     start = np.concatenate([[np.log(positive / (n - positive))], np.clip(odds, -3, 3) * 0.3])
     made = np.random.default_rng(seed)
     b, w, v = start[:1].copy(), start[1:].copy(), made.normal(0, 0.02, (len(buckets), FACTORS))
@@ -141,16 +141,21 @@ def fit(lists: list[np.ndarray], toxic: np.ndarray, seed: int = 7) -> Machine:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Machine:
-    """Fits on at most sample_rows labelled documents, a bound on what reaches the driver.
+    """Fits on at most sample_rows labelled documents.
+
+    Terms are chosen for their odds: in enough documents, and far enough more or less often in
+    toxic ones. They are counted where the documents are; what reaches the driver are the
+    chosen ones, MAX_TERMS at most, and which of them each document has.
 
     Labels of no document, null labels and null ids are left out; a document labelled twice
-    is toxic if any label says so, and rows that share an id share its label.
+    is toxic if any label says so, and rows that share an id share its label. Without documents
+    of both kinds the machine calls nothing toxic.
     """
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
         .groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
         .orderBy(F.md5(F.col("doc_id").cast("string"))).limit(sample_rows)
-    )
+    )
     # Bounded by sample_rows, so safe to broadcast at any size; the texts aren't shuffled.
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
 
@@ -160,12 +165,29 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
                 rows, values = distinct(*term_buckets(part.column("text")), BUCKETS)
                 yield pa.RecordBatch.from_arrays([part.column("toxic"), kernel.ragged(values.astype(np.int32), np.bincount(rows, minlength=part.num_rows), pa.int32())], names=["toxic", "terms"])
 
-    table = sample.mapInArrow(terms, "toxic int, terms array<int>").toArrow()
+    listed = kernel.cut(sample.mapInArrow(terms, "toxic int, terms array<int>"))
+    n, positive = listed.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if not positive or positive == n:
+        return nothing()
+    counted = listed.select(F.explode("terms").alias("term"), "toxic").groupBy("term").agg(F.count("*").alias("have"), F.sum("toxic").alias("bad")).where(F.col("have") >= MIN_DOCS)
+    odds, error = evidence(F.col("have"), F.col("bad"), F.lit(n), F.lit(positive), F.log, F.sqrt)
+    judged = counted.select("term", odds.alias("odds"), (F.abs(odds) / error).alias("z")).where((F.abs("odds") >= float(np.log(MIN_LIFT))) & (F.col("z") >= MIN_Z))
+    best = judged.orderBy(F.desc("z"), "term").limit(MAX_TERMS).toArrow().sort_by("term")
+    buckets = best.column("term").to_numpy().astype(np.int64)
+    model = docs.sparkSession.sparkContext.broadcast(buckets)
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("terms")
+            values, row = lists.flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths()))
+            keep = np.isin(values, model.value)
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), kernel.ragged(values[keep], np.bincount(row[keep], minlength=batch.num_rows), pa.int32())], names=["toxic", "terms"])
+
+    table = listed.mapInArrow(narrow, "toxic int, terms array<int>").toArrow()
     lists = table.column("terms").combine_chunks()
-    values, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy()
-    order = sorted(range(len(lists)), key=lambda i: (ends[i + 1] - ends[i], values[ends[i] : ends[i + 1]].tobytes()))  # the same whatever order tasks end in
-    toxic = table.column("toxic").to_numpy().astype(float)
-    return fit([values[ends[i] : ends[i + 1]] for i in order], toxic[order])
+    values, ends, toxic = lists.flatten().to_numpy(), lists.offsets.to_numpy(), table.column("toxic").to_numpy().astype(float)
+    order = sorted(range(n), key=lambda i: (ends[i + 1] - ends[i], toxic[i], values[ends[i] : ends[i + 1]].tobytes()))  # the same whatever order tasks end in
+    return learn([values[ends[i] : ends[i + 1]] for i in order], toxic[order], buckets, best.column("odds").to_numpy())
 
 
 def score(docs: DataFrame, machine: Machine, out: tuple[str, str] = ("toxicity", "toxic"), threshold: float = THRESHOLD) -> DataFrame:
