@@ -117,7 +117,7 @@ def fingerprints(docs: DataFrame, size: int = SIZE, k: int = SHINGLE) -> DataFra
     table gives no rows; other columns are not looked at.
     """
     each = kernel.cut(sketch(docs, size, k))
-    whole = merge(each, "source", size).select(F.col("source").alias("of_source"), F.col("sketch").alias("of_sketch"))
+    whole = kernel.small(merge(each, "source", size).select(F.col("source").alias("of_source"), F.col("sketch").alias("of_sketch")))
     joined = each.join(whole, F.col("source").eqNullSafe(F.col("of_source")))
     full = F.size("sketch") > 0
     return joined.select(
