@@ -93,7 +93,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] = WEIGHTS, default_we
     safe = F.col("finish") <= F.col("level")
     # What is beyond fits only while its own source's excess does, a few documents of each source.
     base = placed.where(safe).agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("base"))
-    room = F.broadcast(placed.where(safe).groupBy("source").agg(F.sum("n_tokens").alias("had")).withColumnRenamed("source", "r_source"))
+    room = kernel.small(placed.where(safe).groupBy("source").agg(F.sum("n_tokens").alias("had")).withColumnRenamed("source", "r_source"))
     edge = (
         placed.where(~safe).crossJoin(F.broadcast(base))
         .join(room, F.col("source").eqNullSafe(F.col("r_source")), "left")
@@ -118,9 +118,8 @@ def keep_mixed(docs: DataFrame, **options) -> DataFrame:
     seed = options.get("seed", SEED)
     cutoffs = mix_sources(docs, ordered=False, **options).groupBy("source").agg(F.max("h").alias("cutoff"))
     source, cutoff = kernel.fresh(docs, "mix_source", "mix_cutoff")
-    cutoffs = cutoffs.select(F.col("source").alias(source), F.col("cutoff").alias(cutoff))
-    # One row a source: the same few names whatever the corpus holds.
-    return docs.join(F.broadcast(cutoffs), docs["source"].eqNullSafe(F.col(source)) & (digest(docs["doc_id"], seed) <= F.col(cutoff)), "left_semi")
+    cutoffs = kernel.small(cutoffs.select(F.col("source").alias(source), F.col("cutoff").alias(cutoff)))
+    return docs.join(cutoffs, docs["source"].eqNullSafe(F.col(source)) & (digest(docs["doc_id"], seed) <= F.col(cutoff)), "left_semi")
 
 
 def oracle_sql() -> str:
