@@ -159,7 +159,7 @@ def duplicates(docs: DataFrame) -> DataFrame:
 
     first_ids are the documents of those first occurrences.
     """
-    found = windows.repeats(docs)
+    found = windows.repeats(docs, ways=False)
     compared = windows.by_minimizer(windows.with_text(found.kinds.where("many"), docs, []), settle, RANGES)
     alike = found.kinds.where("not many").select("key", "body", F.lit(0).alias("j0"), F.col("windows").alias("j1"), F.col("id").alias("o_id"), F.col("text_key").alias("o_text_key"), F.col("start").alias("o_start"))
     ranges = compared.unionByName(alike)

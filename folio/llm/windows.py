@@ -132,18 +132,22 @@ class Repeats:
     kinds: DataFrame
 
 
-def repeats(docs: DataFrame) -> Repeats:
-    every = kernel.cut(stretches(docs))
+def repeats(docs: DataFrame, ways: bool = True) -> Repeats:
+    """ways: whether the kinds have the words before and after."""
+    around = ["before", "after"] if ways else []
+    every, path = kernel.written(stretches(docs).drop(*({"before", "after"} - {*around})))
     # Partial aggregation leaves one row a task of a passage however many copies it has.
     often = every.groupBy("key").agg(F.min(place()).alias("first"), F.max(place()).alias("last"), F.min("body").alias("b0"), F.max("body").alias("b1")).where("first <> last")
-    often = often.select(F.col("key").alias("often_key"), (F.col("b0") != F.col("b1")).alias("many"))
+    often = kernel.cut(often.select(F.col("key").alias("often_key"), (F.col("b0") != F.col("b1")).alias("many")))
+    kernel.release(docs.sparkSession)
     some = every.join(often, F.col("key") == F.col("often_key")).drop("often_key")
     some = kernel.cut(some.dropDuplicates(["key", "id", "text_key", "start"]))  # rows equal in id and text are one
+    kernel.remove(docs.sparkSession, path)
     kinds = some.groupBy("key", "body").agg(
         F.min(place()).alias("first"), F.count("*").alias("copies"), F.first("windows").alias("windows"), F.first("many").alias("many"),
-        *(f(c).alias(f"{c}_{n}") for c in ("before", "after") for n, f in (("least", F.min), ("most", F.max))),
+        *(f(c).alias(f"{c}_{n}") for c in around for n, f in (("least", F.min), ("most", F.max))),
     )
-    found = Repeats(some.select("key", "body", "id", "text_key", "start", "windows"), kernel.cut(kinds.select("key", "body", "first.*", "copies", "windows", "many", "before_least", "before_most", "after_least", "after_most")))
+    found = Repeats(some.select("key", "body", "id", "text_key", "start", "windows"), kernel.cut(kinds.select("key", "body", "first.*", "copies", "windows", "many", *(f"{c}_{n}" for c in around for n in ("least", "most")))))
     del every, often, some, kinds
     kernel.release(docs.sparkSession)
     return found
