@@ -9,16 +9,20 @@ signed numbers in the order of the unsigned ones.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs, parquet
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
 
 SIZE, SHINGLE = 128, 5
+BLOCK = 4096  # sketches that are held at once, twice
+MEETINGS = 1 << 20
 FLIP = np.uint64(1 << 63)
 
 
@@ -106,22 +110,131 @@ def merge(sketches: DataFrame, by: str, size: int = SIZE) -> DataFrame:
     return some.groupBy(by).agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("sketch")))), 1, size).alias("sketch"))
 
 
+def estimate(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """resemblance(), and containment() both ways, of the sketches in equal rows of x and y; a row is filled up at its end to `size` values with the largest."""
+    n = nx + ny
+    both = np.sort(np.concatenate([x, y], axis=1), axis=1)
+    inside = np.arange(2 * size) < n[:, None]
+    same = np.zeros(both.shape, bool)
+    same[:, 1:] = (both[:, 1:] == both[:, :-1]) & inside[:, 1:]
+    place = np.cumsum(~same & inside, axis=1, dtype=np.int32)  # in the union, from 1
+    of_union = np.minimum(place[:, -1], size)
+    last = both[np.arange(len(both)), np.minimum((place < size).sum(1), 2 * size - 1)]
+    alike = (same & (place <= size)).sum(1) / of_union
+    shared = alike * estimated(of_union, last, size)
+    return alike, np.minimum(1, shared / estimated(nx, x[:, size - 1], size)), np.minimum(1, shared / estimated(ny, y[:, size - 1], size))
+
+
+def estimated(n: np.ndarray, last: np.ndarray, size: int) -> np.ndarray:
+    """distinct() of sketches of n values, by the last value of those that are full."""
+    return np.where(n < size, n, (size - 1) / ((last.astype(np.float64) + 2.0**63 + 1) / 2.0**64))
+
+
+def meeting(x: np.ndarray, nx: np.ndarray, y: np.ndarray | None, ny: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of a row of x and one of y that have a value in common, each once; without y, of two rows of x. In parts of some thousand rows of x."""
+    rows, width = np.repeat(np.arange(len(nx)), nx), x.shape[1]
+    values = x[np.arange(width) < nx[:, None]]
+    others, theirs = (rows, values) if y is None else (np.repeat(np.arange(len(ny)), ny), y[np.arange(width) < ny[:, None]])
+    order = np.argsort(theirs, kind="stable")
+    others, theirs = others[order], theirs[order]
+    lo, hi = np.searchsorted(theirs, values, "left"), np.searchsorted(theirs, values, "right")
+    n = len(ny) if y is not None else len(nx)
+    ends, meets = np.cumsum(nx), np.cumsum(hi - lo)
+    first = 0
+    while first < len(nx):  # as many rows as meet about MEETINGS values, one at least
+        start = int(ends[first] - nx[first])
+        before = int(meets[start - 1]) if start else 0
+        until = int(np.searchsorted(meets, before + MEETINGS, "right"))
+        stop = max(first + 1, int(np.searchsorted(ends, until, "right")))
+        part = slice(start, int(ends[stop - 1]))
+        count = hi[part] - lo[part]
+        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo[part], count)
+        pair = np.repeat(rows[part], count) * n + others[at]
+        if y is None:
+            pair = pair[pair // n < pair % n]
+        pair = np.unique(pair)
+        yield pair // n, pair % n
+        first = stop
+
+
+def pairs(sketches: DataFrame, size: int = SIZE) -> DataFrame:
+    """(sketch_id, other_id, resemblance, containment, other_containment) of all pairs of different sketches with a hash in common.
+
+    sketches has (sketch_id, sketch); each pair comes once, with sketch_id < other_id; containment is how much of
+    sketch_id is in other_id, other_containment the reverse. Nothing is left out however often a hash occurs, so
+    the rows grow with the square of the sketches that share one. Sketches are kept in blocks as a table in
+    the shared folder, from which each task reads two blocks at a time.
+    """
+    spark = sketches.sparkSession
+    nodes = kernel.cut(sketches.where(F.size("sketch") > 0).select("sketch_id", "sketch").dropDuplicates(["sketch_id"]))
+    n = max(1, -(-nodes.count() // BLOCK))
+    folder = f"{kernel.shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    nodes.withColumn("block", F.pmod("sketch_id", F.lit(n))).repartition("block").write.partitionBy("block").parquet(folder)
+
+    def load(block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        files, path = fs.FileSystem.from_uri(f"{folder}/block={block}")
+        if files.get_file_info(path).type == fs.FileType.NotFound:
+            return np.zeros(0, np.int64), np.zeros((0, size), np.int64), np.zeros(0, np.int64)
+        table = parquet.read_table(path, filesystem=files, columns=["sketch_id", "sketch"], partitioning=None)
+        lists = table.column("sketch").combine_chunks()
+        counts = np.asarray(lists.value_lengths()).astype(np.int64)
+        full = np.full((len(counts), size), np.iinfo(np.int64).max)
+        full[np.arange(size) < counts[:, None]] = lists.flatten().to_numpy()
+        return table.column("sketch_id").to_numpy(), full, counts
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[int, tuple] = (-1, ())
+        for batch in batches:
+            for i, j in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if held[0] != i:
+                    held = (i, load(i))
+                ids, x, nx = held[1]
+                other_ids, y, ny = held[1] if i == j else load(j)
+                for p, q in meeting(x, nx, *((None, None) if i == j else (y, ny))):
+                    for lo in range(0, len(p), 1 << 12):
+                        a, b = p[lo : lo + (1 << 12)], q[lo : lo + (1 << 12)]
+                        alike, one, two = estimate(x[a], nx[a], y[b], ny[b], size)
+                        a, b = ids[a], other_ids[b]
+                        up = a < b
+                        columns = [np.minimum(a, b), np.maximum(a, b), alike, np.where(up, one, two), np.where(up, two, one)]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["sketch_id", "other_id", "resemblance", "containment", "other_containment"])
+
+    blocks = spark.range(n).select(F.col("id").alias("i"), F.explode(F.sequence(F.col("id"), F.lit(n - 1))).alias("j"))
+    return blocks.repartition(min(n * (n + 1) // 2, 4096), F.rand(5)).mapInArrow(compare, "sketch_id long, other_id long, resemblance double, containment double, other_containment double")
+
+
 def fingerprints(docs: DataFrame, size: int = SIZE, k: int = SHINGLE) -> DataFrame:
-    """(doc_id, sketch, distinct_shingles, source_resemblance, source_containment) of every row.
+    """(doc_id, sketch_id, sketch, distinct_shingles, source_shingles, source_resemblance, source_containment) of every row.
 
-    The last two compare a document with the union of its source, from merged sketches.
+    sketch_id is a 64-bit hash of the sketch, equal where sketches are. source_shingles is the number of distinct
+    shingles in the document's source, from merged sketches. A document is contained in its own source as a
+    whole, so the last two follow from the numbers of shingles: the shares of the union, and 1.
 
     Defined cases: a null, empty or word-free text has an empty sketch, no shingles and null
-    estimates of the other two; a null source is a source of its own; rows with a null or a
+    estimates of the last two; a null source is a source of its own; rows with a null or a
     repeated id are each on their own, and repeated rows stay; texts are taken whole; an empty
     table gives no rows; other columns are not looked at.
     """
-    each = kernel.cut(sketch(docs, size, k))
-    whole = kernel.small(merge(each, "source", size).select(F.col("source").alias("of_source"), F.col("sketch").alias("of_sketch")))
-    joined = each.join(whole, F.col("source").eqNullSafe(F.col("of_source")))
+    return described(kernel.cut(sketch(docs, size, k)), size)
+
+
+def described(each: DataFrame, size: int = SIZE) -> DataFrame:
+    """fingerprints() of what sketch() gave."""
+    whole = kernel.small(merge(each, "source", size).select(F.col("source").alias("of_source"), distinct(F.col("sketch"), size).alias("source_shingles")))
+    joined = each.join(whole, F.col("source").eqNullSafe(F.col("of_source"))).withColumn("distinct_shingles", distinct(F.col("sketch"), size))
     full = F.size("sketch") > 0
     return joined.select(
-        "doc_id", "sketch", distinct(F.col("sketch"), size).alias("distinct_shingles"),
-        F.when(full, resemblance(F.col("sketch"), F.col("of_sketch"), size)).alias("source_resemblance"),
-        F.when(full, containment(F.col("sketch"), F.col("of_sketch"), size)).alias("source_containment"),
+        "doc_id", F.xxhash64("sketch").alias("sketch_id"), "sketch", "distinct_shingles", "source_shingles",
+        F.when(full, F.least(F.lit(1.0), F.col("distinct_shingles") / F.col("source_shingles"))).alias("source_resemblance"),
+        F.when(full, F.lit(1.0)).alias("source_containment"),
     )
+
+
+def report(docs: DataFrame, size: int = SIZE, k: int = SHINGLE) -> DataFrame:
+    """The rows of fingerprints(), and those of pairs() of all sketches, told apart by other_id, which is null in the former.
+
+    Documents of one sketch_id have the estimates 1 of each other; those of two sketches have the estimates of
+    the sketches, and where these have no row, no hash in common. The defined cases are those of fingerprints().
+    """
+    each = kernel.cut(sketch(docs, size, k))
+    return described(each, size).unionByName(pairs(each.select(F.xxhash64("sketch").alias("sketch_id"), "sketch"), size), allowMissingColumns=True)

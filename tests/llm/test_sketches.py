@@ -52,3 +52,49 @@ def test_messy(messy, empty):
     assert len(by[5].sketch) == sketches.SIZE and by[1].distinct_shingles == 2
     assert by[7].sketch == next(r.sketch for r in got if r.doc_id == 6 and len(r.sketch) > 1)
     assert sketches.fingerprints(empty).collect() == []
+
+
+def test_query_estimates_pairs_against_exact_sets(spark, words, tmp_path, monkeypatch):
+    """Copies, parts and unlike texts in one large source: the query says of each pair what the sets of shingles say."""
+    from folio.llm import queries
+
+    monkeypatch.setattr(sketches, "BLOCK", 16)  # several blocks
+    monkeypatch.setattr(sketches, "MEETINGS", 500)
+    line = words(99, 6)  # in very many documents
+    rows = [(i, line + " " + words(i, 40 + i), "one") for i in range(60)]
+    rows += [(100 + i, words(i, 40 + i), "one") for i in range(20)] + [(200 + i, words(300 + i, 2000), "one") for i in range(6)]
+    rows += [(210 + i, words(300 + i, 1500) + " " + words(400 + i, 500), "one") for i in range(6)] + [(300, rows[0][1], "two"), (301, None, "two"), (302, "", None)]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op4_sketches(spark, str(tmp_path)).collect()
+    docs, said = [r for r in got if r.other_id is None], {(r.sketch_id, r.other_id): r for r in got if r.other_id is not None}
+    assert len(docs) == len(rows) and len(said) == sum(r.other_id is not None for r in got)
+    known = {r.doc_id: r for r in docs}
+    exact = {i: shingle_set(t or "") for i, t, _ in rows}
+    assert known[0].sketch_id == known[300].sketch_id and known[301].sketch == []
+    assert known[0].source_shingles == pytest.approx(len(set().union(*(exact[i] for i, _, s in rows if s == "one"))), rel=0.3)
+    assert known[0].source_containment == 1 and known[0].source_resemblance < 0.05
+    ids = sorted(i for i in exact if exact[i] and i != 300)
+    for a in ids:
+        for b in ids:
+            x, y, i, j = exact[a], exact[b], known[a].sketch_id, known[b].sketch_id
+            if i >= j:
+                continue
+            r = said.get((i, j))
+            if len(x | y) < sketches.SIZE:
+                assert (r is not None) == bool(x & y)
+            if r is None:
+                assert len(x & y) / len(x | y) < 0.05
+                continue
+            slack = 1e-9 if len(x | y) < sketches.SIZE else 0.2
+            assert r.resemblance == pytest.approx(len(x & y) / len(x | y), abs=slack)
+            assert r.containment == pytest.approx(len(x & y) / len(x), abs=1.5 * slack) and r.other_containment == pytest.approx(len(x & y) / len(y), abs=1.5 * slack)
+    want = {(min(known[a].sketch_id, known[b].sketch_id), max(known[a].sketch_id, known[b].sketch_id)) for a in ids for b in ids if known[a].sketch_id != known[b].sketch_id and set(known[a].sketch) & set(known[b].sketch)}
+    assert set(said) == want
+
+
+def test_pairs_agree_with_the_columns(spark, words):
+    each = sketches.sketch(frame(spark, [(i, words(1, 60 * i) + " " + words(50 + i, 40 * i), "x") for i in range(1, 8)])).select(F.xxhash64("sketch").alias("sketch_id"), "sketch")
+    got = sketches.pairs(each)
+    a, b = each.select(F.col("sketch_id").alias("i"), F.col("sketch").alias("a")), each.select(F.col("sketch_id").alias("j"), F.col("sketch").alias("b"))
+    for r in got.join(a, F.col("sketch_id") == F.col("i")).join(b, F.col("other_id") == F.col("j")).select("*", sketches.resemblance(F.col("a"), F.col("b")).alias("r"), sketches.containment(F.col("a"), F.col("b")).alias("c"), sketches.containment(F.col("b"), F.col("a")).alias("d")).collect():
+        assert (r.resemblance, r.containment, r.other_containment) == pytest.approx((r.r, r.c, r.d))
