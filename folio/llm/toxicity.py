@@ -4,7 +4,8 @@ The score of a document is  bias + sum(w_i) + sum over pairs of <v_i, v_j>  over
 hashed terms i it has: the pair part learns that two terms together, such as an insult and a
 mention of a group, mean what neither does alone. Terms are lower-case words and their
 leading bytes, so inflected and compounded forms share evidence. The machine is trained here
-from labelled documents, by Adam on the logistic loss.
+from labelled documents, by limited-memory BFGS on the logistic loss. Every term in enough
+documents takes part, whatever its own odds: these only say how freely its weight may move.
 """
 
 from __future__ import annotations
@@ -25,8 +26,11 @@ SIEVE = 1 << 22
 PREFIXES = (3, 4, 5, 6, 7, 8)
 #: At most so many labelled documents train the machine: those with the least digests of their ids.
 SAMPLE_ROWS = 12_000
-MIN_DOCS, MIN_LIFT, MIN_Z, MAX_TERMS = 3, 3.0, 3.0, 20_000
-FACTORS, EPOCHS, RATE, RIDGE = 4, 150, 0.05, 2e-4
+MIN_DOCS = 3
+#: A term whose odds alone say so much has RIDGE; of others, the weight and the factors have the two of WEAK_RIDGE. None is left out.
+MIN_LIFT, MIN_Z = 3.0, 3.0
+FACTORS, STEPS, MEMORY, RIDGE, WEAK_RIDGE = 4, 40, 8, 2e-4, (5e-2, 1e-2)
+CHUNK = 1 << 20
 THRESHOLD = 0.5
 
 LETTER = np.zeros(256, bool)
@@ -107,45 +111,93 @@ def fit(lists: list[np.ndarray], toxic: np.ndarray, seed: int = 7) -> Machine:
     known, at, have = np.unique(terms, return_inverse=True, return_counts=True)
     bad = np.bincount(at, np.repeat(toxic, sizes), len(known))
     odds, error = evidence(have, bad, n, positive, np.log, np.sqrt)
-    z = np.where((have >= MIN_DOCS) & (np.abs(odds) >= np.log(MIN_LIFT)), np.abs(odds) / error, 0)
-    best = np.sort(np.argsort(-z, kind="stable")[:MAX_TERMS])
-    best = best[z[best] >= MIN_Z]
-    return learn([x[np.isin(x, known[best])] for x in lists], toxic, known[best].astype(np.int64), odds[best], seed)
+    best = np.flatnonzero(have >= MIN_DOCS)
+    ends = np.cumsum(sizes)
+    kept = np.concatenate([[0], np.cumsum(have[at] >= MIN_DOCS)])
+    return learn(terms[have[at] >= MIN_DOCS], kept[np.concatenate([[0], ends])], toxic, known[best].astype(np.int64), odds[best], np.abs(odds / error)[best], seed)
 
 
 def nothing() -> Machine:
     return Machine(np.zeros(0, np.int64), -10.0, np.zeros(0), np.zeros((0, FACTORS)))
 
 
-def learn(lists: list[np.ndarray], toxic: np.ndarray, buckets: np.ndarray, odds: np.ndarray, seed: int = 7) -> Machine:
-    """The machine over chosen buckets, from those that each document has."""
-    n, positive = len(lists), int(toxic.sum())
+def gathered(starts: np.ndarray, index: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The sum of values[index[starts[i] : starts[i + 1]]] for each i."""
+    n = len(starts) - 1
+    out, lo = np.zeros((n, values.shape[1])), 0
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + CHUNK, "right")) - 1)
+        some = lo + np.flatnonzero(np.diff(starts[lo : hi + 1]))
+        if len(some):
+            out[some] = np.add.reduceat(values[index[starts[lo] : starts[hi]]], starts[some] - starts[lo], axis=0)
+        lo = hi
+    return out
+
+
+def minimum(loss, x: np.ndarray) -> np.ndarray:
+    """Where limited-memory BFGS gets from x; loss gives the value and the gradient."""
+    value, grad = loss(x)
+    past: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(STEPS):
+        way, parts = -grad, []
+        for s, y, r in reversed(past):
+            parts.append(r * (s @ way))
+            way = way - parts[-1] * y
+        way = way / (past[-1][2] * (past[-1][1] @ past[-1][1])) if past else way * (0.01 / max(1e-12, np.abs(grad).max()))
+        for (s, y, r), part in zip(past, reversed(parts), strict=True):
+            way = way + s * (part - r * (y @ way))
+        slope, far = grad @ way, 1.0
+        if slope > -1e-10:
+            break
+        while (there := loss(x + far * way))[0] > value + 1e-4 * far * slope:
+            far *= 0.3
+            if far < 1e-6:
+                return x
+        s, y = far * way, there[1] - grad
+        x, (value, grad) = x + s, there
+        if s @ y > 1e-12:
+            past = [*past, (s, y, 1 / (s @ y))][-MEMORY:]
+    return x
+
+
+def learn(values: np.ndarray, ends: np.ndarray, toxic: np.ndarray, buckets: np.ndarray, odds: np.ndarray, z: np.ndarray, seed: int = 7) -> Machine:
+    """The machine over some buckets, from those that each document has: document i the values from ends[i] to ends[i + 1]."""
+    n, positive = len(toxic), int(toxic.sum())
     if not len(buckets):
         return nothing()
-    rows, at = np.repeat(np.arange(n), [len(x) for x in lists]), np.searchsorted(buckets, np.concatenate(lists))
-    start = np.concatenate([[np.log(positive / (n - positive))], np.clip(odds, -3, 3) * 0.3])
-    made = np.random.default_rng(seed)
-    b, w, v = start[:1].copy(), start[1:].copy(), made.normal(0, 0.02, (len(buckets), FACTORS))
-    moments = [(np.zeros_like(p), np.zeros_like(p)) for p in (b, w, v)]
+    ends = ends.astype(np.int64)
+    at = np.searchsorted(buckets, values).astype(np.int32)
+    order = np.argsort(at, kind="stable")
+    rows = np.repeat(np.arange(n, dtype=np.int32), np.diff(ends))[order]
+    first = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(buckets)))])
+    del order
+    strong = (np.abs(odds) >= np.log(MIN_LIFT)) & (z >= MIN_Z)
+    ridge = np.where(strong[:, None], RIDGE, np.array([WEAK_RIDGE[0]] + [WEAK_RIDGE[1]] * FACTORS))
     weight = np.where(toxic > 0, 0.5 / positive, 0.5 / (n - positive)) * n * 0.5 + 0.5  # half of the balanced weights
-    for step in range(1, EPOCHS + 1):
-        total, sums = machine_sum(rows, at, n, w, v)
-        slope = (1 / (1 + np.exp(-np.clip(total + b[0], -30, 30))) - toxic) * weight
-        g = slope[rows]
-        grads = [np.array([slope.mean()]), np.bincount(at, g, len(w)) / n + RIDGE * w, np.stack([np.bincount(at, g * (sums[rows, k] - v[at, k]), len(w)) / n + RIDGE * v[:, k] for k in range(FACTORS)], 1)]
-        for p, grad, (m, s) in zip((b, w, v), grads, moments, strict=True):
-            m += 0.1 * (grad - m)
-            s += 0.01 * (grad * grad - s)
-            p -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
-    return Machine(buckets, float(b[0]), w, v)
+    start = np.column_stack([np.where(strong, np.clip(odds, -3, 3) * 0.3, 0), np.random.default_rng(seed).normal(0, 0.02, (len(buckets), FACTORS))])
+
+    def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
+        p = x[1:].reshape(start.shape)
+        v = p[:, 1:]
+        sums = gathered(ends, at, np.column_stack([p[:, 0] - 0.5 * (v * v).sum(1), v]))
+        total = x[0] + sums[:, 0] + 0.5 * (sums[:, 1:] ** 2).sum(1)
+        slope = (1 / (1 + np.exp(-np.clip(total, -500, 500))) - toxic) * weight / n
+        back = gathered(first, rows, np.column_stack([slope, slope[:, None] * sums[:, 1:]]))
+        back[:, 1:] -= v * back[:, :1]
+        value = (weight * (np.logaddexp(0, total) - toxic * total)).mean() + 0.5 * (ridge * p * p).sum()
+        return value, np.concatenate([[slope.sum()], (back + ridge * p).ravel()])
+
+    x = minimum(loss, np.concatenate([[np.log(positive / (n - positive))], start.ravel()]))
+    p = x[1:].reshape(start.shape)
+    return Machine(buckets, float(x[0]), p[:, 0].copy(), p[:, 1:].copy())
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Machine:
     """Fits on at most sample_rows labelled documents.
 
-    Terms are chosen for their odds: in enough documents, and far enough more or less often in
-    toxic ones. They are counted where the documents are; what reaches the driver are the
-    chosen ones, MAX_TERMS at most, and which of them each document has.
+    All terms in MIN_DOCS of these documents or more take part, so one that says nothing alone
+    can in a pair. They are counted where the documents are; what reaches the driver are these
+    terms, and which of them each document has, a bounded number of documents.
 
     Labels of no document, null labels and null ids are left out; a document labelled twice
     is toxic if any label says so, and rows that share an id share its label. Without documents
@@ -171,8 +223,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         return nothing()
     counted = listed.select(F.explode("terms").alias("term"), "toxic").groupBy("term").agg(F.count("*").alias("have"), F.sum("toxic").alias("bad")).where(F.col("have") >= MIN_DOCS)
     odds, error = evidence(F.col("have"), F.col("bad"), F.lit(n), F.lit(positive), F.log, F.sqrt)
-    judged = counted.select("term", odds.alias("odds"), (F.abs(odds) / error).alias("z")).where((F.abs("odds") >= float(np.log(MIN_LIFT))) & (F.col("z") >= MIN_Z))
-    best = judged.orderBy(F.desc("z"), "term").limit(MAX_TERMS).toArrow().sort_by("term")
+    best = counted.select("term", odds.alias("odds"), (F.abs(odds) / error).alias("z")).toArrow().sort_by("term")
     buckets = best.column("term").to_numpy().astype(np.int64)
     model = docs.sparkSession.sparkContext.broadcast(buckets)
 
@@ -187,7 +238,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     lists = table.column("terms").combine_chunks()
     values, ends, toxic = lists.flatten().to_numpy(), lists.offsets.to_numpy(), table.column("toxic").to_numpy().astype(float)
     order = sorted(range(n), key=lambda i: (ends[i + 1] - ends[i], toxic[i], values[ends[i] : ends[i + 1]].tobytes()))  # the same whatever order tasks end in
-    return learn([values[ends[i] : ends[i + 1]] for i in order], toxic[order], buckets, best.column("odds").to_numpy())
+    whole = np.concatenate([values[ends[i] : ends[i + 1]] for i in order])
+    ends = np.concatenate([[0], np.cumsum(np.diff(ends)[order])])
+    return learn(whole, ends, toxic[order], buckets, best.column("odds").to_numpy(), best.column("z").to_numpy())
 
 
 def score(docs: DataFrame, machine: Machine, out: tuple[str, str] = ("toxicity", "toxic"), threshold: float = THRESHOLD) -> DataFrame:

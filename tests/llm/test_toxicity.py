@@ -43,3 +43,29 @@ def test_messy(spark, messy, empty, words):
     assert kept.columns == messy.columns and kept.count() == 11  # no labels: nothing is toxic
     assert toxicity.classify(empty, messy, labels).collect() == [] and toxicity.drop_toxic(empty, empty, labels).collect() == []
     assert {r.toxic for r in toxicity.classify(messy, empty, labels).collect()} == {False}
+
+
+def test_learns_a_pair_of_terms_that_say_little_alone(spark):
+    """An insult and a group at about twice the rate in toxic texts: each alone has odds below MIN_LIFT, both together decide."""
+    r = random.Random(4)
+    filler = ["".join(r.choice("abcdefghijklmnoprstuvw") for _ in range(r.randint(2, 9))) for _ in range(3000)]
+    rows = []
+    for i in range(3000):
+        words, toxic = r.choices(filler, [1 / (j + 1) for j in range(3000)], k=60), r.random() < 0.12
+        kind = r.random()
+        if toxic:
+            words += ["scum"] if kind < 0.6 else ["wretch", "villagers"]
+        else:
+            words += ["wretch"] if kind < 0.2 else ["villagers"] if kind < 0.4 else []
+        rows.append((i, " ".join(words), int(toxic), toxic and kind >= 0.6))
+    docs = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")
+    known = rows[:2000]
+    n, positive = len(known), sum(x[2] for x in known)
+    for term in ("wretch", "villagers"):
+        have = [x[2] for x in known if term in x[1].split()]
+        assert np.exp(abs(toxicity.evidence(len(have), sum(have), n, positive, np.log, np.sqrt)[0])) < toxicity.MIN_LIFT
+    labels = spark.createDataFrame([(x[0], x[2]) for x in known], "doc_id long, toxic int")
+    said = {x.doc_id: x.toxic for x in toxicity.classify(docs, docs, labels).collect()}
+    pairs = [said[x[0]] for x in rows[2000:] if x[3]]
+    assert sum(pairs) >= 0.8 * len(pairs) and len(pairs) > 30
+    assert sum(said[x[0]] for x in rows[2000:] if not x[2]) <= 0.01 * 1000
