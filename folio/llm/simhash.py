@@ -275,8 +275,9 @@ def groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def grouped(rows: DataFrame, radius: int) -> DataFrame:
     """groups() of what members() gave."""
     names = [f"f{w}" for w in range(BITS // 64)]
-    # Documents with one fingerprint are one node, so thousands of exact copies meet once.
-    nodes = rows.groupBy("node").agg(*(F.first(c).alias(c) for c in names), F.first("keys").alias("keys"))
+    # Documents with one fingerprint are one node, so thousands of exact copies meet once; it has the
+    # block keys of all of them, as the same words in another order have other shingles.
+    nodes = rows.groupBy("node").agg(*(F.first(c).alias(c) for c in names), F.array_distinct(F.flatten(F.collect_set("keys"))).alias("keys"))
     blocks = nodes.select(F.explode("keys").alias("key"), "node", *names)
     blocks = blocks.repartition("key").sortWithinPartitions("key")
     parts = graph.components(near_edges(blocks, radius))

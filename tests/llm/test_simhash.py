@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from folio.llm import graph, simhash
 
@@ -70,3 +71,11 @@ def test_messy(messy, empty):
     ids = [r.doc_id for r in kept.collect()]
     assert sorted(ids, key=str) == sorted([1, None, 2, 3, 4, 5, 6, 6, 8], key=str)  # of the repeated row, one
     assert simhash.groups(empty).collect() == [] and simhash.drop_near_copies(empty).collect() == []
+
+
+def test_a_node_has_the_keys_of_all_its_documents(spark):
+    """Documents 1 and 2 have one fingerprint and different blocks; 3 meets only the one, 4 only the other."""
+    rows = [(1, 11, 1, 0, 0, 0, 0, [1, 2]), (2, 12, 1, 0, 0, 0, 0, [3, 4]), (3, 13, 2, 1, 0, 0, 0, [1, 5]), (4, 14, 3, 2, 0, 0, 0, [3, 6]), (5, 15, 4, 4, 0, 0, 0, [7, 8])]
+    df = spark.createDataFrame(rows, "doc_id long, text_key long, node long, f0 long, f1 long, f2 long, f3 long, keys array<long>")
+    for at in (df, df.orderBy(F.desc("doc_id"))):
+        assert {(r.doc_id, r.kept_id) for r in simhash.grouped(at.coalesce(1), simhash.RADIUS).collect()} == {(2, 1), (3, 1), (4, 1)}
