@@ -10,7 +10,9 @@ are counted there, and chains of nodes with one minimizer compact there into seg
 remains are the ends of segments: Spark joins link a segment's way out with the way in that is
 the same edge, and further joins follow these links by doubling, so a path of n segments takes
 log n rounds. Each occurrence of a path is then verified by its source coordinates: the
-segments found in a document must lie at their distances along the path, all of them.
+segments found in a document must lie at their distances along the path, all of them. As nodes
+are told apart by their bytes, or by a cryptographic digest of them, the path's text is then
+that of the document.
 """
 
 from __future__ import annotations
@@ -21,9 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel, suffixes, windows
-from .windows import NO_ID, WIDTH
+from .windows import DOCUMENT, KIND, WIDTH
 
-SEGMENTS = "key long, body long, j0 int, j1 int, segment long, way_in long, way_out long, copies long"
+WAYS = ["before_least", "before_most", "after_least", "after_most"]
+SEGMENTS = "key long, body long, more long, j0 int, j1 int, segment long, way_in long, way_out long, copies long"
 
 
 def compact(rows: pa.Table) -> pa.RecordBatch:
@@ -70,15 +73,32 @@ def compact(rows: pa.Table) -> pa.RecordBatch:
     ends = np.flatnonzero(stops)
     q = bucket.stretch[starts]
     j0 = bucket.word[starts] - words.first[q]
+    text, from_, to = words.joined()
+    name = kernel.digests(text, from_[bucket.word[starts]], to[bucket.word[starts] + WIDTH - 1])[:, 0]
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(t["key"][q]), pa.array(t["body"][q]), pa.array(j0, pa.int32()), pa.array(j0 + ends - starts + 1, pa.int32()), pa.array(kernel.signed(kernel.mix(node[starts]))),
+            *(pa.array(t[c][q]) for c in KIND), pa.array(j0, pa.int32()), pa.array(j0 + ends - starts + 1, pa.int32()), pa.array(kernel.signed(np.ascontiguousarray(name))),
             pa.array(only["in"][starts]), pa.array(only["out"][ends]), pa.array(copies[label[starts]]),
         ],
         names=[x.split()[0] for x in SEGMENTS.split(", ")],
     )
 
 
+def compact_apart(kinds: DataFrame, docs: DataFrame) -> DataFrame:
+    """What compact() gives, for kinds too many for one task, with a segment for each node: equal nodes meet by digest, in Spark's partial aggregation."""
+    each = windows.single_windows(kinds, docs, ["copies", *WAYS]).dropDuplicates([*KIND, "j"])
+    first, last = F.col("j") == 0, F.col("j") == F.col("windows") - 1
+    ways = {f"{way}_{n}": F.when(at, F.col(f"{name}_{n}")).otherwise(F.col(f"edge_{way}")) for way, at, name in (("in", first, "before"), ("out", last, "after")) for n in ("least", "most")}
+    each = kernel.cut(each.select(*KIND, "j", "w0", "w1", "copies", *(c.alias(n) for n, c in ways.items())))
+    node = each.groupBy(F.col("w0").alias("v0"), F.col("w1").alias("v1")).agg(F.sum("copies").alias("copies"), *((F.min if n.endswith("least") else F.max)(n).alias(n) for n in ways)).where("copies > 1")
+    placed = each.select(*KIND, "j", "w0", "w1").join(node, (F.col("w0") == F.col("v0")) & (F.col("w1") == F.col("v1")))
+    return placed.select(*KIND, F.col("j").alias("j0"), (F.col("j") + 1).alias("j1"), F.col("w0").alias("segment"), only("in").alias("way_in"), only("out").alias("way_out"), "copies")
+
+
+def only(name: str) -> Column:
+    return F.when(F.col(f"{name}_least") == F.col(f"{name}_most"), F.col(f"{name}_least")).otherwise(F.lit(0))
+
+
 def paths(segments: DataFrame) -> DataFrame:
     """(segment, path, distance, length): the path of each segment, named by its first one; how far in it begins; and all nodes of the path.
 
@@ -88,12 +108,12 @@ def paths(segments: DataFrame) -> DataFrame:
     b = segments.where("way_in <> 0").select("segment", F.col("way_in").alias("edge"))
     back = b.join(a, "edge").select("segment", "before", "distance")
     # A segment points back to another of its path, over a distance; each round doubles what has been passed.
-    now = kernel.cut(segments.select("segment").join(back, "segment", "left").select("segment", F.coalesce("before", "segment").alias("path"), F.coalesce("distance", F.lit(0).cast("long")).alias("distance")))
+    now, at = kernel.written(segments.select("segment").join(back, "segment", "left").select("segment", F.coalesce("before", "segment").alias("path"), F.coalesce("distance", F.lit(0).cast("long")).alias("distance")))
     while True:
         on = now.where("path <> segment").select(F.col("segment").alias("path"), F.col("path").alias("further"), F.col("distance").alias("more"))
-        after = kernel.cut(now.join(on, "path", "left").select("segment", F.coalesce("further", "path").alias("path"), (F.col("distance") + F.coalesce("more", F.lit(0))).alias("distance"), F.col("further").isNotNull().alias("moved")))
-        now = after.drop("moved")
-        kernel.release(segments.sparkSession)
+        after, path = kernel.written(now.join(on, "path", "left").select("segment", F.coalesce("further", "path").alias("path"), (F.col("distance") + F.coalesce("more", F.lit(0))).alias("distance"), F.col("further").isNotNull().alias("moved")))
+        kernel.remove(segments.sparkSession, at)
+        now, at = after.drop("moved"), path
         if after.where("moved").isEmpty():
             break
     sized = now.join(segments.select("segment", "nodes"), "segment")
@@ -102,22 +122,20 @@ def paths(segments: DataFrame) -> DataFrame:
 
 
 def path_occurrences(docs: DataFrame) -> DataFrame:
-    """(id, text_key, path, w0, w1, copies): where each nonbranching path occurs, as words [w0, w1)."""
+    """(*DOCUMENT, path, w0, w1, copies): where each nonbranching path occurs, as words [w0, w1)."""
     found = windows.repeats(docs)
-    compared = windows.by_minimizer(windows.with_text(found.kinds.where("many"), docs, ["copies", "before_least", "before_most", "after_least", "after_most"]), compact, SEGMENTS)
-
-    def only(name: str) -> Column:
-        return F.when(F.col(f"{name}_least") == F.col(f"{name}_most"), F.col(f"{name}_least")).otherwise(F.lit(0))
-
-    alike = found.kinds.where("not many").select("key", "body", F.lit(0).alias("j0"), F.col("windows").alias("j1"), F.xxhash64("key", "body").alias("segment"), only("before").alias("way_in"), only("after").alias("way_out"), "copies")
+    compared = windows.by_minimizer(windows.with_text(found.kinds.where("many and not hot"), docs, ["copies", *WAYS]), compact, SEGMENTS)
+    if not (hot := found.kinds.where("hot")).isEmpty():
+        compared = compared.unionByName(compact_apart(hot, docs))
+    alike = found.kinds.where("not many").select(*KIND, F.lit(0).alias("j0"), F.col("windows").alias("j1"), F.xxhash64(*KIND).alias("segment"), only("before").alias("way_in"), only("after").alias("way_out"), "copies")
     placed = kernel.cut(compared.unionByName(alike))
     kernel.release(docs.sparkSession)
     segments = placed.groupBy("segment").agg(F.first(F.col("j1") - F.col("j0")).cast("long").alias("nodes"), F.first("way_in").alias("way_in"), F.first("way_out").alias("way_out"))
     known = paths(kernel.cut(segments))
-    located = placed.join(known, "segment").select("key", "body", "j0", "j1", "path", "distance", "length", "copies")
-    spans = found.occurrences.join(located, ["key", "body"]).withColumn("w0", F.col("start") + F.col("j0")).withColumn("w1", F.col("start") + F.col("j1") + (WIDTH - 1))
-    whole = spans.groupBy("id", "text_key", "path", (F.col("w0") - F.col("distance")).alias("origin"), "length").agg(F.sum(F.col("j1") - F.col("j0")).alias("seen"), F.min("w0").alias("w0"), F.max("w1").alias("w1"), F.max("copies").alias("copies"))
-    return whole.where((F.col("seen") == F.col("length")) & (F.col("w1") - F.col("w0") == F.col("length") + (WIDTH - 1))).select("id", "text_key", "path", "w0", "w1", "copies")
+    located = placed.join(known, "segment").select(*KIND, "j0", "j1", "path", "distance", "length", "copies")
+    spans = found.occurrences.join(located, KIND).withColumn("w0", F.col("start") + F.col("j0")).withColumn("w1", F.col("start") + F.col("j1") + (WIDTH - 1))
+    whole = spans.groupBy(*DOCUMENT, "path", (F.col("w0") - F.col("distance")).alias("origin"), "length").agg(F.sum(F.col("j1") - F.col("j0")).alias("seen"), F.min("w0").alias("w0"), F.max("w1").alias("w1"), F.max("copies").alias("copies"))
+    return whole.where((F.col("seen") == F.col("length")) & (F.col("w1") - F.col("w0") == F.col("length") + (WIDTH - 1))).select(*DOCUMENT, "path", "w0", "w1", "copies")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -133,4 +151,4 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     are not looked at.
     """
     spans = windows.islands(path_occurrences(docs), F.array_sort(F.collect_set("path")).alias("paths"), F.max("copies").alias("copies"))
-    return spans.select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "start_word", "end_word", "paths", "copies")
+    return spans.select(F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), "start_word", "end_word", "paths", "copies")

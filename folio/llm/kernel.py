@@ -8,14 +8,17 @@ carriage return.
 
 from __future__ import annotations
 
+import atexit
 import gc
 import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -23,6 +26,7 @@ from pyspark.sql.types import StructField, StructType
 CHUNK_BYTES = 1_000_000
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 WORD_BASE = 0xD1342543DE82EF95
+SHORT_WORD = 32  # bytes; the hash of a longer word is no polynomial, as these have known collisions for every base
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -66,6 +70,37 @@ class Prefix:
         return (self.sums[end] - self.sums[start]) * self.inverse[start]
 
 
+def digests(data: bytes | memoryview, starts: np.ndarray, ends: np.ndarray, size: int = 16) -> np.ndarray:
+    """Cryptographic digests (BLAKE2b) of slices, as rows of 64-bit numbers."""
+    view = memoryview(data)
+    return np.frombuffer(b"".join([blake2b(view[a:b], digest_size=size).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]), np.uint64).reshape(-1, size // 8)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word."""
+    out = mix(Prefix(data, BASE).slices(starts, ends))
+    long = np.flatnonzero(ends - starts > SHORT_WORD)
+    if len(long):
+        out[long] = digests(np.ascontiguousarray(data), starts[long], ends[long], 8)[:, 0]
+    return out
+
+
+def gather(data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Slices end to end."""
+    return data[np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+
+
+def equal(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, other_starts: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
+    """Whether each slice of data is byte for byte that of the other array."""
+    size = ends - starts
+    same = size == other_ends - other_starts
+    some = np.flatnonzero(same)
+    alike = gather(data, starts[some], size[some]) == gather(other, other_starts[some], size[some])
+    if not alike.all():
+        same[np.repeat(some, size[some])[~alike]] = False
+    return same
+
+
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts end to end, and where each begins (one more offset than texts)."""
     if isinstance(texts, pa.ChunkedArray):
@@ -117,7 +152,15 @@ class Words:
         self.data, self.offsets = flat(texts)
         self.starts, self.ends, self.first = spans(self.data, self.offsets, ~SPACE[self.data])
         self.counts = np.diff(self.first)
-        self.hashes = mix(Prefix(self.data, BASE).slices(self.starts, self.ends))
+        self.hashes = word_hashes(self.data, self.starts, self.ends)
+
+    def joined(self) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """All words with one blank between them, and where each starts and ends there: the same bytes for the same words, whatever lay between them."""
+        size = self.ends - self.starts
+        ends = np.cumsum(size + 1) - 1
+        out = np.full(int(ends[-1]) + 1 if len(ends) else 0, 32, np.uint8)
+        out[np.repeat(ends - np.cumsum(size), size) + np.arange(int(size.sum()))] = gather(self.data, self.starts, size)
+        return out.tobytes(), ends - size, ends
 
     @property
     def rows(self) -> np.ndarray:
@@ -134,10 +177,9 @@ class Words:
 
 
 def ragged(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
-    """A list array from flat values and the length of each list."""
-    offsets = np.zeros(len(counts) + 1, np.int32)
-    np.cumsum(counts, out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
+    """A list array from flat values and the length of each list. More values than Arrow's lists can number are an error."""
+    offsets = np.concatenate([[0], np.cumsum(counts)])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))  # raises if an offset is too large
 
 
 def signed(x: np.ndarray) -> np.ndarray:
@@ -145,16 +187,39 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's checkpoint folder, or, where none is set, a new one of our own."""
+    """The folder that all executors share: the session's checkpoint folder. Where none is set, one of our own on a local master, and an error on a cluster."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="folio-checkpoint-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
 
 
+def own_folder(spark: SparkSession, kind: str) -> str:
+    """A new place in the shared folder. What is still there when the driver ends is deleted then."""
+    path = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    _owned.append(path)
+    return path
+
+
+_owned: list[str] = []
+
+
+@atexit.register
+def _clear() -> None:
+    for path in _owned:
+        try:
+            files, name = fs.FileSystem.from_uri(path)
+            if files.get_file_info(name).type != fs.FileType.NotFound:
+                files.delete_dir(name)
+        except (OSError, pa.ArrowException):  # the folder went with its file system
+            pass
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Computes df once and ends its lineage in the shared folder, so a lost executor costs no recomputation."""
     shared_folder(df.sparkSession)
@@ -163,7 +228,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def written(df: DataFrame) -> tuple[DataFrame, str]:
     """df as a Parquet table in the shared folder, a third of a checkpoint's size; and its path, for remove()."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = own_folder(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 

@@ -3,7 +3,8 @@
 Two suffixes are compared through their longest common extension, found by binary search over
 prefix polynomial hashes: a logarithmic number of slice comparisons, however long they agree.
 A merge sort with this comparison brings equal passages side by side; they are then compared
-byte for byte, so that a hash collision can't join them.
+byte for byte, so that a hash collision can't join them. Stretches that are equal as a whole are
+known by a cryptographic digest of their bytes and enter the sort once.
 
 Suffixes that can begin with the same WIDTH words meet in one task by the minimizer of those
 words (windows.py), so the sort is of many small groups, which take each of its steps
@@ -17,11 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel, windows
-from .windows import NO_ID, WIDTH
+from .windows import DOCUMENT, KIND, WIDTH
 
 
 def common(prefix: kernel.Prefix, a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
@@ -112,7 +113,8 @@ def verified(bucket: windows.Bucket, label: np.ndarray, owner: np.ndarray) -> np
         known: dict[tuple, int] = {}
         top = int(label.max()) + 1
         w = bucket.words
-        for i in np.flatnonzero(np.isin(label, label[np.repeat(~good, count - WIDTH + 1)])):
+        # A collision may also have misled the sort, so all windows of its groups go by their bytes.
+        for i in np.flatnonzero(np.isin(bucket.group, bucket.group[np.repeat(~good, count - WIDTH + 1)])):
             span = range(bucket.word[i], bucket.word[i] + WIDTH)
             content = (int(bucket.group[i]), *(w.data[w.starts[k] : w.ends[k]].tobytes() for k in span))
             label[i] = known.setdefault(content, top + len(known))
@@ -125,7 +127,7 @@ def owners(bucket: windows.Bucket, label: np.ndarray) -> np.ndarray:
         return label
     t = bucket.table
     start = t["start"].astype(np.int64)[bucket.stretch] + bucket.word - bucket.words.first[bucket.stretch]
-    order = np.lexsort((start, t["text_key"][bucket.stretch], t["id"][bucket.stretch], label))
+    order = np.lexsort((start, *(t[c][bucket.stretch] for c in reversed(DOCUMENT)), label))
     head = np.ones(len(order), bool)
     head[1:] = label[order[1:]] != label[order[:-1]]
     out = np.empty(len(order), np.int64)
@@ -133,7 +135,7 @@ def owners(bucket: windows.Bucket, label: np.ndarray) -> np.ndarray:
     return out
 
 
-RANGES = "key long, body long, j0 int, j1 int, o_id long, o_text_key long, o_start int"
+RANGES = "key long, body long, more long, j0 int, j1 int, o_no_id boolean, o_id long, o_text_key long, o_start int"
 
 
 def settle(rows: pa.Table) -> pa.RecordBatch:
@@ -149,23 +151,39 @@ def settle(rows: pa.Table) -> pa.RecordBatch:
     j0 = bucket.word[begin] - bucket.words.first[q]
     there = t["start"].astype(np.int64)[o] + bucket.word[owner[begin]] - bucket.words.first[o]
     return pa.RecordBatch.from_arrays(
-        [pa.array(t["key"][q]), pa.array(t["body"][q]), pa.array(j0, pa.int32()), pa.array(j0 + end - begin, pa.int32()), pa.array(t["id"][o]), pa.array(t["text_key"][o]), pa.array(there, pa.int32())],
+        [*(pa.array(t[c][q]) for c in KIND), pa.array(j0, pa.int32()), pa.array(j0 + end - begin, pa.int32()), *(pa.array(t[c][o]) for c in DOCUMENT), pa.array(there, pa.int32())],
         names=[x.split()[0] for x in RANGES.split(", ")],
     )
 
 
+def settle_apart(kinds: DataFrame, docs: DataFrame) -> DataFrame:
+    """What settle() gives, for kinds too many for one task: equal windows meet by digest, in Spark's partial aggregation."""
+    each = kernel.cut(windows.single_windows(kinds, docs, []).select(*KIND, *DOCUMENT, "j", (F.col("start") + F.col("j")).alias("start"), "w0", "w1").dropDuplicates([*KIND, "j"]))
+    owner = each.groupBy(F.col("w0").alias("v0"), F.col("w1").alias("v1")).agg(F.min(windows.place()).alias("o"))
+    placed = each.join(owner, (F.col("w0") == F.col("v0")) & (F.col("w1") == F.col("v1"))).select(*KIND, "j", *(F.col(f"o.{c}").alias(f"o_{c}") for c in (*DOCUMENT, "start")))
+    # Windows in a row whose owners are in a row are one range.
+    shift = [*KIND, "o_no_id", "o_id", "o_text_key", "shift"]
+    line = placed.withColumn("shift", F.col("o_start") - F.col("j")).withColumn("run", F.col("j") - F.row_number().over(Window.partitionBy(*shift).orderBy("j")))
+    return line.groupBy(*shift, "run").agg(F.min("j").alias("j0"), (F.max("j") + 1).alias("j1"), F.min("o_start").alias("o_start")).select(*(x.split()[0] for x in RANGES.split(", ")))
+
+
 def duplicates(docs: DataFrame) -> DataFrame:
-    """(id, text_key, start_word, end_word, first_ids) of each maximal span of words whose every WIDTH-word window has an earlier occurrence.
+    """(*DOCUMENT, start_word, end_word, first_ids) of each maximal span of words whose every WIDTH-word window has an earlier occurrence.
 
     first_ids are the documents of those first occurrences.
     """
     found = windows.repeats(docs, ways=False)
-    compared = windows.by_minimizer(windows.with_text(found.kinds.where("many"), docs, []), settle, RANGES)
-    alike = found.kinds.where("not many").select("key", "body", F.lit(0).alias("j0"), F.col("windows").alias("j1"), F.col("id").alias("o_id"), F.col("text_key").alias("o_text_key"), F.col("start").alias("o_start"))
+    compared = windows.by_minimizer(windows.with_text(found.kinds.where("many and not hot"), docs, []), settle, RANGES)
+    if not (hot := found.kinds.where("hot")).isEmpty():
+        compared = compared.unionByName(settle_apart(hot, docs))
+    alike = found.kinds.where("not many").select(*KIND, F.lit(0).alias("j0"), F.col("windows").alias("j1"), *(F.col(c).alias(f"o_{c}") for c in (*DOCUMENT, "start")))
     ranges = compared.unionByName(alike)
-    hits = found.occurrences.join(ranges, ["key", "body"]).where("not (id = o_id and text_key = o_text_key and start + j0 = o_start)")
-    spans = hits.select("id", "text_key", (F.col("start") + F.col("j0")).alias("w0"), (F.col("start") + F.col("j1") + (WIDTH - 1)).alias("w1"), "o_id")
-    return windows.islands(spans, F.array_sort(F.collect_set(F.nullif("o_id", F.lit(NO_ID)))).alias("first_ids"))
+    own = F.col("start") + F.col("j0") == F.col("o_start")
+    for c in DOCUMENT:
+        own &= F.col(c) == F.col(f"o_{c}")
+    hits = found.occurrences.join(ranges, KIND).where(~own)
+    spans = hits.select(*DOCUMENT, (F.col("start") + F.col("j0")).alias("w0"), (F.col("start") + F.col("j1") + (WIDTH - 1)).alias("w1"), F.when(~F.col("o_no_id"), F.col("o_id")).alias("o_id"))
+    return windows.islands(spans, F.array_sort(F.collect_set("o_id")).alias("first_ids"))
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -175,25 +193,30 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
     Defined cases: texts that are null, empty or shorter than WIDTH words have none; a passage
     repeated within one document is a duplicate from its second occurrence on; a null id
-    counts as the largest and isn't listed in first_ids; rows equal in id and text are one
+    comes after all others and isn't listed in first_ids; rows equal in id and text are one
     document; rows that share an id with other texts are documents of their own; texts are
     taken whole; an empty table gives no rows; other columns are not looked at.
     """
-    return duplicates(docs).select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "start_word", "end_word", "first_ids")
+    return duplicates(docs).select(F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), "start_word", "end_word", "first_ids")
 
 
 def drop_repeated(docs: DataFrame) -> DataFrame:
     """docs with duplicate passages cut out of their texts; all other rows and columns stay as they are.
 
     What was around a cut passage is joined as it stands: a passage takes the white space
-    after it along. A document with nothing left stays, with what is left of its text. Where
-    docs has an integer column n_chars, it is counted anew for texts that change.
+    after it along. Where docs has an integer column n_chars, it is counted anew for texts
+    that change.
+
+    Defined cases: a document with nothing left stays, with what is left of its text; null,
+    empty and short texts stay as they are, and null ones null; of repeated rows each is cut
+    alike; rows with a null or shared id are each cut by their own text; any other column may
+    have any name; an empty table gives no rows.
     """
-    spans = kernel.cut(duplicates(docs).groupBy("id", "text_key").agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans")))
-    i, k, s = kernel.fresh(docs, "suffix_id", "suffix_key", "suffix_spans")
-    spans = spans.select(F.col("id").alias(i), F.col("text_key").alias(k), F.col("spans").alias(s))
-    own = F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID))
-    joined = docs.join(spans, (own == F.col(i)) & (F.xxhash64(docs["text"].cast("string")) == F.col(k)), "left").drop(i, k)
+    spans = kernel.cut(duplicates(docs).groupBy(*DOCUMENT).agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans")))
+    n, i, k, s = kernel.fresh(docs, "suffix_no_id", "suffix_id", "suffix_key", "suffix_spans")
+    spans = spans.select(F.col("no_id").alias(n), F.col("id").alias(i), F.col("text_key").alias(k), F.col("spans").alias(s))
+    none, own, key = windows.identity(docs["doc_id"], docs["text"].cast("string"))
+    joined = docs.join(spans, (own == F.col(i)) & (key == F.col(k)) & (none == F.col(n)), "left").drop(n, i, k)
     schema = docs.schema
     counts = next((f.name for f in schema.fields if f.name.lower() == "n_chars" and f.dataType.typeName() in ("long", "integer")), None)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from folio.llm import debruijn, kernel, suffixes, windows
 
 W = windows.WIDTH
+LAST = 10**18  # stands for a null id, which comes after all others
 
 
 def split(text):
@@ -26,7 +27,7 @@ def spans(places):
 
 
 def brute(rows):
-    docs = sorted({(d if d is not None else windows.NO_ID, t) for d, t in rows if t}, key=lambda x: (x[0], x[1]))
+    docs = sorted({(d if d is not None else LAST, t) for d, t in rows if t}, key=lambda x: (x[0], x[1]))
     at = defaultdict(list)
     for n, (d, t) in enumerate(docs):
         w = split(t)
@@ -46,6 +47,46 @@ def brute(rows):
     return flat(later), flat(every)
 
 
+def first_ids(rows):
+    """{(doc_id, start): documents of the first occurrences} of each duplicate passage of documents whose ids are their own."""
+    docs = sorted({(d, t) for d, t in rows if t})
+    first, own = {}, defaultdict(dict)
+    for d, t in docs:
+        w = split(t)
+        for p in range(len(w) - W + 1):
+            o = first.setdefault(tuple(w[p : p + W]), (d, p))
+            if o != (d, p):
+                own[d][p] = o[0]
+    return {(d, a): sorted({found[p] for p in range(a, b - W + 1) if p in found}) for d, found in own.items() for a, b in spans(found)}
+
+
+def graph_spans(rows):
+    """{(doc_id, start): (number of paths, most copies)} by a graph of word tuples, compacted in plain Python."""
+    docs = sorted({(d, t) for d, t in rows if t})
+    words = [split(t) for _, t in docs]
+    at, ins, outs = defaultdict(list), defaultdict(set), defaultdict(set)
+    for n, w in enumerate(words):
+        for p in range(len(w) - W + 1):
+            node = tuple(w[p : p + W])
+            at[node].append((n, p))
+            ins[node].add(w[p - 1] if p else None)
+            outs[node].add(w[p + W] if p + W < len(w) else None)
+    one = {k: {x: next(iter(ways[x])) if len(ways[x]) == 1 else None for x in at} for k, ways in (("in", ins), ("out", outs))}
+    out = {}
+    for n, w in enumerate(words):
+        found = {p for p in range(len(w) - W + 1) if len(at[tuple(w[p : p + W])]) > 1}
+        for a, b in spans(found):
+            names, copies = set(), 0
+            for p in sorted(found & {*range(a, b - W + 1)}):
+                node = tuple(w[p : p + W])
+                copies = max(copies, len(at[node]))
+                back = tuple(w[p - 1 : p + W - 1]) if p - 1 in found else None
+                if back is None or one["out"][back] is None or one["in"][node] is None:
+                    names.add(node)
+            out[docs[n][0], a] = (len(names), copies)
+    return out
+
+
 @pytest.fixture(scope="module")
 def corpus(words):
     passage, other = words(100, 60), words(101, 55)
@@ -63,6 +104,7 @@ def frame(spark, rows):
 def test_suffixes_against_brute_force(spark, corpus):
     got = suffixes.repeated_passages(frame(spark, corpus)).collect()
     assert sorted((r.doc_id, r.start_word, r.end_word) for r in got) == brute(corpus)[0]
+    assert {(r.doc_id, r.start_word): r.first_ids for r in got} == first_ids(corpus)
     first = {r.doc_id: r.first_ids for r in got}
     assert first[11] == [10] and first[21] == [20] and 15 not in first and 0 not in first
 
@@ -72,6 +114,9 @@ def test_debruijn_against_brute_force(spark, corpus):
     assert sorted((r.doc_id, r.start_word, r.end_word) for r in got) == brute(corpus)[1]
     by = {r.doc_id: r for r in got}
     assert by[20].paths == by[21].paths and by[20].copies >= 3
+    loops = (30, 31)  # a path that a text goes along twice is one of its paths
+    want = graph_spans(corpus)
+    assert {(r.doc_id, r.start_word): (len(r.paths), r.copies) for r in got if r.doc_id not in loops} == {k: v for k, v in want.items() if k[0] not in loops}
 
 
 def test_paths_are_maximal(spark, words):
@@ -96,17 +141,64 @@ def test_merge_sort(seed):
 def test_collisions_are_seen(words, monkeypatch):
     """With hashes that all collide, verification by bytes still tells windows apart."""
     a, b = words(1, 52), words(2, 52)
-    t = pa.table({"key": [1, 1, 1], "body": [1, 2, 3], "id": [1, 2, 3], "text_key": [1, 1, 1], "start": pa.array([0, 0, 0], pa.int32()), "windows": pa.array([3, 3, 3], pa.int32()), "at": pa.array([5, 5, 5], pa.int32()), "words": pa.array([a.encode(), b.encode(), a.encode()])})
+    t = pa.table({"key": [1, 1, 1], "body": [1, 2, 3], "more": [0, 0, 0], "no_id": [False] * 3, "id": [1, 2, 3], "text_key": [1, 1, 1], "start": pa.array([0, 0, 0], pa.int32()), "windows": pa.array([3, 3, 3], pa.int32()), "at": pa.array([5, 5, 5], pa.int32()), "words": pa.array([a.encode(), b.encode(), a.encode()])})
     bucket = windows.Bucket.of(t)
     label = suffixes.verified(bucket, bucket.group * 0, suffixes.owners(bucket, bucket.group * 0))
     assert label[0] != label[3] and label[0] == label[6] and label[1] != label[0]
 
 
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() & 1] for i in range(n))
+
+
+def test_words_with_equal_polynomial_hashes(spark, words):
+    """A long word and its complement collide under every polynomial hash modulo 2**64; texts that differ in it are no copies."""
+    t = thue_morse(2048)
+    other = t.translate(str.maketrans("ab", "ba"))
+    both = np.frombuffer((t + other).encode(), np.uint8)
+    for base in (kernel.BASE, kernel.WORD_BASE):
+        assert len(set(kernel.Prefix(both, base).slices(np.array([0, 2048]), np.array([2048, 4096])))) == 1
+    head, tail, more = words(1, 30), words(2, 30), words(3, 400)
+    rows = [(1, f"{head} {t} {tail}"), (2, f"{head} {other} {tail}"), (3, f"{more} {head} {t} {tail} {words(4, 300)}"), (4, f"{words(5, 300)} {head} {other} {tail} {words(6, 300)}")]
+    for some in (rows[:2], [rows[0], rows[3]]):
+        df = frame(spark, some)
+        assert suffixes.repeated_passages(df).collect() == [] and debruijn.repeated_spans(df).collect() == []
+        assert {r.doc_id: r.text for r in suffixes.drop_repeated(df).collect()} == dict(some)
+    assert sorted((r.doc_id, r.start_word, r.end_word) for r in suffixes.repeated_passages(frame(spark, rows)).collect()) == brute(rows)[0] == [(3, 400, 461), (4, 300, 361)]
+
+
+def test_many_surroundings_of_one_line(spark, words, corpus, monkeypatch):
+    """Minimizers with more kinds than one task takes: the result is that of the sort."""
+    line = words(77, 30)
+    rows = corpus + [(100 + i, f"{words(200 + i, 25)} {line} {words(300 + i % 4, 40)}") for i in range(30)] + [(140, f"{words(501, 9)} {words(14, 500)}")]
+    df = frame(spark, rows)
+    want = [sorted(map(tuple, f(df).collect())) for f in (suffixes.repeated_passages, lambda x: debruijn.repeated_spans(x).drop("paths"))]
+    n = {r.doc_id: len(r.paths) for r in debruijn.repeated_spans(df).collect()}
+    monkeypatch.setattr(windows, "HOT_KINDS", 1)
+    assert windows.repeats(df).kinds.where("hot").count() > 30
+    got = [sorted(map(tuple, f(df).collect())) for f in (suffixes.repeated_passages, lambda x: debruijn.repeated_spans(x).drop("paths"))]
+    assert got == want
+    assert {r.doc_id: len(r.paths) for r in debruijn.repeated_spans(df).collect()} == n
+
+
+def test_long_texts_and_ids_at_the_edge(spark, words, monkeypatch):
+    """Texts beyond a chunk, the largest id beside null ones, and texts that come out in parts."""
+    monkeypatch.setattr(windows, "FETCH_BYTES", 2000)
+    long = words(1, 260_000)
+    assert len(long) > kernel.CHUNK_BYTES
+    shared = " ".join(long.split()[200_000:200_300])
+    rows = [(1, long), ((1 << 63) - 1, words(2, 40) + " " + shared), (None, shared + " " + words(3, 30)), (None, words(4, 70))]
+    got = suffixes.repeated_passages(frame(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.start_word, r.end_word, r.first_ids) for r in got), key=str) == [((1 << 63) - 1, 40, 340, [1]), (None, 0, 300, [1])]
+    got = debruijn.repeated_spans(frame(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.start_word, r.end_word, r.copies) for r in got), key=str) == [(1, 200_000, 200_300, 3), ((1 << 63) - 1, 40, 340, 3), (None, 0, 300, 3)]
+
+
 def test_messy(messy, empty):
     rows = [(r.doc_id, r.text) for r in messy.collect()]
     later, every = brute(rows)
     got = suffixes.repeated_passages(messy).collect()
-    assert sorted((r.doc_id if r.doc_id is not None else windows.NO_ID, r.start_word, r.end_word) for r in got) == later == [(7, 0, 80)]
+    assert sorted((r.doc_id if r.doc_id is not None else LAST, r.start_word, r.end_word) for r in got) == later == [(7, 0, 80)]
     got = debruijn.repeated_spans(messy).collect()
     assert sorted((r.doc_id, r.start_word, r.end_word) for r in got) == every == [(6, 0, 80), (7, 0, 80)]
     assert suffixes.repeated_passages(empty).collect() == [] and debruijn.repeated_spans(empty).collect() == []
