@@ -1,10 +1,16 @@
 """A splittable reader of compressed WARC files, and a writer.
 
-A .warc.gz file is a chain of gzip members, one for each record. A task gets a byte range of
-a file, scans it for the gzip magic, accepts a candidate only if what it inflates to starts
-with a WARC header block, and owns the records that start inside its range, reading past the
-end of the range for the last. So every record is read exactly once, whatever the split size
-and wherever the cuts fall, and one large file is read by many tasks.
+A .warc.gz file is a chain of gzip members, one for each record: the first member that can be
+decoded, then the first at or after its end, and so on. What a record's stored bytes may hold,
+such as a whole WARC file of its own, is no part of that chain.
+
+A task gets a byte range of a file, scans it for the gzip magic, and accepts a candidate only
+if it decodes to its end. From all candidates that start in its range it tells where the chain
+leaves the range, for each place at which it may enter; that is mostly one number. Put
+together from the start of the file, a row a range, these say where the chain enters each
+range. A second pass then reads the records that start inside its range from there on, past
+the end of the range for the last. So every record is read exactly once, whatever the split
+size and wherever the cuts fall, and one large file is read by many tasks.
 """
 
 from __future__ import annotations
@@ -13,6 +19,7 @@ import json
 import re
 import uuid
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,7 +33,6 @@ from . import kernel
 MAGIC = b"\x1f\x8b\x08"
 SPLIT_BYTES = 8 << 20
 BLOCK = 1 << 18
-HEADER_LIMIT = 1 << 16
 ROWS_OUT, BYTES_OUT = 2000, 4 << 20
 PLAIN = re.compile(r"[!-~]+(?: [!-~]+)*")
 SCHEMA = "file string, start long, warc_type string, record_id string, target_uri string, warc_date string, content_type string, page_id long, payload binary"
@@ -113,23 +119,54 @@ class Ranges:
         return -1
 
 
-def member(source: Ranges, start: int, limit: int | None) -> tuple[bytes, int] | None:
-    """What the gzip member at start inflates to (or the first `limit` bytes of it), and its end; None if it is none."""
-    inflate, out, at, total = zlib.decompressobj(31), [], start, 0
-    while not inflate.eof and (limit is None or total < limit):
+def member(source: Ranges, start: int, keep: bool) -> tuple[bytes, int] | None:
+    """What the gzip member at start inflates to, if it is to be kept, and its end; None if it is none or cut off."""
+    inflate, out, at = zlib.decompressobj(31), [], start
+    while not inflate.eof:
         if not source.need(at + 1):
-            return None  # cut off
+            return None
         block = bytes(source.data[at - source.at : at - source.at + BLOCK])
         try:
-            got = inflate.decompress(block, 0 if limit is None else limit - total)
+            got = inflate.decompress(block, 0 if keep else BLOCK)
+            while not keep and inflate.unconsumed_tail:
+                inflate.decompress(inflate.unconsumed_tail, BLOCK)
         except zlib.error:
             return None
-        out.append(got)
-        total += len(got)
-        at += len(block) - len(inflate.unused_data) - len(inflate.unconsumed_tail)
+        if keep:
+            out.append(got)
+        at += len(block) - len(inflate.unused_data)
     return b"".join(out), at
 
 
+def ways(file: pa.NativeFile, start: int, end: int) -> tuple[list[int], list[int]]:
+    """Where the chain leaves the range [start, end), as (upto, out): if it enters at upto[i] or before, and after upto[i - 1], it goes on at out[i]. Beyond the last, nothing starts in the range."""
+    source, at = Ranges(file, start), start
+    starts, ends = [], []
+    while (at := source.find(MAGIC, at, end)) >= 0:
+        if found := member(source, at, False):
+            starts.append(at)
+            ends.append(found[1])
+        at += 1
+    out = [end] * (len(starts) + 1)  # nothing more starts in the range
+    for i in range(len(starts) - 1, -1, -1):
+        out[i] = ends[i] if ends[i] >= end else out[bisect_left(starts, ends[i])]
+    last = [i for i in range(len(starts)) if i + 1 == len(starts) or out[i] != out[i + 1]]
+    return [starts[i] for i in last], [out[i] for i in last]
+
+
+def entries(rows: pa.Table) -> pa.Table:
+    """Of one file's ranges with their ways: those in which a member of the chain may start, and the place from which on."""
+    rows = rows.sort_by("start")
+    kept, place = [], 0
+    for i, (start, end, upto, out) in enumerate(zip(*(rows.column(c).to_pylist() for c in ("start", "end", "upto", "out")), strict=True)):
+        place = max(place, start)
+        if place < end and (k := bisect_left(upto, place)) < len(upto):
+            kept.append((i, place))
+            place = out[k]
+    some = rows.take(pa.array([i for i, _ in kept], pa.int64()))
+    return pa.table({"path": some.column("path"), "start": pa.array([x for _, x in kept], pa.int64()), "end": some.column("end")})
+
+
 def headed(head: bytes) -> bool:
     return head.startswith(b"WARC/") and b"\nwarc-type:" in head.lower()
 
@@ -144,33 +181,32 @@ def fields(head: bytes) -> dict[str, str]:
 
 
 def records(file: pa.NativeFile, name: str, start: int, end: int) -> Iterator[tuple]:
-    """The records of a file that start in [start, end)."""
+    """The records of a file's chain that start in [start, end); the chain has no member under way at start."""
     source, at = Ranges(file, start), start
     while (at := source.find(MAGIC, at, end)) >= 0:
-        probe = member(source, at, 1024)
-        if probe is None or not headed(probe[0]) and not (len(probe[0]) >= 1024 and (more := member(source, at, HEADER_LIMIT)) and headed(more[0])):
-            at += 1  # these three bytes happen to be in compressed data
-            continue
-        whole = member(source, at, None)
-        if whole is None:  # the file ends within this record
-            at += 1
+        whole = member(source, at, True)
+        if whole is None:
+            at += 1  # these three bytes happen to be in other data, or the file ends within this member
             continue
+        here, at = at, whole[1]
         head, _, rest = whole[0].partition(b"\r\n\r\n")
+        if not headed(head):
+            continue
         f = fields(head)
         length = int(f["content-length"]) if f.get("content-length", "").isdigit() else max(0, len(rest) - 4)
         uri = json.loads(f["x-target-uri-json"]) if "x-target-uri-json" in f else f.get("warc-target-uri")
         page = re.fullmatch(r"<urn:page:(-?\d+)>", f.get("warc-record-id", ""))
-        yield name, at, f.get("warc-type"), f.get("warc-record-id"), uri, f.get("warc-date"), f.get("content-type"), int(page[1]) if page else None, None if "x-payload-null" in f else rest[:length]
-        at = whole[1]
+        yield name, here, f.get("warc-type"), f.get("warc-record-id"), uri, f.get("warc-date"), f.get("content-type"), int(page[1]) if page else None, None if "x-payload-null" in f else rest[:length]
 
 
 def read(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """The records of all .warc.gz files below folder: where each starts, its main header fields and its payload.
 
     Defined cases: a folder without such files, or with empty ones, gives no rows; bytes that
-    are no record are passed over, as is a record that the end of a file cuts off; missing
-    header fields are null; without a Content-Length the payload is all up to the closing
-    blank lines. Records with equal contents stay apart.
+    are no record are passed over, as are members that hold none, and a record that the end of
+    a file cuts off; records stored within a record are its payload; missing header fields are
+    null; without a Content-Length the payload is all up to the closing blank lines. Records
+    with equal contents stay apart. A header block may have any length.
     """
     system, root = fs.FileSystem.from_uri(folder)
     found = [(i.path, i.size) for i in system.get_file_info(fs.FileSelector(root, recursive=True)) if i.path.endswith(".warc.gz") and i.size]
@@ -182,6 +218,20 @@ def read(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYTES) -> Da
         .repartition(splits)  # a range, not its bytes: one a task
     )
 
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, _ = fs.FileSystem.from_uri(folder)
+        for b in batches:
+            found = []
+            for path, start, end in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                with system.open_input_file(path) as file:
+                    found.append(ways(file, start, end))
+            lists = [pa.array([x[i] for x in found], pa.list_(pa.int64())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *lists], names=["path", "start", "end", "upto", "out"])
+
+    # A row a range; the ranges that the chain enters are then dealt out anew.
+    looked = ranges.mapInArrow(look, "path string, start long, end long, upto array<long>, out array<long>")
+    ranges = looked.groupBy("path").applyInArrow(entries, "path string, start long, end long").repartition(splits)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, _ = fs.FileSystem.from_uri(folder)
         rows: list[tuple] = []
@@ -204,9 +254,11 @@ def read(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYTES) -> Da
 def round_trip(pages: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Pages written as WARC files into the shared folder and read back: (page_id, url, html).
 
-    Null ids, URLs and pages come back null and empty pages empty; repeated rows stay.
+    Null ids, URLs and pages come back null and empty pages empty; repeated rows stay; other
+    columns are left out, whatever their names; an empty table gives no rows. The files stay
+    until the driver ends, as the result is read from them.
     """
     spark = pages.sparkSession
-    folder = f"{kernel.shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    folder = kernel.own_folder(spark, "warc")
     write(pages, folder).count()
     return read(spark, folder, split_bytes).select("page_id", F.col("target_uri").alias("url"), F.col("payload").cast("string").alias("html"))
