@@ -8,10 +8,12 @@ Which fingerprints are compared is found by min-hashing: documents share a block
 of TABLES pairs of hash functions both minima over their three-word shingles agree. Two
 documents with resemblance r do so with probability 1 - (1 - r**2)**TABLES: 0.99 at 0.5.
 
-Within a block the fingerprints are stored as bit planes, one machine word for each 64
-fingerprints. One fingerprint's distances to all of them are added up plane by plane with
-carry-save adders, so each bitwise operation serves 64 distances, and a stretch of the block
-is abandoned when all of its distances are beyond the radius. Every pair of a block is compared.
+Fingerprints are stored as bit planes, one machine word for each 64 of them, block after block,
+so small blocks share words. One fingerprint's distances to all of a word are added up plane by
+plane with carry-save adders, so each bitwise operation serves 64 distances, and a word is
+abandoned when the distances to all that belong to the block are beyond the radius. Every pair
+of a block is compared, in blocks of any size. A block of very many is split into tiles, every
+two of which meet (blocks.py).
 """
 
 from __future__ import annotations
@@ -23,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import graph, kernel
+from . import blocks, graph, kernel
 
 BITS, RADIUS = 256, 44
 SHINGLE, TABLES = 3, 16
 PLANES_A_STEP = 16
-SMALL_BLOCK = 48
+TOGETHER = 1 << 16  # fingerprints against words of planes
+ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 _rng = np.random.default_rng(20240607)
 MULTIPLIERS = _rng.integers(1, 1 << 63, 2 * TABLES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -37,6 +40,7 @@ WORDY = np.zeros(256, bool)
 WORDY[48:58] = WORDY[65:91] = WORDY[97:123] = WORDY[128:] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+FIRST = np.packbits(np.arange(64) < np.arange(65)[:, None], axis=1).view(np.uint64).ravel()  # the bits of the first k fingerprints of a word
 SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()  # a byte's bits, each as a byte
 
 
@@ -49,7 +53,7 @@ def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(offsets) - 1
     starts, ends, first = kernel.spans(data, offsets, WORDY[data])
     counts = np.diff(first)
-    hashes = kernel.mix(kernel.Prefix(LOWER[data], kernel.BASE).slices(starts, ends))
+    hashes = kernel.word_hashes(LOWER[data], starts, ends)
     rows = np.repeat(np.arange(n), counts)
 
     # Distinct words: the row in the high bits, 48 bits of the hash below.
@@ -102,19 +106,17 @@ def transpose(prints: np.ndarray) -> np.ndarray:
     return np.packbits(wide, axis=1).view(np.uint64)
 
 
-def within(planes: np.ndarray, queries: np.ndarray, radius: int) -> np.ndarray:
-    """For each query fingerprint, a bit for each fingerprint of the planes: whether they are within the radius."""
-    n_bits, words = planes.shape
-    bits = np.unpackbits(queries.view(np.uint8).reshape(len(queries), -1), axis=1).astype(bool)
-    flip = np.where(bits, np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0))
+def within(planes: np.ndarray, queries: np.ndarray, q: np.ndarray, w: np.ndarray, outside: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """For query fingerprint q[i] and word w[i] of the planes, a bit for each fingerprint there: whether they are within the radius and not outside. Only what has such a bit comes back, as (i, bits)."""
+    n_bits = len(planes)
+    flip = np.where(np.unpackbits(queries.view(np.uint8).reshape(len(queries), -1), axis=1).T, ALL, np.uint64(0))
     digits = (n_bits + 1).bit_length()
-    out = np.zeros((len(queries), words), np.uint64)
-    # Live (query, word) pairs and their counters, one array for each binary digit.
-    q, w = (x.ravel() for x in np.mgrid[0 : len(queries), 0:words])
-    counters = [np.zeros(len(q), np.uint64) for _ in range(digits)]
+    live = np.arange(len(q))
+    counters = [np.zeros(len(q), np.uint64) for _ in range(digits)]  # one array for each binary digit
+    beyond = outside
     for b in range(0, n_bits, PLANES_A_STEP):
         for i in range(b, min(n_bits, b + PLANES_A_STEP), 2):
-            x, y = planes[i, w] ^ flip[q, i], planes[i + 1, w] ^ flip[q, i + 1]
+            x, y = planes[i, w] ^ flip[i, q], planes[i + 1, w] ^ flip[i + 1, q]
             c = counters[0]
             half = x ^ y
             counters[0], carry = half ^ c, (x & y) | (half & c)  # full adder: two planes and the units
@@ -122,14 +124,14 @@ def within(planes: np.ndarray, queries: np.ndarray, radius: int) -> np.ndarray:
                 counters[d], carry = counters[d] ^ carry, counters[d] & carry
                 if not carry.any():
                     break
-        beyond = at_least(counters, radius + 1)
-        live = beyond != np.uint64(0xFFFFFFFFFFFFFFFF)
-        if not live.all():
-            q, w, counters, beyond = q[live], w[live], [c[live] for c in counters], beyond[live]
+        beyond = at_least(counters, radius + 1) | outside
+        go = beyond != ALL
+        if not go.all():
+            live, q, w, outside, beyond = live[go], q[go], w[go], outside[go], beyond[go]
+            counters = [c[go] for c in counters]
             if not len(q):
-                return out
-    out[q, w] = ~beyond
-    return out
+                break
+    return live, ~beyond
 
 
 def at_least(counters: list[np.ndarray], least: int) -> np.ndarray:
@@ -144,95 +146,54 @@ def at_least(counters: list[np.ndarray], least: int) -> np.ndarray:
     return above | equal
 
 
-def block_edges(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect what is connected within the radius in one block, as positions. All pairs are compared."""
+def near_pairs(begin: np.ndarray, prints: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs (i, j), i < j, of rows of one block within the radius, in parts; blocks begin at `begin` and fill the rows."""
     n = len(prints)
     planes = transpose(prints)
-    label = np.arange(n)
-    ends: list[tuple[np.ndarray, np.ndarray]] = []
-    step = max(1, (1 << 20) // planes.shape[1] // 8)
-    for lo in range(0, n, step):
-        hit = within(planes[:, lo // 64 :], prints[lo : lo + step], radius)  # earlier ones have been compared
-        for i in range(len(hit)):
-            if not hit[i].any():
-                continue
-            near = np.flatnonzero(np.unpackbits(hit[i].view(np.uint8))) + lo // 64 * 64
-            near = near[(near > lo + i) & (near < n)]
-            if len(near):
-                roots = np.unique(label[near])
-                mine = label[lo + i]
-                roots = roots[roots != mine]
-                if len(roots):  # one edge for each group that this one joins
-                    at = np.unique(label[near], return_index=True)
-                    chosen = near[at[1][at[0] != mine]]
-                    ends.append((np.full(len(chosen), lo + i), chosen))
-                    label[np.isin(label, roots)] = mine
-    if not ends:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return tuple(np.concatenate(x) for x in zip(*ends, strict=True))
-
-
-def compare(keys: np.ndarray, nodes: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges between nodes within the radius, in rows sorted by key. Small blocks are compared many at a time, row against row."""
-    cuts = np.flatnonzero(np.diff(keys)) + 1
-    begin = np.concatenate([[0], cuts])
-    size = np.diff(np.append(begin, len(keys)))
-    a, b = [], []
-    block = np.repeat(np.arange(len(begin)), size)
-    small = size[block] <= SMALL_BLOCK
-    for shift in range(1, min(SMALL_BLOCK, int(size.max(initial=1)))):
-        i = np.flatnonzero(small[:-shift] & (block[:-shift] == block[shift:]))
-        if not len(i):
-            break
-        total = np.zeros(len(i), np.int64)
-        for w in range(prints.shape[1]):  # word by word, abandoned like the planes
-            total += np.bitwise_count(prints[i, w] ^ prints[i + shift, w])
-            keep = total <= radius
-            i, total = i[keep], total[keep]
-        a.append(nodes[i])
-        b.append(nodes[i + shift])
-    for k in np.flatnonzero(size > SMALL_BLOCK):
-        part = slice(begin[k], begin[k] + size[k])
-        i, j = block_edges(prints[part], radius)
-        a.append(nodes[part][i])
-        b.append(nodes[part][j])
-    if not a:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    end = np.repeat(np.append(begin[1:], n), np.diff(np.append(begin, n)))
+    i = np.flatnonzero(np.arange(1, n + 1) < end)  # each meets those after it
+    first, count = (i + 1) // 64, (end[i] - 1) // 64 - (i + 1) // 64 + 1
+    upto = np.cumsum(count)
+    lo = 0
+    while lo < len(i):
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] - count[lo] + TOGETHER, "right")))
+        q = np.repeat(np.arange(hi - lo), count[lo:hi])
+        w = np.arange(len(q)) - np.repeat(upto[lo:hi] - count[lo:hi] - (upto[lo] - count[lo]), count[lo:hi]) + first[lo:hi][q]
+        row = i[lo:hi][q]
+        outside = FIRST[np.clip(row + 1 - 64 * w, 0, 64)] | ~FIRST[np.clip(end[row] - 64 * w, 0, 64)]
+        some, bits = within(planes, prints[i[lo:hi]], q, w, outside, radius)
+        if len(some):
+            at, place = np.nonzero(np.unpackbits(bits.view(np.uint8)).reshape(-1, 64))
+            yield row[some[at]], w[some[at]] * 64 + place
+        lo = hi
+
+
+def compare(begin: np.ndarray, nodes: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (a < b) that connect what is connected within the radius in each block. Of a group's pairs, all of which are compared, those that join it are kept."""
+    label, a, b = np.arange(len(nodes)), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i, j in near_pairs(begin, prints, radius):
+        p, q, label = blocks.spanning(label, i, j)
+        a.append(nodes[p])
+        b.append(nodes[q])
     x, y = np.concatenate(a), np.concatenate(b)
     return np.minimum(x, y), np.maximum(x, y)
 
 
-def near_edges(blocks: DataFrame, radius: int) -> DataFrame:
-    """(a, b) of near nodes from rows (key, node, f0..f3). A block that Arrow batches cut is put together again."""
-    names = [f"f{w}" for w in range(BITS // 64)]
+def near_edges(rows: DataFrame, radius: int, words: int = BITS // 64) -> DataFrame:
+    """(a, b) of nodes that connects near ones, from rows (key, node, f0, f1, ...)."""
+    names = [f"f{w}" for w in range(words)]
 
-    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+    def edges(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        col = {c: table.column(c).to_numpy() for c in ("node", *names)}
+        a, b = compare(blocks.begins(table, KEYS), col["node"], np.stack([col[c].view(np.uint64) for c in names], 1), radius)
+        if len(a):
+            a, b = np.unique(np.stack([a, b], 1), axis=0).T
+        yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-        def out(rows: pa.Table) -> pa.RecordBatch:
-            col = {c: rows.column(c).to_numpy() for c in rows.column_names}
-            a, b = compare(col["key"], col["node"], np.stack([col[c].view(np.uint64) for c in names], 1), radius)
-            if len(a):
-                pair = np.unique(np.stack([a, b], 1), axis=0)
-                a, b = pair[:, 0], pair[:, 1]
-            return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    return blocks.each(blocks.tiled(rows, "key", "node").drop("tile"), KEYS, edges, "a long, b long")
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = batch.column(0).to_numpy()
-            last = int(np.searchsorted(keys, keys[-1]))  # the last block may go on
-            if last:
-                yield out(pa.Table.from_batches([*held, batch.slice(0, last)]))
-                held = []
-            elif held and held[-1].column(0)[-1].as_py() != keys[0]:
-                yield out(pa.Table.from_batches(held))
-                held = []
-            held.append(batch.slice(last))
-        if held:
-            yield out(pa.Table.from_batches(held))
-
-    return blocks.mapInArrow(edges, "a long, b long")
+
+KEYS = ["key", *blocks.BLOCK]
 
 
 def members(docs: DataFrame) -> DataFrame:
@@ -278,9 +239,9 @@ def grouped(rows: DataFrame, radius: int) -> DataFrame:
     # Documents with one fingerprint are one node, so thousands of exact copies meet once; it has the
     # block keys of all of them, as the same words in another order have other shingles.
     nodes = rows.groupBy("node").agg(*(F.first(c).alias(c) for c in names), F.array_distinct(F.flatten(F.collect_set("keys"))).alias("keys"))
-    blocks = nodes.select(F.explode("keys").alias("key"), "node", *names)
-    blocks = blocks.repartition("key").sortWithinPartitions("key")
-    parts = graph.components(near_edges(blocks, radius))
+    nodes, path = kernel.written(nodes)
+    parts = graph.components(near_edges(nodes.select(F.explode("keys").alias("key"), "node", *names), radius))
+    kernel.remove(rows.sparkSession, path)
     documents = rows.select("doc_id", "text_key", "node").distinct()
     placed = documents.join(parts, "node", "left").select("doc_id", "text_key", F.coalesce("component", "node").alias("component"))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
@@ -290,7 +251,12 @@ def grouped(rows: DataFrame, radius: int) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs, with all their columns, that are no near copy of one that stays; of rows repeated in full, one."""
+    """The rows of docs, with all their columns, that are no near copy of one that stays; of rows repeated in full, one.
+
+    Defined cases: null, empty and word-free texts stay; of a group the document with the least
+    id stays, a null id ordering after all others, and of rows that share an id and differ in
+    text each is decided on its own; columns may have any names; an empty table gives no rows.
+    """
     rows = kernel.cut(members(docs))
     gone = kernel.cut(grouped(rows, radius).select("doc_id", "text_key"))
     key, i, k, ri, rk = kernel.fresh(docs, "simhash_key", "simhash_gone_id", "simhash_gone_key", "simhash_repeated_id", "simhash_repeated_key")

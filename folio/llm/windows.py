@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import kernel
+from . import blocks, kernel
 
 WIDTH, GRAM = 50, 11
 POSITION_BITS = 31  # of a packed minimizer: the place of its first word in its piece; no text has so many words
@@ -261,26 +261,12 @@ def single_windows(kinds: DataFrame, docs: DataFrame, extra: list[str]) -> DataF
 
 
 def by_minimizer(rows: DataFrame, work: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
-    """Applies work to tables that hold whole minimizers, sorted by key, many small ones at once."""
+    """Applies work to tables that hold whole minimizers, many small ones at once."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = batch.column("key").to_numpy()
-            last = int(np.searchsorted(keys, keys[-1]))  # the last minimizer may go on in the next batch
-            if last:
-                yield work(pa.Table.from_batches([*held, batch.slice(0, last)]))
-                held = []
-            elif held and held[-1].column("key")[-1].as_py() != keys[0]:
-                yield work(pa.Table.from_batches(held))
-                held = []
-            held.append(batch.slice(last))
-        if held:
-            yield work(pa.Table.from_batches(held))
-
-    return rows.repartition("key").sortWithinPartitions(*KIND).mapInArrow(run, schema)
+    def one(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        yield work(table)
+
+    return blocks.each(rows, ["key"], one, schema, tuple(KIND[1:]))
 
 
 @dataclass

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from folio.llm import graph, simhash
+from folio.llm import blocks, graph, simhash
 
 
 def brute(prints, radius):
@@ -18,9 +18,68 @@ def test_planes_against_brute_force(n):
     r = np.random.default_rng(n)
     prints = r.integers(0, 1 << 63, (n, 4), np.uint64)
     prints[n // 2 :] = prints[: n - n // 2] ^ (np.uint64(1) << r.integers(0, 64, (n - n // 2, 4)).astype(np.uint64))
-    hit = simhash.within(simhash.transpose(prints), prints, 5)
-    got = np.unpackbits(hit.view(np.uint8).reshape(n, -1), axis=1)[:, :n].astype(bool)
-    assert (got == brute(prints, 5)).all()
+    planes = simhash.transpose(prints)
+    q, w = (x.ravel() for x in np.mgrid[0:n, 0 : planes.shape[1]])
+    some, bits = simhash.within(planes, prints, q, w, np.where(w * 64 + 64 > n, ~simhash.FIRST[n - n // 64 * 64], np.uint64(0)), 5)
+    got = np.zeros((n, planes.shape[1] * 64), bool)
+    at, place = np.nonzero(np.unpackbits(bits.view(np.uint8)).reshape(-1, 64))
+    got[q[some[at]], w[some[at]] * 64 + place] = True
+    assert (got[:, :n] == brute(prints, 5)).all() and not got[:, n:].any()
+
+
+@pytest.mark.parametrize("together", [1, 7, 1 << 16])
+def test_every_pair_of_a_block_and_no_other(together, monkeypatch):
+    """Blocks of all sizes, the small ones within words of planes that they share; near fingerprints of other blocks are no pairs."""
+    monkeypatch.setattr(simhash, "TOGETHER", together)
+    r = np.random.default_rng(5)
+    sizes = np.concatenate([[1, 2, 3, 1, 1, 2, 63, 64, 65, 1, 200, 2], r.integers(1, 6, 40)])
+    base = r.integers(0, 1 << 63, (3, 4), np.uint64)
+    prints = base[r.integers(0, 3, sizes.sum())]
+    for _ in range(4):
+        prints[:, r.integers(0, 4)] ^= np.uint64(1) << r.integers(0, 64, len(prints)).astype(np.uint64)
+    begin = np.cumsum(sizes) - sizes
+    block = np.repeat(np.arange(len(sizes)), sizes)
+    want = {(i, j) for i, j in np.argwhere(brute(prints, 9)).tolist() if i < j and block[i] == block[j]}
+    got = [(i, j) for p, q in simhash.near_pairs(begin, prints, 9) for i, j in zip(p.tolist(), q.tolist(), strict=True)]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 500
+    a, b = simhash.compare(begin, np.arange(len(prints)), prints, 9)
+    assert {*zip(a.tolist(), b.tolist(), strict=True)} <= want and components(a, b, len(prints)) == components(*np.array(sorted(want)).T, len(prints))
+
+
+def components(a, b, n):
+    label = list(range(n))
+    for _ in range(n):
+        before = list(label)
+        for x, y in zip(a, b, strict=True):
+            label[x] = label[y] = min(label[x], label[y])
+        if label == before:
+            return label
+
+
+def test_a_block_of_very_many_is_split(spark, corpus, monkeypatch):
+    df = spark.createDataFrame(corpus, "doc_id long, text string")
+    want = {tuple(r) for r in simhash.groups(df).collect()}
+    monkeypatch.setattr(blocks, "ROWS", 7)
+    rows = spark.createDataFrame([(1, i) for i in range(40)] + [(2, i) for i in range(5)], "key long, node long")
+    met = {(r.key, r.lo, r.hi): [] for r in blocks.tiled(rows, "key", "node").collect()}
+    for r in blocks.tiled(rows, "key", "node").collect():
+        met[r.key, r.lo, r.hi].append(r.node)
+    assert {(min(a, b), max(a, b)) for (k, _, _), v in met.items() if k == 1 for a in v for b in v if a != b} == {(i, j) for i in range(40) for j in range(i + 1, 40)}
+    assert sorted(met[2, 0, 0]) == [*range(5)] and max(map(len, met.values())) <= 25
+    assert {tuple(r) for r in simhash.groups(df).collect()} == want
+
+
+def test_planes_are_used_on_the_smallest_tables(spark, sf_dir, monkeypatch):
+    sliced = []
+    here = simhash.within
+    monkeypatch.setattr(simhash, "within", lambda *a: sliced.append(len(a[2])) or here(*a))
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    counts, prints, keys = simhash.fingerprints(pa.array(texts))
+    key = keys[counts > 0, 0]
+    order = np.argsort(key, kind="stable")
+    begin = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+    simhash.compare(begin, order, prints[counts > 0][order], simhash.RADIUS)
+    assert sum(sliced) > 10
 
 
 def edited(text, share, seed):
