@@ -24,8 +24,8 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every near copy among the vectors, with the one that stays for it."""
-    return embeddings.groups(table(spark, sf_dir, "embeddings"))
+    """Every vector with the least of its group of near copies, and how many others are near it."""
+    return embeddings.classes(table(spark, sf_dir, "embeddings"))
 
 
 def op4_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
