@@ -29,8 +29,8 @@ def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sketch of every document, and what all pairs of sketches with a hash in common estimate."""
-    return sketches.report(table(spark, sf_dir, "documents"))
+    """The sketch of every document, how many other sketches are like it, and the one most like it."""
+    return sketches.fingerprints(table(spark, sf_dir, "documents"))
 
 
 def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:

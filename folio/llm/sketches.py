@@ -5,24 +5,33 @@ a union is the least of both sketches, so sketches of parts merge into that of t
 any order. They estimate how many distinct shingles there are (exactly, below SIZE), the
 resemblance of two sets and how much of one is contained in the other. Hashes are stored as
 signed numbers in the order of the unsigned ones.
+
+Two different sketches are linked if the estimate of their resemblance is ALIKE or more. None
+of these links is missed: two such sketches share at least ALIKE of the longer one's hashes, so
+with all hashes in one order, one of the first 1 - ALIKE of each is the same. Hashes that very
+many sketches have come last in that order, so that boilerplate brings few together. Sketches
+that share one of their first hashes are compared by signatures in bit planes (simhash.py),
+which leave out none that can be linked; what these connect is compared in full, each sketch
+once with each other of its component, and only counts leave the task.
 """
 
 from __future__ import annotations
 
-import uuid
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs, parquet
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import kernel
+from . import blocks, graph, kernel, simhash
 
 SIZE, SHINGLE = 128, 5
-BLOCK = 4096  # sketches that are held at once, twice
-MEETINGS = 1 << 20
+ALIKE = 0.8
+SIGNATURE = 512  # bits
+OFTEN = 500  # a hash that one in so many sketches has comes late in the order
+CHUNK = 1 << 14
 FLIP = np.uint64(1 << 63)
 
 
@@ -50,16 +59,18 @@ def shingles(texts: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]
 
 
 def sketch(docs: DataFrame, size: int = SIZE, k: int = SHINGLE) -> DataFrame:
-    """(doc_id, source, sketch) of every row, in one pass."""
+    """(doc_id, source, sketch_id, sketch) of every row, in one pass. sketch_id is a 64-bit digest of the sketch, equal where sketches are."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in kernel.pieces(batch, "text"):
                 values, counts = bottom(*shingles(part.column("text"), k), part.num_rows, size)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), kernel.ragged(kernel.signed(values ^ FLIP), counts, pa.int64())], names=["doc_id", "source", "sketch"])
+                ends = np.cumsum(counts) * 8
+                name = kernel.digests(values.tobytes(), ends - counts * 8, ends, 8)[:, 0]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), pa.array(kernel.signed(name)), kernel.ragged(kernel.signed(values ^ FLIP), counts, pa.int64())], names=["doc_id", "source", "sketch_id", "sketch"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(apply, "doc_id long, source string, sketch array<long>")
+    return rows.mapInArrow(apply, "doc_id long, source string, sketch_id long, sketch array<long>")
 
 
 def union(a: Column, b: Column, size: int = SIZE) -> Column:
@@ -130,111 +141,136 @@ def estimated(n: np.ndarray, last: np.ndarray, size: int) -> np.ndarray:
     return np.where(n < size, n, (size - 1) / ((last.astype(np.float64) + 2.0**63 + 1) / 2.0**64))
 
 
-def meeting(x: np.ndarray, nx: np.ndarray, y: np.ndarray | None, ny: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of a row of x and one of y that have a value in common, each once; without y, of two rows of x. In parts of some thousand rows of x."""
-    rows, width = np.repeat(np.arange(len(nx)), nx), x.shape[1]
-    values = x[np.arange(width) < nx[:, None]]
-    others, theirs = (rows, values) if y is None else (np.repeat(np.arange(len(ny)), ny), y[np.arange(width) < ny[:, None]])
-    order = np.argsort(theirs, kind="stable")
-    others, theirs = others[order], theirs[order]
-    lo, hi = np.searchsorted(theirs, values, "left"), np.searchsorted(theirs, values, "right")
-    n = len(ny) if y is not None else len(nx)
-    ends, meets = np.cumsum(nx), np.cumsum(hi - lo)
-    first = 0
-    while first < len(nx):  # as many rows as meet about MEETINGS values, one at least
-        start = int(ends[first] - nx[first])
-        before = int(meets[start - 1]) if start else 0
-        until = int(np.searchsorted(meets, before + MEETINGS, "right"))
-        stop = max(first + 1, int(np.searchsorted(ends, until, "right")))
-        part = slice(start, int(ends[stop - 1]))
-        count = hi[part] - lo[part]
-        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo[part], count)
-        pair = np.repeat(rows[part], count) * n + others[at]
-        if y is None:
-            pair = pair[pair // n < pair % n]
-        pair = np.unique(pair)
-        yield pair // n, pair % n
-        first = stop
-
-
-def pairs(sketches: DataFrame, size: int = SIZE) -> DataFrame:
-    """(sketch_id, other_id, resemblance, containment, other_containment) of all pairs of different sketches with a hash in common.
-
-    sketches has (sketch_id, sketch); each pair comes once, with sketch_id < other_id; containment is how much of
-    sketch_id is in other_id, other_containment the reverse. Nothing is left out however often a hash occurs, so
-    the rows grow with the square of the sketches that share one. Sketches are kept in blocks as a table in
-    the shared folder, from which each task reads two blocks at a time.
-    """
-    spark = sketches.sparkSession
-    nodes = kernel.cut(sketches.where(F.size("sketch") > 0).select("sketch_id", "sketch").dropDuplicates(["sketch_id"]))
-    n = max(1, -(-nodes.count() // BLOCK))
-    folder = f"{kernel.shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    nodes.withColumn("block", F.pmod("sketch_id", F.lit(n))).repartition("block").write.partitionBy("block").parquet(folder)
-
-    def load(block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        files, path = fs.FileSystem.from_uri(f"{folder}/block={block}")
-        if files.get_file_info(path).type == fs.FileType.NotFound:
-            return np.zeros(0, np.int64), np.zeros((0, size), np.int64), np.zeros(0, np.int64)
-        table = parquet.read_table(path, filesystem=files, columns=["sketch_id", "sketch"], partitioning=None)
-        lists = table.column("sketch").combine_chunks()
-        counts = np.asarray(lists.value_lengths()).astype(np.int64)
-        full = np.full((len(counts), size), np.iinfo(np.int64).max)
-        full[np.arange(size) < counts[:, None]] = lists.flatten().to_numpy()
-        return table.column("sketch_id").to_numpy(), full, counts
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int, tuple] = (-1, ())
+def grid(lists: pa.ListArray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sketches as rows, filled up at their ends with the largest number; and how many hashes each has."""
+    counts = np.asarray(lists.value_lengths()).astype(np.int64)
+    full = np.full((len(counts), size), np.iinfo(np.int64).max)
+    full[np.arange(size) < counts[:, None]] = lists.flatten().to_numpy()
+    return full, counts
+
+
+def signatures(full: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A bit for each hash, of SIGNATURE: those of two sketches differ in no more bits than the sketches have hashes that the other lacks."""
+    bits = np.zeros((len(full), SIGNATURE), bool)
+    row = np.repeat(np.arange(len(full)), counts)
+    inside = np.arange(full.shape[1]) < counts[:, None]
+    bits[row, (full[inside] & (SIGNATURE - 1)).astype(np.int64)] = True
+    return np.packbits(bits, axis=1).view(np.uint64)
+
+
+def radius(size: int, alike: float) -> int:
+    """How many hashes two linked sketches have that the other lacks, at most."""
+    return math.floor(2 * (1 - alike) * size + 1e-9)
+
+
+def frequent(sketches: DataFrame, size: int) -> np.ndarray:
+    """Hashes that many sketches have, sorted; at most 2 * OFTEN * size. The result of no query depends on which they are."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if held[0] != i:
-                    held = (i, load(i))
-                ids, x, nx = held[1]
-                other_ids, y, ny = held[1] if i == j else load(j)
-                for p, q in meeting(x, nx, *((None, None) if i == j else (y, ny))):
-                    for lo in range(0, len(p), 1 << 12):
-                        a, b = p[lo : lo + (1 << 12)], q[lo : lo + (1 << 12)]
-                        alike, one, two = estimate(x[a], nx[a], y[b], ny[b], size)
-                        a, b = ids[a], other_ids[b]
-                        up = a < b
-                        columns = [np.minimum(a, b), np.maximum(a, b), alike, np.where(up, one, two), np.where(up, two, one)]
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["sketch_id", "other_id", "resemblance", "containment", "other_containment"])
-
-    blocks = spark.range(n).select(F.col("id").alias("i"), F.explode(F.sequence(F.col("id"), F.lit(n - 1))).alias("j"))
-    return blocks.repartition(min(n * (n + 1) // 2, 4096), F.rand(5)).mapInArrow(compare, "sketch_id long, other_id long, resemblance double, containment double, other_containment double")
-
-
-def fingerprints(docs: DataFrame, size: int = SIZE, k: int = SHINGLE) -> DataFrame:
-    """(doc_id, sketch_id, sketch, distinct_shingles, source_shingles, source_resemblance, source_containment) of every row.
-
-    sketch_id is a 64-bit hash of the sketch, equal where sketches are. source_shingles is the number of distinct
-    shingles in the document's source, from merged sketches. A document is contained in its own source as a
-    whole, so the last two follow from the numbers of shingles: the shares of the union, and 1.
-
-    Defined cases: a null, empty or word-free text has an empty sketch, no shingles and null
-    estimates of the last two; a null source is a source of its own; rows with a null or a
-    repeated id are each on their own, and repeated rows stay; texts are taken whole; an empty
-    table gives no rows; other columns are not looked at.
-    """
-    return described(kernel.cut(sketch(docs, size, k)), size)
+            for lo in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(lo, CHUNK)
+                values, n = np.unique(part.column(0).flatten().to_numpy(), return_counts=True)
+                some = n >= max(8, part.num_rows / OFTEN)
+                yield pa.RecordBatch.from_pydict({"value": pa.array(values[some]), "n": pa.array(n[some])})
 
+    seen = sketches.select("sketch").mapInArrow(look, "value long, n long").groupBy("value").agg(F.sum("n").alias("n"))
+    return np.sort(seen.where(F.col("n") * (2 * OFTEN) >= sketches.count()).select("value").toArrow().column("value").to_numpy())
 
-def described(each: DataFrame, size: int = SIZE) -> DataFrame:
-    """fingerprints() of what sketch() gave."""
-    whole = kernel.small(merge(each, "source", size).select(F.col("source").alias("of_source"), distinct(F.col("sketch"), size).alias("source_shingles")))
-    joined = each.join(whole, F.col("source").eqNullSafe(F.col("of_source"))).withColumn("distinct_shingles", distinct(F.col("sketch"), size))
-    full = F.size("sketch") > 0
-    return joined.select(
-        "doc_id", F.xxhash64("sketch").alias("sketch_id"), "sketch", "distinct_shingles", "source_shingles",
-        F.when(full, F.least(F.lit(1.0), F.col("distinct_shingles") / F.col("source_shingles"))).alias("source_resemblance"),
-        F.when(full, F.lit(1.0)).alias("source_containment"),
-    )
+
+def first_hashes(sketches: DataFrame, often: np.ndarray, size: int, alike: float) -> DataFrame:
+    """(key, node) of the hashes that a linked sketch must share one of, for each sketch."""
+    model = sketches.sparkSession.sparkContext.broadcast(often)  # bounded, see frequent()
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(lo, CHUNK)
+                full, counts = grid(part.column("sketch"), size)
+                late = np.isin(full, model.value)
+                order = np.argsort(late, axis=1, kind="stable") if late.any() else np.broadcast_to(np.arange(size), full.shape)
+                n = counts - np.ceil(alike * counts - 1e-9).astype(np.int64) + 1
+                # Places that are filled up count for nothing, wherever the order has them.
+                inside = np.take_along_axis(np.arange(size) < counts[:, None], order, 1)
+                place = np.cumsum(inside, axis=1)
+                chosen = inside & (place <= n[:, None])
+                yield pa.RecordBatch.from_arrays([pa.array(np.take_along_axis(full, order, 1)[chosen]), part.column("sketch_id").take(pa.array(np.nonzero(chosen)[0]))], names=["key", "node"])
+
+    return sketches.select("sketch_id", "sketch").mapInArrow(take, "key long, node long")
 
 
-def report(docs: DataFrame, size: int = SIZE, k: int = SHINGLE) -> DataFrame:
-    """The rows of fingerprints(), and those of pairs() of all sketches, told apart by other_id, which is null in the former.
+def links(sketches: DataFrame, size: int = SIZE, alike: float = ALIKE) -> DataFrame:
+    """(node, links, nearest) of every sketch with a link: how many other sketches it has one to, and the one of greatest resemblance: (resemblance, containment of this in that, other_id), of equal ones the least other_id.
 
-    Documents of one sketch_id have the estimates 1 of each other; those of two sketches have the estimates of
-    the sketches, and where these have no row, no hash in common. The defined cases are those of fingerprints().
+    sketches has (sketch_id, sketch), in any number of equal rows.
     """
-    each = kernel.cut(sketch(docs, size, k))
-    return described(each, size).unionByName(pairs(each.select(F.xxhash64("sketch").alias("sketch_id"), "sketch"), size), allowMissingColumns=True)
+    spark, words = sketches.sparkSession, SIGNATURE // 64
+    some = sketches.where(F.size("sketch") > 0)
+    first = first_hashes(some, frequent(some, size), size, alike)
+    shared = first.groupBy(F.col("key").alias("shared_key")).agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("shared_key")
+    meet = kernel.cut(first.join(shared, F.col("key") == F.col("shared_key")).select("key", "node").distinct())
+    kernel.release(spark)
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(lo, CHUNK)
+                bits = kernel.signed(signatures(*grid(part.column("sketch"), size)))
+                yield pa.RecordBatch.from_arrays([part.column("sketch_id"), *(pa.array(np.ascontiguousarray(bits[:, w])) for w in range(words))], names=["sketch_id", *(f"f{w}" for w in range(words))])
+
+    signed = some.select("sketch_id", "sketch").mapInArrow(sign, "sketch_id long, " + ", ".join(f"f{w} long" for w in range(words))).dropDuplicates(["sketch_id"])
+    near = simhash.near_edges(meet.join(signed, F.col("node") == F.col("sketch_id")).drop("sketch_id"), radius(size, alike), words)
+    parts = kernel.cut(graph.components(near))
+    kernel.release(spark)
+
+    def count(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids, tile = table.column("sketch_id").to_numpy(), table.column("tile").to_numpy()
+        same = table.column("lo").to_numpy() == table.column("hi").to_numpy()
+        full, counts = grid(table.column("sketch").combine_chunks(), size)
+        for p, q in simhash.near_pairs(blocks.begins(table, COMPONENT), signatures(full, counts), radius(size, alike)):
+            once = (tile[p] != tile[q]) | same[p]
+            p, q = p[once], q[once]
+            for lo in range(0, len(p), CHUNK):
+                i, j = p[lo : lo + CHUNK], q[lo : lo + CHUNK]
+                r, one, two = estimate(full[i], counts[i], full[j], counts[j], size)
+                ok = r >= alike - 1e-12
+                me, it = np.concatenate([i[ok], j[ok]]), np.concatenate([j[ok], i[ok]])
+                r, c = np.concatenate([r[ok], r[ok]]), np.concatenate([one[ok], two[ok]])
+                order = np.lexsort((ids[it], -r, me))
+                begin = np.flatnonzero(np.concatenate([[True], me[order][1:] != me[order][:-1]])) if len(me) else np.zeros(0, np.int64)
+                best = order[begin]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[me[best]]), pa.array(np.diff(np.append(begin, len(me)))), pa.array(r[best]), pa.array(c[best]), pa.array(ids[it[best]])], names=["node", "links", "resemblance", "containment", "other_id"])
+
+    placed = some.select("sketch_id", "sketch").join(parts, F.col("sketch_id") == F.col("node")).select("component", "sketch_id", "sketch").dropDuplicates(["component", "sketch_id"])
+    counted = blocks.each(blocks.tiled(placed, "component", "sketch_id", keys=parts), COMPONENT, count, "node long, links long, resemblance double, containment double, other_id long")
+    best = F.max(F.struct("resemblance", F.bitwise_not("other_id").alias("flipped"), "containment"))
+    found = counted.groupBy("node").agg(F.sum("links").alias("links"), best.alias("best"))
+    return found.select("node", "links", F.struct("best.resemblance", "best.containment", F.bitwise_not("best.flipped").alias("other_id")).alias("nearest"))
+
+
+COMPONENT = ["component", *blocks.BLOCK]
+
+
+def fingerprints(docs: DataFrame, size: int = SIZE, k: int = SHINGLE, alike: float = ALIKE) -> DataFrame:
+    """(doc_id, sketch_id, sketch, distinct_shingles, source_shingles, links, nearest_id, resemblance, containment) of every row.
+
+    source_shingles is the number of distinct shingles in the document's source, from merged
+    sketches. links is the number of other sketches with an estimated resemblance of `alike` or
+    more; documents with one sketch_id have the same links, and each other's estimates are 1.
+    The last three are of the link with the greatest resemblance: its sketch_id, and how much of
+    this document it contains.
+
+    Defined cases: a null, empty or word-free text has an empty sketch, no shingles and no links;
+    where there is no link the last three are null; a null source is a source of its own; rows
+    with a null or a repeated id are each on their own, and repeated rows stay; texts are taken
+    whole; of links with equal resemblance the least sketch_id is named; an empty table gives no
+    rows; other columns are not looked at.
+    """
+    each, _ = kernel.written(sketch(docs, size, k))
+    whole = kernel.small(merge(each, "source", size).select(F.col("source").alias("of_source"), distinct(F.col("sketch"), size).alias("source_shingles")))
+    linked = kernel.cut(links(each, size, alike))
+    joined = each.join(whole, F.col("source").eqNullSafe(F.col("of_source"))).join(linked, F.col("sketch_id") == F.col("node"), "left")
+    return joined.select(
+        "doc_id", "sketch_id", "sketch", distinct(F.col("sketch"), size).alias("distinct_shingles"), "source_shingles",
+        F.coalesce("links", F.lit(0)).alias("links"), F.col("nearest.other_id").alias("nearest_id"), "nearest.resemblance", "nearest.containment",
+    )
