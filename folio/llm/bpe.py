@@ -41,7 +41,8 @@ from . import kernel
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 NEVER = 1 << 30
-LONG_WORD = 48  # longer ones are encoded one by one
+CELLS = 1 << 21  # words times bytes that are encoded together
+FEW = 5  # fewer words of about one length are encoded one by one
 KNOWN_WORDS = 400_000  # words whose tokens a task remembers; it forgets all and goes on beyond
 OTHER, SPACES, LETTERS, NUMBERS = 0, 1, 2, 3
 
@@ -216,14 +217,13 @@ class Automaton:
         size = ends - starts
         counts = np.zeros(len(size), np.int64)
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for lo, hi in ((0, 8), (8, 16), (16, LONG_WORD)):
-            of = np.flatnonzero((size > lo) & (size <= hi))
-            for i in range(0, len(of), 1 << 16):
-                some = of[i : i + (1 << 16)]
+        for some in alike(size):
+            if len(some) >= FEW:
                 found.append((some, *self._together(data, starts[some], size[some])))
-        for i in np.flatnonzero(size > LONG_WORD):
-            tokens = self._alone(data[starts[i] : ends[i]])
-            found.append((np.array([i]), tokens, np.array([len(tokens)])))
+                continue
+            for i in some:
+                tokens = self._alone(data[starts[i] : ends[i]])
+                found.append((np.array([i]), tokens, np.array([len(tokens)])))
         for some, _, each in found:
             counts[some] = each
         begin = np.cumsum(counts) - counts
@@ -428,12 +428,7 @@ class Encoder:
     def _verify(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, slot: np.ndarray) -> None:
         """Words whose hash belongs to other bytes get slots of their own, in place."""
         size = ends - starts
-        same = size == self.byte_at[slot + 1] - self.byte_at[slot]
-        some = np.flatnonzero(same)
-        step = np.arange(int(size[some].sum())) - np.repeat(np.cumsum(size[some]) - size[some], size[some])
-        equal = data[np.repeat(starts[some], size[some]) + step] == self.bytes[np.repeat(self.byte_at[slot[some]], size[some]) + step]
-        if not equal.all():
-            same[np.repeat(some, size[some])[~equal]] = False
+        same = kernel.equal(data, starts, ends, self.bytes, self.byte_at[slot], self.byte_at[slot + 1])
         for i in np.flatnonzero(~same):
             n = len(self.byte_at) - 1
             tokens, _ = self.automaton.encode_words(data, starts[i : i + 1], ends[i : i + 1])
@@ -443,6 +438,18 @@ class Encoder:
             # No key leads to it: such a word is met again as a stranger.
 
 
+def alike(size: np.ndarray) -> Iterator[np.ndarray]:
+    """Words grouped by length, each group's longest at most twice its shortest but for short ones; a group has about CELLS bytes at most."""
+    hi, top = 8, int(size.max(initial=0))
+    lo = 0
+    while lo < top:
+        of = np.flatnonzero((size > lo) & (size <= hi))
+        step = max(FEW, CELLS // hi)
+        for i in range(0, len(of), step):
+            yield of[i : i + step]
+        lo, hi = hi, 2 * hi
+
+
 # --- On DataFrames ---
 
 _compiled: dict[str, Automaton] = {}
@@ -486,7 +493,12 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", out: st
 
 
 def decode(docs: DataFrame, path: str | None = None, tokens: str = "tokens", out: str = "decoded") -> DataFrame:
-    """docs and the text of each row's tokens. Null tokens give a null text; null or unknown token numbers are an error."""
+    """docs and the text of each row's tokens.
+
+    Defined cases: null tokens give a null text and no tokens an empty one; null or unknown
+    token numbers are an error; repeated rows stay; a column named like `out`, in any letter
+    case, makes way; an empty table gives no rows.
+    """
     keep = [c for c in docs.columns if c.lower() != out.lower()]
     model = docs.sparkSession.sparkContext.broadcast(automaton(path))
 

@@ -5,10 +5,11 @@ existing vocabulary that its bytes spell, from any byte. Its probability is the
 paths of the product of their pieces' probabilities, taken by a forward recursion in log
 space; a document's is the product over its words.
 
-The vocabulary is given and stays as it is. Its scores, which order its pieces, are where
-training starts: expectation maximization over the lattices of all words of the corpus makes
-them probabilities. The corpus is gathered as word counts, so training costs by the distinct
-words; what reaches the driver is one number for each piece.
+The vocabulary is given, and its scores, normalised to add up to 1, weight the segmentations:
+such a probability depends on the text alone. Beside it a document gets its probability under
+the corpus: expectation maximization over the lattices of all words adapts the pieces'
+probabilities to what the documents use. The corpus is gathered as word counts, so this costs
+by the distinct words; what reaches the driver is one number for each piece.
 """
 
 from __future__ import annotations
@@ -22,16 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .bpe import Trie
+from .bpe import FEW, Trie, alike
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁".encode()
 EPOCHS = 2
 SMOOTHING = 0.1
-LONG_WORD = 48
-TOGETHER = 1 << 15
-KNOWN_WORDS = 1_000_000
-SECOND_BASE = 0xA24BAED4963EE407
+KNOWN_WORDS = 1_000_000  # whose scores a task remembers; it forgets all and goes on beyond
+COUNTED_WORDS = 400_000  # that a task counts before it sends them on
 
 
 def load_pieces(path: str) -> tuple[list[bytes], np.ndarray]:
@@ -49,8 +48,14 @@ def load_pieces(path: str) -> tuple[list[bytes], np.ndarray]:
     return list(scores), np.array(list(scores.values()))
 
 
+def given_scores(scores: np.ndarray) -> np.ndarray:
+    """The vocabulary's own scores as log probabilities that add up to 1."""
+    top = scores.max()
+    return scores - (top + np.log(np.exp(scores - top).sum()))
+
+
 def starting_scores(scores: np.ndarray) -> np.ndarray:
-    """Log probabilities that fall with the place in the vocabulary's own order, as 1 / (place + 1)."""
+    """Where training starts: log probabilities that fall with the place in the vocabulary's own order, as 1 / (place + 1)."""
     place = np.empty(len(scores))
     place[np.argsort(-scores, kind="stable")] = np.arange(len(scores))
     p = 1 / (place + 1)
@@ -127,13 +132,12 @@ class Lattice:
         """Log probability of each word, word mark included. data has the mark before each word already."""
         size = ends - starts
         out = np.zeros(len(size))
-        for lo, hi in ((0, 10), (10, 16), (16, LONG_WORD)):
-            of = np.flatnonzero((size > lo) & (size <= hi))
-            for i in range(0, len(of), TOGETHER):
-                some = of[i : i + TOGETHER]
+        for some in alike(size):
+            if len(some) >= FEW:
                 out[some] = self.together(data, starts[some], size[some], None if weights is None else weights[some], expected)
-        for i in np.flatnonzero(size > LONG_WORD):
-            out[i] = self.alone(data[starts[i] : ends[i]].tobytes(), 0.0 if weights is None else float(weights[i]), expected)
+                continue
+            for i in some:
+                out[i] = self.alone(data[starts[i] : ends[i]].tobytes(), 0.0 if weights is None else float(weights[i]), expected)
         return out
 
 
@@ -151,8 +155,31 @@ def marked(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) over all documents. Words lie between blanks, tabs, line ends and the like."""
-    return docs.select(F.explode(F.split("text", "[ \\t\\n\\x0B\\f\\r]+")).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+    """(word, n) over all documents. Words lie between blanks, tabs, line ends and the like. Each task counts its own first."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def summed() -> pa.Table:
+            return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).rename_columns({"n_sum": "n"}).select(["word", "n"])
+
+        held: list[pa.Table] = []
+        for batch in batches:
+            for part in kernel.pieces(batch, "text"):
+                data, offsets = kernel.flat(part.column("text"))
+                starts, ends, _ = kernel.spans(data, offsets, ~kernel.SPACE[data])
+                size = ends - starts
+                words = pa.Array.from_buffers(pa.string(), len(size), [None, pa.py_buffer(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()).to_numpy()), pa.py_buffer(kernel.gather(data, starts, size))])
+                seen = words.value_counts()
+                held.append(pa.table({"word": seen.field("values"), "n": seen.field("counts")}))
+                if sum(t.num_rows for t in held) > COUNTED_WORDS:
+                    held = [summed()]
+                    if held[0].num_rows > COUNTED_WORDS // 2:
+                        yield from held[0].to_batches()
+                        held = []
+        if held:
+            yield from summed().to_batches()
+
+    parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "word string, n long")
+    return parts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def train(words: DataFrame, path: str, epochs: int = EPOCHS) -> Lattice:
@@ -184,65 +211,92 @@ def train(words: DataFrame, path: str, epochs: int = EPOCHS) -> Lattice:
 
 
 class Scorer:
-    """A lattice and the words it has met, by two hashes of their bytes."""
+    """Some lattices and the words it has met, by their bytes' hash; each is compared with the bytes it stands for."""
+
+    def __init__(self, *lattices: Lattice):
+        self.lattices = lattices
+        self.forget()
 
-    def __init__(self, lattice: Lattice):
-        self.lattice = lattice
-        self.keys, self.checks, self.values = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0)
+    def forget(self) -> None:
+        self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.bytes, self.byte_at = np.zeros(0, np.uint8), np.zeros(1, np.int64)
+        self.values = np.zeros((0, len(self.lattices)))
+
+    def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        args = marked(data, starts, ends)
+        return np.stack([x.words(*args) for x in self.lattices], 1)
 
     def score(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Log probability, words and bytes within words of each text."""
+        """Log probabilities (a column for each lattice), words and bytes within words of each text."""
         data, offsets = kernel.flat(texts)
         n = len(offsets) - 1
         starts, ends, first = kernel.spans(data, offsets, ~kernel.SPACE[data])
         counts = np.diff(first)
         if not len(starts):
-            return np.zeros(n), counts, np.zeros(n, np.int64)
-        keys = kernel.mix(kernel.Prefix(data, kernel.BASE).slices(starts, ends))
-        checks = kernel.mix(kernel.Prefix(data, SECOND_BASE).slices(starts, ends)) + (ends - starts).astype(np.uint64)
+            return np.zeros((n, len(self.lattices))), counts, np.zeros(n, np.int64)
+        keys = kernel.word_hashes(data, starts, ends)
         distinct, at_first, which = np.unique(keys, return_index=True, return_inverse=True)
         if len(self.keys) + len(distinct) > KNOWN_WORDS and len(self.keys):
-            self.keys, self.checks, self.values = self.keys[:0], self.checks[:0], self.values[:0]
+            self.forget()
         at = np.searchsorted(self.keys, distinct)
         new = at >= len(self.keys)
         new[~new] = self.keys[at[~new]] != distinct[~new]
         if new.any():
-            some = at_first[new]
-            values = self.lattice.words(*marked(data, starts[some], ends[some]))
-            both = np.concatenate([self.keys, distinct[new]])
+            begin, end = starts[at_first[new]], ends[at_first[new]]
+            both, known = np.concatenate([self.keys, distinct[new]]), len(self.slot)
             order = np.argsort(both, kind="stable")
-            self.keys, self.checks, self.values = both[order], np.concatenate([self.checks, checks[some]])[order], np.concatenate([self.values, values])[order]
+            self.keys, self.slot = both[order], np.concatenate([self.slot, known + np.arange(len(begin))])[order]
+            self.bytes, self.byte_at = np.concatenate([self.bytes, kernel.gather(data, begin, end - begin)]), np.concatenate([self.byte_at, self.byte_at[-1] + np.cumsum(end - begin)])
+            self.values = np.concatenate([self.values, self.words(data, begin, end)])
             at = np.searchsorted(self.keys, distinct)
-        slot = at[which]
+        slot = self.slot[at][which]
         each = self.values[slot]
-        strange = np.flatnonzero(self.checks[slot] != checks)  # other bytes with the same first hash
+        strange = np.flatnonzero(~kernel.equal(data, starts, ends, self.bytes, self.byte_at[slot], self.byte_at[slot + 1]))  # other bytes with the same hash
         if len(strange):
-            each[strange] = self.lattice.words(*marked(data, starts[strange], ends[strange]))
+            each[strange] = self.words(data, starts[strange], ends[strange])
         rows = np.repeat(np.arange(n), counts)
-        return np.bincount(rows, each, n), counts, np.bincount(rows, ends - starts, n).astype(np.int64)
+        return np.stack([np.bincount(rows, x, n) for x in each.T], 1), counts, np.bincount(rows, ends - starts, n).astype(np.int64)
 
 
-def score(docs: DataFrame, lattice: Lattice) -> DataFrame:
-    """(doc_id, log_prob, n_words, bits_per_byte) of every row of docs, in one pass without a shuffle.
+def score(docs: DataFrame, lattices: dict[str, Lattice]) -> DataFrame:
+    """(doc_id, n_words, and for each lattice `x` its x_log_prob and x_bits_per_byte) of every row of docs, in one pass without a shuffle; for a lattice named "" without the x_.
 
     bits_per_byte counts the bytes within words; it is null where there are none.
     """
-    model = docs.sparkSession.sparkContext.broadcast(lattice)
+    model = docs.sparkSession.sparkContext.broadcast(list(lattices.values()))  # bounded by the vocabulary
+    names = [f"{x}_{c}".strip("_") for x in lattices for c in ("log_prob", "bits_per_byte")]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model.value)
+        scorer = Scorer(*model.value)
         for batch in batches:
             for part in kernel.pieces(batch, "text"):
-                total, words, size = scorer.score(part.column("text"))
+                totals, words, size = scorer.score(part.column("text"))
                 null = np.asarray(part.column("text").is_null())
-                rate = np.divide(-total / np.log(2), size, out=np.zeros(len(size)), where=size > 0)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(total, mask=null), pa.array(words, pa.int64()), pa.array(rate, mask=size == 0)], names=["doc_id", "log_prob", "n_words", "bits_per_byte"])
+                columns = []
+                for total in totals.T:
+                    rate = np.divide(-total / np.log(2), size, out=np.zeros(len(size)), where=size > 0)
+                    columns += [pa.array(total, mask=null), pa.array(rate, mask=size == 0)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(words, pa.int64()), *columns], names=["doc_id", "n_words", *names])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(apply, "doc_id long, n_words long, " + ", ".join(f"{c} double" for c in names))
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(apply, "doc_id long, log_prob double, n_words long, bits_per_byte double")
+def given(path: str | None = None) -> Lattice:
+    """The lattice of a vocabulary with its own scores."""
+    labels, scores = load_pieces(path or kernel.tokenizer_file(VOCABULARY))
+    return Lattice(Trie.of(labels), given_scores(scores))
+
+
+def score_given(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """(doc_id, n_words, log_prob, bits_per_byte) of every document by the vocabulary's own scores. The defined cases are those of score_corpus(), and no row changes another's score."""
+    return score(docs, {"": given(path)})
 
 
 def score_corpus(docs: DataFrame, path: str | None = None, epochs: int = EPOCHS) -> DataFrame:
-    """score() of every document under the model of all of them.
+    """(doc_id, n_words, vocabulary_log_prob, vocabulary_bits_per_byte, log_prob, bits_per_byte) of every document.
+
+    The first two scores are by the vocabulary's own scores, the others by the probabilities
+    that its pieces have in all documents together.
 
     Defined cases: a null text has a null log probability and no words; an empty text, or one
     of blanks, has no words and log probability 0; texts and words are taken whole, however
@@ -250,5 +304,5 @@ def score_corpus(docs: DataFrame, path: str | None = None, epochs: int = EPOCHS)
     are scored each by itself, and repeated rows count as often as they occur; an empty table
     gives no rows; other columns are not looked at.
     """
-    words = kernel.cut(word_counts(docs))
-    return score(docs, train(words, path or kernel.tokenizer_file(VOCABULARY), epochs))
+    path = path or kernel.tokenizer_file(VOCABULARY)
+    return score(docs, {"vocabulary": given(path), "": train(kernel.cut(word_counts(docs)), path, epochs)})

@@ -39,7 +39,7 @@ def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The marginal log probability of every document, by a model of all of them."""
+    """The marginal log probability of every document, by the vocabulary's scores and by those of all documents."""
     return lattice.score_corpus(table(spark, sf_dir, "documents"))
 
 

@@ -72,6 +72,35 @@ def test_hash_collisions_are_seen(known, monkeypatch):
     assert bpe.Encoder(bpe.automaton()).encode(pa.array([text]))[0].tolist() == known.encode_ordinary(text)
 
 
+def test_long_words_go_together(known, monkeypatch):
+    """Text without blanks: words of very many bytes share their steps, and give the tokens that they give one by one."""
+    r = random.Random(2)
+    lengths = [r.randint(20, 50) for _ in range(300)] + [400, 410, 420, 430, 440, 3000]
+    text = "。".join("".join(chr(0x4E00 + r.randrange(3000)) for _ in range(n)) for n in lengths)
+    alone = []
+    here = bpe.Automaton._alone
+    monkeypatch.setattr(bpe.Automaton, "_alone", lambda self, word: alone.append(len(word)) or here(self, word))
+    assert bpe.automaton().encode_text(text) == known.encode_ordinary(text)
+    assert len(alone) <= 2 and sum(alone) < 12_000
+    monkeypatch.setattr(bpe, "FEW", 10**9)
+    assert bpe.automaton().encode_text(text[:3000]) == known.encode_ordinary(text[:3000])
+
+
+def test_a_text_longer_than_a_chunk(spark, known, words):
+    text = words(9, 200_000) + " " + "x" * 3000
+    assert len(text) > kernel.CHUNK_BYTES
+    df = spark.createDataFrame([(1, text), (2, "a")], "doc_id long, text string")
+    got = {r.doc_id: r for r in bpe.round_trip(df).collect()}
+    assert got[1].decoded == text and got[1].tokens == known.encode_ordinary(text) and got[2].tokens == known.encode_ordinary("a")
+
+
+def test_decode_nothing_and_clashing_names(spark, known):
+    df = spark.createDataFrame([(1, known.encode_ordinary("a b"), "old", "x"), (2, None, "old", "y"), (3, [], None, None)], "doc_id long, tokens array<int>, DECODED string, `k.l` string")
+    got = bpe.decode(df)
+    assert got.columns == ["doc_id", "tokens", "k.l", "decoded"] and [(r.doc_id, r.decoded) for r in got.collect()] == [(1, "a b"), (2, None), (3, "")]
+    assert bpe.decode(df.limit(0)).collect() == [] and bpe.encode(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
 def test_messy(messy, known):
     got = bpe.encode(messy).collect()
     assert len(got) == 11 and "TOKENS" not in got[0].asDict() and got[0]["a.b"] == "dot"
