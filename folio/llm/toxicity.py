@@ -193,15 +193,15 @@ def learn(values: np.ndarray, ends: np.ndarray, toxic: np.ndarray, buckets: np.n
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Machine:
-    """Fits on at most sample_rows labelled documents.
+    """Fits on at most sample_rows labelled documents: those whose ids have the least digests, and of these rows the least.
 
     All terms in MIN_DOCS of these documents or more take part, so one that says nothing alone
     can in a pair. They are counted where the documents are; what reaches the driver are these
-    terms, and which of them each document has, a bounded number of documents.
+    terms, and which of them each document has, sample_rows documents at most.
 
     Labels of no document, null labels and null ids are left out; a document labelled twice
-    is toxic if any label says so, and rows that share an id share its label. Without documents
-    of both kinds the machine calls nothing toxic.
+    is toxic if any label says so; rows that share an id share its label, and those equal in
+    id and text count once. Without documents of both kinds the machine calls nothing toxic.
     """
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
@@ -209,15 +209,20 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         .orderBy(F.md5(F.col("doc_id").cast("string"))).limit(sample_rows)
     )
     # Bounded by sample_rows, so safe to broadcast at any size; the texts aren't shuffled.
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    row = F.concat(F.md5(F.col("doc_id").cast("string")), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("string")))
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic", row.alias("row"))
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in kernel.pieces(batch, "text"):
                 rows, values = distinct(*term_buckets(part.column("text")), BUCKETS)
-                yield pa.RecordBatch.from_arrays([part.column("toxic"), kernel.ragged(values.astype(np.int32), np.bincount(rows, minlength=part.num_rows), pa.int32())], names=["toxic", "terms"])
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("toxic"), kernel.ragged(values.astype(np.int32), np.bincount(rows, minlength=part.num_rows), pa.int32())], names=["row", "toxic", "terms"])
 
-    listed = kernel.cut(sample.mapInArrow(terms, "toxic int, terms array<int>"))
+    listed = kernel.cut(sample.mapInArrow(terms, "row string, toxic int, terms array<int>"))
+    n, n_rows = listed.agg(F.count_distinct("row"), F.count("*")).first()
+    if n < n_rows or n > sample_rows:  # ids that several rows have: of equal rows one, and of all as many as the bound
+        last = listed.select("row").distinct().orderBy("row").limit(sample_rows).agg(F.max("row")).first()[0]
+        listed = kernel.cut(listed.where(F.col("row") <= F.lit(last)).dropDuplicates(["row"]))
     n, positive = listed.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not positive or positive == n:
         return nothing()
@@ -268,6 +273,11 @@ def classify(docs: DataFrame, training: DataFrame, labels: DataFrame) -> DataFra
 
 
 def drop_toxic(docs: DataFrame, training: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, that are not toxic."""
+    """The rows of docs, with all their columns, that are not toxic.
+
+    Defined cases: null and empty texts stay; rows with a null or repeated id are each decided
+    by their own text, and repeated rows go or stay together; columns may have any names;
+    without labels of both kinds all rows stay; an empty table gives no rows.
+    """
     a, b = kernel.fresh(docs, "toxicity", "toxic")
     return score(docs, train(training, labels), (a, b)).where(~F.col(b)).drop(a, b)

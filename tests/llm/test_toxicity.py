@@ -69,3 +69,48 @@ def test_learns_a_pair_of_terms_that_say_little_alone(spark):
     pairs = [said[x[0]] for x in rows[2000:] if x[3]]
     assert sum(pairs) >= 0.8 * len(pairs) and len(pairs) > 30
     assert sum(said[x[0]] for x in rows[2000:] if not x[2]) <= 0.01 * 1000
+
+
+def small_machine(seed):
+    r = np.random.default_rng(seed)
+    lists = [np.unique(r.integers(0, 40, r.integers(0, 9))) for _ in range(60)]
+    return r, lists, (r.random(60) < 0.4).astype(float)
+
+
+def test_machine_sum_is_that_of_all_pairs():
+    r, lists, _ = small_machine(1)
+    w, v = r.normal(size=40), r.normal(size=(40, 4))
+    rows, at = np.repeat(np.arange(60), [len(x) for x in lists]), np.concatenate(lists)
+    got, _ = toxicity.machine_sum(rows, at, 60, w, v)
+    want = [sum(w[i] for i in x) + sum(v[i] @ v[j] for i in x for j in x if i < j) for x in lists]
+    assert np.allclose(got, want)
+
+
+def test_gradient(monkeypatch):
+    """The loss's gradient against differences, where the search starts and somewhere else."""
+    r, lists, toxic = small_machine(2)
+    asked = []
+    monkeypatch.setattr(toxicity, "minimum", lambda loss, x: asked.append(loss) or x)
+    machine = toxicity.fit(lists, toxic)
+    size = 1 + machine.weights.size + machine.factors.size
+    for x in (np.zeros(size), r.normal(0, 0.3, size)):
+        _, grad = asked[0](x)
+        for k in [0, *r.integers(1, size, 30)]:
+            step = np.zeros(size)
+            step[k] = 1e-6
+            assert abs((asked[0](x + step)[0] - asked[0](x - step)[0]) / 2e-6 - grad[k]) < 1e-6
+
+
+def test_the_sample_is_bounded_by_rows(spark, words, monkeypatch):
+    """Ids that many rows share, and repeated rows: no more documents than the bound reach the driver, the same ones however the rows lie."""
+    seen = []
+    here = toxicity.learn
+    monkeypatch.setattr(toxicity, "learn", lambda values, ends, toxic, *rest: seen.append((len(toxic), values.tobytes(), toxic.tobytes())) or here(values, ends, toxic, *rest))
+    rows = [(i % 6, f"{words(i % 40, 20)} {'wretch' if i % 6 < 3 else 'oak'}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 3)) for i in range(6)], "doc_id long, toxic int")
+    distinct = len(set(rows))
+    for most, want in ((1000, distinct), (30, 30)):
+        for df in (docs, docs.orderBy(F.rand(1)).repartition(5)):
+            toxicity.train(df, labels, most)
+        assert seen[-1] == seen[-2] and seen[-1][0] == want
