@@ -19,8 +19,6 @@ from pyspark.sql import functions as F
 
 from . import kernel
 
-#: Token shares of the production mix; a source not named here has DEFAULT_WEIGHT.
-WEIGHTS = {"src0": 2.0, "src1": 4.0, "src2": 3.0, "src3": 0.5}
 DEFAULT_WEIGHT = 1.0
 BUDGET_FRACTION = 0.5
 SEED = 42
@@ -32,8 +30,9 @@ def n_tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^ \\t\\n\\r]+")), F.lit(0)).cast("long")
 
 
-def digest(doc_id: Column, seed: int) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def digest(doc_id: Column, text: Column, seed: int) -> Column:
+    """Of the id, or where it is null, of the text."""
+    return F.md5(F.coalesce(F.concat(F.lit(f"{seed}:"), doc_id.cast("string")), F.concat(F.lit(f"{seed}#"), text.cast("string")), F.lit(str(seed))))
 
 
 def weight(source: Column, weights: dict[str, float], default: float) -> Column:
@@ -45,19 +44,21 @@ def weight(source: Column, weights: dict[str, float], default: float) -> Column:
     return out
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] = WEIGHTS, default_weight: float = DEFAULT_WEIGHT, budget_fraction: float = BUDGET_FRACTION, budget_tokens: int | None = None, seed: int = SEED, ordered: bool = True) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, default_weight: float = DEFAULT_WEIGHT, budget_fraction: float = BUDGET_FRACTION, budget_tokens: int | None = None, seed: int = SEED, ordered: bool = True) -> DataFrame:
     """The chosen documents as (doc_id, source, n_tokens, finish), range-sorted by finish.
 
-    The budget is budget_tokens, or where that is None, budget_fraction of all tokens.
+    A source that weights doesn't name has default_weight. The budget is budget_tokens, or where
+    that is None, budget_fraction of all tokens.
 
     Defined cases: a null source is a source of its own, with the default weight; a null or
-    empty text has no tokens and finishes with the document before it; a null id counts as
-    one more id; rows with equal source and id share one finish time, that after all of them,
-    and are taken or left together, identical rows included; an empty table gives no rows;
+    empty text has no tokens and finishes with the document before it; where the id is
+    null the text stands for it; rows with equal source and id share one finish time, that
+    after all of them, and are taken or left together, identical rows included; an empty table gives no rows;
     other columns of docs are not looked at. Ties of finish time go by source, then digest.
     """
+    weights = weights or {}
     rows = docs.select(
-        F.col("doc_id"), F.col("source"), n_tokens(F.col("text")).alias("n_tokens"), digest(F.col("doc_id"), seed).alias("h")
+        F.col("doc_id"), F.col("source"), n_tokens(F.col("text")).alias("n_tokens"), digest(F.col("doc_id"), F.col("text"), seed).alias("h")
     ).withColumn("slice", F.substring("h", 1, SLICE_DIGITS))
     rows = rows.repartition("source", "slice")
     slices = rows.groupBy("source", "slice").agg(F.sum("n_tokens").alias("tokens"))
@@ -114,19 +115,23 @@ def keep_mixed(docs: DataFrame, **options) -> DataFrame:
 
     Within a source what is taken is a prefix of the digest order, so one cut-off for each
     source decides every row where it lies: texts are not shuffled.
+
+    Defined cases: rows with equal source and id stay or go together, whatever their texts, and
+    with a null id those with equal source and text; null and empty texts cost nothing; a null source is
+    a source of its own; other columns may have any names; an empty table gives no rows.
     """
     seed = options.get("seed", SEED)
     cutoffs = mix_sources(docs, ordered=False, **options).groupBy("source").agg(F.max("h").alias("cutoff"))
     source, cutoff = kernel.fresh(docs, "mix_source", "mix_cutoff")
     cutoffs = kernel.small(cutoffs.select(F.col("source").alias(source), F.col("cutoff").alias(cutoff)))
-    return docs.join(cutoffs, docs["source"].eqNullSafe(F.col(source)) & (digest(docs["doc_id"], seed) <= F.col(cutoff)), "left_semi")
+    return docs.join(cutoffs, docs["source"].eqNullSafe(F.col(source)) & (digest(docs["doc_id"], docs["text"], seed) <= F.col(cutoff)), "left_semi")
 
 
-def oracle_sql() -> str:
-    case = "CASE source " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in WEIGHTS.items()) + f" ELSE {DEFAULT_WEIGHT} END"
+def oracle_sql(weights: dict[str, float]) -> str:
+    case = "CASE source " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in weights.items()) + f" ELSE {DEFAULT_WEIGHT} END"
     return f"""
     WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\r]+')), 0)::BIGINT AS n_tokens,
-                      md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+                      md5(coalesce('{SEED}:' || doc_id::VARCHAR, '{SEED}#' || text, '{SEED}')) AS h FROM documents),
     c AS (SELECT *, (sum(n_tokens) OVER (PARTITION BY source ORDER BY h))::DOUBLE / ({case})::DOUBLE AS finish FROM d),
     r AS (SELECT *, sum(n_tokens) OVER (ORDER BY finish, source NULLS FIRST, h) AS running FROM c)
     SELECT doc_id, source, n_tokens, finish FROM r

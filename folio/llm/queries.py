@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, debruijn, embeddings, lattice, mixing, simhash, sketches, suffixes, toxicity, warc
 
+#: Token shares of the production mix; a source not named here has the default weight.
+WEIGHTS = {"src0": 2.0, "src1": 4.0, "src2": 3.0, "src3": 0.5}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -20,7 +23,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in the order of the production mix, up to half of all tokens."""
-    return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("h")
+    return mixing.mix_sources(table(spark, sf_dir, "documents"), weights=WEIGHTS).drop("h")
 
 
 def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": mixing.oracle_sql(), "op3_embeddings": embeddings.oracle_sql(), "op8_warc": "SELECT page_id, url, html FROM pages"}
+    return {"op2_mix_sources": mixing.oracle_sql(WEIGHTS), "op3_embeddings": embeddings.oracle_sql(), "op8_warc": "SELECT page_id, url, html FROM pages"}

@@ -3,12 +3,13 @@ import re
 from collections import defaultdict
 
 from folio.llm import mixing
+from folio.llm.queries import WEIGHTS
 
 
 def brute(rows, weights, default, fraction, seed=mixing.SEED):
     by, docs = defaultdict(list), []
     for doc_id, text, source in rows:
-        h = hashlib.md5(f"{seed}:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+        h = hashlib.md5((f"{seed}:{doc_id}" if doc_id is not None else str(seed) if text is None else f"{seed}#{text}").encode()).hexdigest()
         by[source].append((h, len(re.findall(r"[^ \t\n\r]+", text or "")), doc_id))
     total = sum(n for x in by.values() for _, n, _ in x)
     for source, x in by.items():
@@ -34,10 +35,11 @@ def key(rows):
 
 def test_against_brute_force(spark, words):
     rows = [(i, words(i, i * 7 % 40), f"src{i % 5}") for i in range(120)] + [(3, words(3, 5), "src3")]
+    rows += [(None, words(200 + i, 20), "src1") for i in range(30)] + [(None, words(200, 20), "src1"), (None, None, "src2"), (None, "", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     for fraction in (0.0, 0.1, 0.5, 0.93, 1.0):
-        got = [(r.doc_id, r.source, r.n_tokens) for r in mixing.mix_sources(df, budget_fraction=fraction).collect()]
-        assert key(got) == key(brute(rows, mixing.WEIGHTS, mixing.DEFAULT_WEIGHT, fraction)), fraction
+        got = [(r.doc_id, r.source, r.n_tokens) for r in mixing.mix_sources(df, WEIGHTS, budget_fraction=fraction).collect()]
+        assert key(got) == key(brute(rows, WEIGHTS, mixing.DEFAULT_WEIGHT, fraction)), fraction
 
 
 def test_order_and_budget(spark, words):
@@ -49,8 +51,8 @@ def test_order_and_budget(spark, words):
 
 def test_messy(messy, empty):
     rows = [(r.doc_id, r.text, r.source) for r in messy.collect()]
-    got = [(r.doc_id, r.source, r.n_tokens) for r in mixing.mix_sources(messy).collect()]
-    assert key(got) == key(brute(rows, mixing.WEIGHTS, mixing.DEFAULT_WEIGHT, mixing.BUDGET_FRACTION))
-    kept = mixing.keep_mixed(messy)
+    got = [(r.doc_id, r.source, r.n_tokens) for r in mixing.mix_sources(messy, WEIGHTS).collect()]
+    assert key(got) == key(brute(rows, WEIGHTS, mixing.DEFAULT_WEIGHT, mixing.BUDGET_FRACTION))
+    kept = mixing.keep_mixed(messy, weights=WEIGHTS)
     assert kept.columns == messy.columns and kept.count() == len(got)
     assert mixing.mix_sources(empty).collect() == [] and mixing.keep_mixed(empty).collect() == []

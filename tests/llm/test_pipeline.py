@@ -4,7 +4,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from folio.llm import bpe, mixing, simhash, suffixes, toxicity
+from folio.llm import bpe, mixing, queries, simhash, suffixes, toxicity
 
 
 def test_stages_on_messy(spark, messy, empty, tmp_path):
@@ -28,7 +28,7 @@ def test_run_is_its_stages_one_after_the_other(spark, sf_dir):
     copies = {r.doc_id for r in simhash.groups(left).collect()}
     left = left.where(~F.col("doc_id").isin(list(copies)))
     cut = suffixes.drop_repeated(left).cache()
-    mixed = {r.doc_id for r in mixing.mix_sources(cut).collect()}
+    mixed = {r.doc_id for r in mixing.mix_sources(cut, queries.WEIGHTS).collect()}
     want = {r.doc_id: r.text for r in cut.collect() if r.doc_id in mixed}
     got = corpus_pipeline.run(spark, sf_dir).collect()
     assert {r.doc_id: r.decoded for r in got} == want and len(got) == len(want)
