@@ -62,10 +62,10 @@ def stored_page_number(name: Column) -> Column:
     return F.coalesce(*(number(s, p) for p in (r"^(\d{3})_", r"(\d{3})$", r"^(\d+)_", r"(\d+)$")))
 
 
-def too_large_number(name: Column) -> Column:
-    """Whether a stored name has a number that fits no integer: its document can't be repaired."""
+def too_large_number(name: Column, said: Column) -> Column:
+    """Whether a stored name, which says the page number `said`, has only a number that fits no integer: its document can't be repaired."""
     s = loose_stem(name)
-    return stored_page_number(name).isNull() & (F.regexp_like(s, F.lit(r"^\d+_")) | F.regexp_like(s, F.lit(r"\d+$")))
+    return said.isNull() & (F.regexp_like(s, F.lit(r"^\d+_")) | F.regexp_like(s, F.lit(r"\d+$")))
 
 
 def is_pdf(path: Column) -> Column:
@@ -140,6 +140,11 @@ def sample_title(name: Column, description: Column) -> Column:
     return F.concat(F.lit("Demo: "), stem(basename(name)), F.lit(" - "), description)
 
 
+def uuid_of(*parts: Column) -> Column:
+    """A UUID that follows from the parts."""
+    return F.regexp_replace(F.md5(F.concat_ws("|", *parts)), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+
+
 def is_uuid(x: Column) -> Column:
     """As text with or without hyphens, in any case."""
     return F.coalesce(F.regexp_like(F.regexp_replace(F.lower(x), "^urn:uuid:|[{}-]", ""), F.lit("^[0-9a-f]{32}$")), F.lit(False))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.shared import cut
+
+GENERATIONS = 4
 
 
 def person_names(persons: DataFrame) -> DataFrame:
@@ -40,14 +45,36 @@ def sources_of(table: DataFrame, bridge: DataFrame, documents: DataFrame) -> Dat
     return table.select("id").join(bridge, F.col("id") == F.col("left_id")).join(documents.select(F.col("id").alias("document_id"), "title"), F.col("right_id") == F.col("document_id")).select("id", "document_id", "title")
 
 
-def ancestors(links: DataFrame, starts: DataFrame, most: int = 64) -> DataFrame:
-    """(id, ancestor, generations) along child_id -> parent_id from the ids of starts, by a recursive query; each by its shortest way, up to `most` generations."""
-    spark = links.sparkSession
-    return spark.sql(
-        f"""WITH RECURSIVE up(id, ancestor, generations) AS (
-              SELECT id, id, 0 FROM {{starts}}
-              UNION ALL
-              SELECT up.id, l.parent_id, up.generations + 1 FROM up JOIN {{links}} l ON l.child_id = up.ancestor WHERE up.generations < {int(most)})
-            SELECT id, ancestor, min(generations) AS generations FROM up WHERE generations > 0 GROUP BY id, ancestor""",
-        links=links, starts=starts,
-    )
+def with_places(table: DataFrame, places: DataFrame, references: dict[str, str]) -> DataFrame:
+    """table with the label of the place that each optional reference names, as {foreign key: new column}; null where there is none. places: (id, name, locality, region, country)."""
+    columns = table.columns
+    labels = places.select(F.col("id").alias("__place"), text.place_label(F.col("name"), F.col("locality"), F.col("region"), F.col("country")).alias("__label"))
+    for foreign_key, out in references.items():
+        table = table.join(labels, F.col(foreign_key) == F.col("__place"), "left").withColumnRenamed("__label", out).drop("__place")
+    return table.select(*columns, *references.values())
+
+
+def ancestors(links: DataFrame, starts: DataFrame) -> DataFrame:
+    """(id, ancestor, generations) along child_id -> parent_id from the ids of starts, each by its shortest way, however long.
+
+    GENERATIONS steps make a round, after which only pairs that are new go on, so a pedigree
+    that collapses doesn't multiply, a cycle ends, and no step needs more than the pairs found.
+    Each round is cut in the shared folder. Null ids and links with a null end lead nowhere; in
+    a cycle one is one's own ancestor.
+    """
+    up = cut(links.select(F.col("child_id").alias("__child"), F.col("parent_id").alias("__parent")).dropna().distinct())
+    edge = starts.select(F.col("id"), F.col("id").alias("ancestor"), F.lit(0).alias("generations")).dropna().distinct()
+    found: DataFrame | None = None
+    reached = 0
+    while True:
+        step, steps = edge, []
+        for _ in range(GENERATIONS):
+            step = step.join(up, F.col("ancestor") == F.col("__child")).select("id", F.col("__parent").alias("ancestor"), (F.col("generations") + 1).alias("generations"))
+            steps.append(step)
+        new = reduce(DataFrame.unionByName, steps).groupBy("id", "ancestor").agg(F.min("generations").alias("generations"))
+        new = cut(new if found is None else new.join(found.select("id", "ancestor"), ["id", "ancestor"], "left_anti"))
+        found = new if found is None else found.unionByName(new)
+        reached += GENERATIONS
+        edge = new.where(F.col("generations") == reached)
+        if edge.isEmpty():
+            return found

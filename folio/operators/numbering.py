@@ -11,8 +11,8 @@ from ..schemas import EXTENSIONS
 TEMPORARY = 10_000  # repaired pages pass through numbers from here on
 
 
-def plan_upload(files: DataFrame, single_document: bool = True) -> DataFrame:
-    """(batch, document_key, title, page_number, page_order, name) from files (batch, pos, name).
+def plan_upload(files: DataFrame, single_document: bool = True, extra: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """(batch, document_key, title, page_number, page_order, name) from files (batch, pos, name), and extra columns of these.
 
     Files of other types are left out. In one document a file without a number gets its place
     among the valid ones, and the first valid file gives the title; otherwise each file is a
@@ -20,18 +20,29 @@ def plan_upload(files: DataFrame, single_document: bool = True) -> DataFrame:
     """
     valid = files.where(text.accepted(F.col("name"), EXTENSIONS))
     if not single_document:
-        return valid.select("batch", F.col("pos").alias("document_key"), text.title_from_name(F.col("name")).alias("title"), F.lit(1).alias("page_number"), F.lit(1).alias("page_order"), "name")
+        return valid.select("batch", F.col("pos").alias("document_key"), text.title_from_name(F.col("name")).alias("title"), F.lit(1).alias("page_number"), F.lit(1).alias("page_order"), "name", *extra)
     by_upload = Window.partitionBy("batch").orderBy("pos")
     numbered = valid.withColumn("place", F.row_number().over(by_upload)).withColumn("page_number", F.coalesce(text.uploaded_page_number(F.col("name")), F.col("place")))
     first = F.first("name").over(by_upload.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     order = F.row_number().over(Window.partitionBy("batch").orderBy("page_number", "pos"))
-    return numbered.select("batch", F.lit(0).cast("long").alias("document_key"), text.title_from_name(first).alias("title"), "page_number", order.alias("page_order"), "name")
+    return numbered.select("batch", F.lit(0).cast("long").alias("document_key"), text.title_from_name(first).alias("title"), "page_number", order.alias("page_order"), "name", *extra)
 
 
 def duplicate_keys(table: DataFrame, *key: str) -> DataFrame:
     return table.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def conflicts(table: DataFrame, rows: DataFrame, *key: str) -> DataFrame:
+    """(*key, there, new) of keys that new rows would share with each other or with rows of the table; a key with a null clashes with nothing."""
+    whole = rows.dropna(subset=list(key))
+    new = whole.groupBy(*key).agg(F.count("*").alias("new"))
+    wanted = new.select(*(F.col(k).alias(f"__{k}") for k in key))
+    same = [F.col(k) == F.col(f"__{k}") for k in key]
+    there = table.join(wanted, same, "left_semi").groupBy(*(F.col(k).alias(f"__{k}") for k in key)).agg(F.count("*").alias("there"))
+    joined = new.join(there, same, "left").select(*key, F.coalesce("there", F.lit(0)).alias("there"), "new")
+    return joined.where((F.col("there") > 0) | (F.col("new") > 1))
+
+
 def repair_plan(pages: DataFrame) -> DataFrame:
     """pages (id, document_id, page_number, original_filename) with what their names say and whether their document can take it.
 
@@ -42,7 +53,7 @@ def repair_plan(pages: DataFrame) -> DataFrame:
     """
     said = text.stored_page_number(F.col("original_filename"))
     # By document once: windows within a document and a number need no other partitioning.
-    marked = pages.repartition("document_id").withColumn("said", said).withColumn("too_large", text.too_large_number(F.col("original_filename")))
+    marked = pages.withColumn("said", said).withColumn("too_large", text.too_large_number(F.col("original_filename"), F.col("said"))).repartition("document_id")
     marked = marked.withColumn("moves", F.coalesce(F.col("said") != F.col("page_number"), F.lit(False)))
     document = Window.partitionBy("document_id")
     marked = marked.withColumn("final", F.when(F.col("moves"), F.col("said")).otherwise(F.col("page_number")))

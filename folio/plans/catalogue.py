@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import kin, listing, numbering, pages, snapshots
+from ..operators import kin, listing, numbering, pages, recognition, snapshots, upload
 from ..schemas import OLD_LANGUAGES
 from ..sources.files import table
 
@@ -208,6 +208,86 @@ def task_lookup(s: SparkSession, d: str) -> DataFrame:
     return pages.look_up(wanted, c.select(F.md5(F.col("c_custkey").cast("string")).alias("id")))
 
 
+# --- Uploads and recognition ---
+
+
+def _uuid(*parts: str) -> str:
+    return rf"regexp_replace(md5(concat_ws('|', {', '.join(parts)})), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\1-\2-\3-\4-\5')"
+
+
+SALT = "uploads"
+UPLOADED = f"""WITH {FILES}, v AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY pos) AS place FROM f WHERE lower({_EXT.format(n="name")}) IN ('.pdf', '.jpg', '.jpeg', '.png', '.tiff', '.tif')),
+  n AS (SELECT *, coalesce({_upload_number("name")}, place)::INTEGER AS page_number, first_value(name) OVER (PARTITION BY batch ORDER BY pos) AS first, {_uuid(f"'{SALT}'", "batch::VARCHAR", "'0'")} AS document_id FROM v)"""
+
+
+@query(f"{UPLOADED} SELECT DISTINCT document_id AS id, {_title('first')} AS title, 'nld' AS languages, FALSE AS ocr_completed, FALSE AS extraction_completed FROM n")
+def uploaded_documents(s: SparkSession, d: str) -> DataFrame:
+    return upload.upload(upload_files(s, d), languages="nld", salt=SALT)[0].drop("upload_date")
+
+
+@query(f"""{UPLOADED} SELECT {_uuid(f"'{SALT}'", "batch::VARCHAR", "'0'", "pos::VARCHAR")} AS id, document_id, page_number, 'document_pages/' || name AS image_file, FALSE AS ocr_completed, '' AS ocr_text,
+  NULL::DOUBLE AS ocr_confidence, 0.0::DOUBLE AS rotation_applied, name AS original_filename FROM n""")
+def uploaded_pages(s: SparkSession, d: str) -> DataFrame:
+    return upload.upload(upload_files(s, d), languages="nld", salt=SALT)[1].drop("created_at", "updated_at")
+
+
+def scans(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, pages, contents): web pages as scans, ten a document; some are done, some have no file, no path, or no proper id."""
+    page, k = table(s, d, "pages"), F.col("page_id")
+    rows = page.select(
+        F.when(k % 11 == 0, F.concat(F.lit("bad-"), k.cast("string"))).otherwise(text.uuid_of(k.cast("string"))).alias("id"), text.uuid_of(F.lit("d"), F.floor(k / 10).cast("string")).alias("document_id"),
+        (k % 10 + 1).cast("int").alias("page_number"), F.when(k % 17 == 0, "").otherwise(F.concat(F.lit("scan/"), k.cast("string"))).alias("image_file"), (k % 5 == 0).alias("ocr_completed"),
+        F.when(k % 5 == 0, "kept").otherwise("").alias("ocr_text"), F.when(k % 5 == 0, 50.0).alias("ocr_confidence"), F.lit(0.0).alias("rotation_applied"),
+    )
+    documents = rows.select(F.col("document_id").alias("id")).distinct().select("id", F.when(F.col("id") < "8", "eng").otherwise("nld").alias("languages"), F.lit(False).alias("ocr_completed"), F.lit(False).alias("extraction_completed"))
+    return documents, rows, page.where(k % 7 != 0).select(F.concat(F.lit("scan/"), k.cast("string")).alias("path"), F.col("html").cast("binary").alias("content"))
+
+
+def reader(path: str, content: bytes, languages: str) -> tuple[str, float, float]:
+    """Stands in for an OCR program: says how much there is to read, and fails at each 13th size."""
+    if len(content) % 13 == 0:
+        raise ValueError("unreadable")
+    return f" {languages} {len(content)}\n", float(len(content) % 100), float(len(content) % 4 * 90)
+
+
+SCANS = f"""WITH sc AS (SELECT page_id AS k, CASE WHEN page_id % 11 = 0 THEN 'bad-' || page_id::VARCHAR ELSE {_uuid("page_id::VARCHAR")} END AS id, {_uuid("'d'", "(page_id // 10)::VARCHAR")} AS document_id,
+    CASE WHEN page_id % 17 = 0 THEN '' ELSE 'scan/' || page_id::VARCHAR END AS image_file, page_id % 5 = 0 AS done, strlen(html) AS size, page_id % 7 <> 0 AND page_id % 17 <> 0 AS there FROM pages),
+  so AS (SELECT *, CASE WHEN document_id < '8' THEN 'eng' ELSE 'nld' END AS languages,
+    CASE WHEN k % 11 = 0 THEN 'malformed_id' WHEN done THEN 'already_processed' WHEN NOT there THEN 'missing_file' WHEN size % 13 = 0 THEN 'failed' ELSE 'ok' END AS outcome FROM sc)"""
+SCANNED = "CASE WHEN outcome = 'ok' THEN languages || ' ' || size::VARCHAR"
+
+
+@query(f"""{SCANS} SELECT id AS page_id, outcome, outcome IN ('ok', 'already_processed') AS success,
+  CASE outcome WHEN 'ok' THEN 'OCR completed successfully' WHEN 'already_processed' THEN 'OCR already completed' WHEN 'malformed_id' THEN CASE WHEN done THEN 'OCR already completed' END END AS message,
+  CASE outcome WHEN 'malformed_id' THEN 'Invalid UUID format: ' || id WHEN 'missing_file' THEN 'No file for page ' || id WHEN 'failed' THEN 'OCR processing failed for page ' || id || ': unreadable' END AS error,
+  {SCANNED} WHEN done THEN 'kept' END AS text, CASE WHEN outcome = 'ok' THEN (size % 100)::DOUBLE WHEN done THEN 50.0 END AS confidence, CASE WHEN outcome = 'ok' THEN (size % 4 * 90)::DOUBLE WHEN done THEN 0.0 END AS rotation_applied FROM so""")
+def page_results(s: SparkSession, d: str) -> DataFrame:
+    documents, rows, contents = scans(s, d)
+    return recognition.recognize(rows, documents, contents, reader)
+
+
+@query(f"""{SCANS} SELECT id, document_id, image_file, done OR outcome = 'ok' AND image_file <> '' AS ocr_completed, {SCANNED} WHEN done THEN 'kept' ELSE '' END AS ocr_text,
+  CASE WHEN outcome = 'ok' THEN (size % 100)::DOUBLE WHEN done THEN 50.0 END AS ocr_confidence, CASE WHEN outcome = 'ok' THEN (size % 4 * 90)::DOUBLE ELSE 0.0 END AS rotation_applied FROM so""")
+def recognized_pages(s: SparkSession, d: str) -> DataFrame:
+    documents, rows, contents = scans(s, d)
+    return upload.process(documents, rows, contents, reader)[1].drop("page_number")
+
+
+@query(f"{SCANS} SELECT document_id AS id, bool_and(done OR outcome = 'ok') AS ocr_completed FROM so GROUP BY 1")
+def recognized_documents(s: SparkSession, d: str) -> DataFrame:
+    documents, rows, contents = scans(s, d)
+    return upload.process(documents, rows, contents, reader)[0].select("id", "ocr_completed")
+
+
+@query(f"""{SCANS}, re AS (SELECT *, CASE WHEN done AND k % 2 = 0 AND k % 11 <> 0 AND there AND size % 13 <> 0 THEN 'ok' END AS again FROM so)
+  SELECT id, CASE WHEN k % 2 = 0 THEN coalesce(again, outcome) = 'ok' ELSE done END AS ocr_completed,
+    CASE WHEN k % 2 = 0 AND coalesce(again, outcome) = 'ok' THEN languages || ' ' || size::VARCHAR WHEN k % 2 = 1 AND done THEN 'kept' ELSE '' END AS ocr_text FROM re""")
+def reprocessed_pages(s: SparkSession, d: str) -> DataFrame:
+    """Every page with an even number on it is read again, done or not."""
+    documents, rows, contents = scans(s, d)
+    return upload.reprocess(documents, rows, F.col("page_number") % 2 == 1, contents, reader)[1].select("id", "ocr_completed", "ocr_text")
+
+
 # --- Names and numbers ---
 
 
@@ -366,6 +446,18 @@ def source_documents(s: SparkSession, d: str) -> DataFrame:
     return kin.sources_of(persons(s, d), bridge, orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title")))
 
 
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 THEN b.n_name || ', ' || br.r_name END AS birth_place, CASE WHEN c_custkey % 4 = 0 THEN t.n_name || ', ' || tr.r_name END AS death_place
+  FROM customer LEFT JOIN nation b ON b.n_nationkey = c_nationkey LEFT JOIN region br ON br.r_regionkey = b.n_regionkey
+  LEFT JOIN nation t ON t.n_nationkey = (c_nationkey + 1) % 30 LEFT JOIN region tr ON tr.r_regionkey = t.n_regionkey""")
+def person_places(s: SparkSession, d: str) -> DataFrame:
+    """Persons with where they were born and died, where that is known; a few of these places don't exist."""
+    places = table(s, d, "nation").join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    places = places.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.lit("").alias("locality"), F.lit("").alias("region"), F.col("r_name").alias("country"))
+    k = F.col("c_custkey")
+    people = table(s, d, "customer").select("c_custkey", F.when(k % 3 > 0, F.col("c_nationkey")).alias("birth_place_id"), F.when(k % 4 == 0, (F.col("c_nationkey") + 1) % 30).alias("death_place_id"))
+    return kin.with_places(people, places, {"birth_place_id": "birth_place", "death_place_id": "death_place"}).select("c_custkey", "birth_place", "death_place")
+
+
 # --- Lists ---
 
 
@@ -426,6 +518,39 @@ def cascade_delete_count(s: SparkSession, d: str) -> DataFrame:
     return snapshots.delete_cascading(docs, F.startswith("o_orderpriority", F.lit("1")), line_pages(s, d), "document_id")[2]
 
 
+TREE = """WITH gone AS (SELECT c_custkey FROM customer WHERE c_nationkey % 5 = 0), go AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (FROM gone)),
+  gl AS (SELECT l_orderkey, l_linenumber, l_partkey, l_orderkey IN (FROM go) OR l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_suppkey IN (FROM gone)) AS gone FROM lineitem)"""
+
+
+def tree(s: SparkSession, d: str) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """Customers with their orders and suppliers of the same key, and the line items of both."""
+    tables = {
+        "customer": table(s, d, "customer").select(F.col("c_custkey").alias("id"), "c_nationkey"), "orders": table(s, d, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey"),
+        "supplier": table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_suppkey").alias("of")), "lineitem": table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"),
+    }
+    references = [("orders", "o_custkey", "customer"), ("supplier", "of", "customer"), ("lineitem", "l_orderkey", "orders"), ("lineitem", "l_suppkey", "supplier")]
+    return snapshots.delete_tree(tables, "customer", F.col("c_nationkey") % 5 == 0, references)
+
+
+@query(f"{TREE} SELECT l_orderkey, l_linenumber, l_partkey FROM gl WHERE NOT gone")
+def tree_delete_keep(s: SparkSession, d: str) -> DataFrame:
+    return tree(s, d)[0]["lineitem"].select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query(f"{TREE} SELECT o_orderkey AS id FROM go")
+def tree_delete_gone(s: SparkSession, d: str) -> DataFrame:
+    return tree(s, d)[1]["orders"]
+
+
+@query("""WITH n AS (SELECT l_suppkey AS document_id, l_linenumber AS page_number, count(*) AS new FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2),
+  t AS (SELECT l_orderkey AS document_id, l_linenumber AS page_number, count(*) AS there FROM lineitem GROUP BY 1, 2)
+  SELECT document_id, page_number, coalesce(there, 0) AS there, new FROM n LEFT JOIN t USING (document_id, page_number) WHERE new > 1 OR there > 0""")
+def refused_keys(s: SparkSession, d: str) -> DataFrame:
+    """New pages whose numbers their documents have already, or that they would share."""
+    new = table(s, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("document_id"), F.col("l_linenumber").alias("page_number"))
+    return numbering.conflicts(line_pages(s, d), new, "document_id", "page_number")
+
+
 @query("SELECT c_custkey, CASE WHEN c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey > 1) THEN c_nationkey END AS c_nationkey FROM customer")
 def set_null(s: SparkSession, d: str) -> DataFrame:
     left = table(s, d, "nation").where("n_regionkey > 1").select(F.col("n_nationkey").alias("id"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import text
+from ..operators import numbering, snapshots
 from ..schemas import EXTENSIONS
 
 
@@ -38,5 +42,12 @@ def write_snapshot(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def append(df: DataFrame, path: str) -> None:
+def append(df: DataFrame, path: str, unique: Sequence[str] = ()) -> None:
+    """Adds rows to a table that may be new; with a key that must be unique, an error if it would not be, and nothing is written."""
+    if unique:
+        try:
+            there = df.sparkSession.read.schema(df.schema).parquet(path)
+        except AnalysisException:  # no such table yet
+            there = df.limit(0)
+        snapshots.refuse(numbering.conflicts(there, df, *unique), unique)
     df.write.mode("append").parquet(path)

@@ -5,7 +5,8 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from folio.operators import kin, listing, numbering, pages, recognition, snapshots
+from folio.operators import kin, listing, numbering, pages, recognition, snapshots, upload
+from folio.operators.engine import PageEngine
 from folio.schemas import DOCUMENT, PAGE
 from folio.sources import files
 from folio.streaming import queue
@@ -84,6 +85,184 @@ def test_kin(spark):
     assert got == {(3, 2, 1), (3, 1, 1)}
 
 
+def test_ancestors_without_bounds(spark):
+    """Two parents in every generation for 40 of them, a cycle, a chain of hundreds, and ids that lead nowhere."""
+    both = [(10 * g + c, 10 * (g + 1) + p) for g in range(40) for c in (0, 1) for p in (0, 1)]
+    cycle = [(1001, 1002), (1002, 1003), (1003, 1001), (1003, 1003)]
+    chain = [(i, i + 1) for i in range(2000, 2030)]
+    links = spark.createDataFrame(both + cycle + chain + [(5, None), (None, 6), both[0]], "child_id long, parent_id long")
+    starts = spark.createDataFrame([(0,), (1001,), (2000,), (5,), (None,), (0,)], "id long")
+    got = [tuple(r) for r in kin.ancestors(links, starts).collect()]
+    want = {(0, 10 * g + p, g) for g in range(1, 41) for p in (0, 1)} | {(1001, 1002, 1), (1001, 1003, 2), (1001, 1001, 3)} | {(2000, 2000 + i, i) for i in range(1, 31)}
+    assert len(got) == len(want) and set(got) == want
+    assert kin.ancestors(links.limit(0), starts).collect() == [] and kin.ancestors(links, starts.limit(0)).collect() == []
+
+
+def test_ancestors_of_very_many(spark):
+    """More pairs than Spark's own recursion may give rows."""
+    people = spark.range(1, 80_001)
+    links = people.select(F.col("id").alias("child_id"), F.floor(F.col("id") / 2).alias("parent_id"))
+    got = kin.ancestors(links, people)
+    assert got.count() == sum(int(i).bit_length() for i in range(1, 80_001)) > 1_000_000
+    assert got.agg(F.max("generations")).first()[0] == 17
+
+
+def test_places(spark):
+    places = spark.createDataFrame([(1, "Dom", "Utrecht", "", "NL"), (2, "Kerk", "", "Zeeland", "NL")], "id long, name string, locality string, region string, country string")
+    people = spark.createDataFrame([("a", 1, 2), ("b", None, 9), ("c", 2, None)], "id string, birth_place_id long, death_place_id long")
+    got = kin.with_places(people, places, {"birth_place_id": "born", "death_place_id": "died"})
+    assert got.columns == ["id", "birth_place_id", "death_place_id", "born", "died"]
+    assert sorted((r.id, r.born, r.died) for r in got.collect()) == [("a", "Dom, Utrecht, NL", "Kerk, Zeeland, NL"), ("b", None, None), ("c", "Kerk, Zeeland, NL", None)]
+
+
+def reader(path, content, languages):
+    if b"bad" in content:
+        raise ValueError("unreadable")
+    return f"{languages} {content.decode()}", 80.0, 0.0
+
+
+def test_upload_to_status(spark):
+    """Files become documents and pages with ids and defaults; recognition reads what it can; a document is complete when all of its pages are."""
+    files_df = spark.createDataFrame([(0, 1, "letter_002.pdf"), (0, 2, "letter_001.pdf"), (0, 3, "notes.txt"), (1, 4, "bad.png"), (1, 5, "good.png"), (2, 6, "x.doc")], "batch long, pos long, name string")
+    documents, rows = upload.upload(files_df, languages="eng", salt="s")
+    assert documents.columns == DOCUMENT.fieldNames() and rows.columns == PAGE.fieldNames() and [f.dataType for f in rows.schema] == [f.dataType for f in PAGE]
+    d = {r.title: r for r in documents.collect()}
+    assert set(d) == {"Letter 002", "Bad"} and all((r.languages, r.ocr_completed, r.extraction_completed) == ("eng", False, False) and r.upload_date for r in d.values())
+    p = {r.original_filename: r for r in rows.collect()}
+    assert {n: (r.page_number, r.ocr_text, r.ocr_confidence, r.rotation_applied, r.ocr_completed) for n, r in p.items()} == {"letter_001.pdf": (1, "", None, 0.0, False), "letter_002.pdf": (2, "", None, 0.0, False), "bad.png": (1, "", None, 0.0, False), "good.png": (2, "", None, 0.0, False)}
+    assert {r.document_id for r in p.values()} == {r.id for r in d.values()} and all(uuid.UUID(r.id) for r in [*d.values(), *p.values()]) and len({r.id for r in p.values()}) == 4
+    other = upload.upload(files_df)[0].collect()
+    assert len(other) == 2 and not {r.id for r in other} & {r.id for r in d.values()}
+    contents = spark.createDataFrame([(f"document_pages/{n}", bytearray(n.encode())) for n in p], "path string, content binary")
+    after, done, results = upload.process(documents, rows, contents, reader)
+    assert {r.title: r.ocr_completed for r in after.collect()} == {"Letter 002": True, "Bad": False}
+    assert {r.original_filename: r.ocr_text for r in done.collect()} == {"letter_001.pdf": "eng letter_001.pdf", "letter_002.pdf": "eng letter_002.pdf", "bad.png": "", "good.png": "eng good.png"}
+    assert sorted(r.outcome for r in results.collect()) == ["failed", "ok", "ok", "ok"]
+    assert upload.process(after, done, contents, reader)[2].count() == 1  # what is done isn't read again
+    again, redone, results = upload.reprocess(after, done, F.col("page_number") == 2, contents, lambda *a: ("new", 10.0, 90.0))
+    assert {r.original_filename: (r.ocr_text, r.rotation_applied) for r in redone.collect()}["letter_002.pdf"] == ("new", 90.0) and results.count() == 2
+    assert {r.title: r.ocr_completed for r in again.collect()} == {"Letter 002": True, "Bad": False}
+
+
+def test_upload_modes(spark):
+    files_df = spark.createDataFrame([(0, 1, "a_b.pdf"), (0, 2, "c.JPG")], "batch long, pos long, name string")
+    documents, rows = upload.upload(files_df, single_document=False)
+    assert sorted(r.title for r in documents.collect()) == ["A B", "C"] and {r.page_number for r in rows.collect()} == {1} and rows.select("document_id").distinct().count() == 2
+    assert [r.title for r in upload.upload(files_df, title="Own")[0].collect()] == ["Own"]
+    none, empty = upload.upload(files_df.limit(0))
+    assert none.collect() == [] and empty.collect() == []
+
+
+def test_samples(spark, docs, page_rows):
+    docs = docs.withColumn("upload_date", F.lit("2024-01-01").cast("timestamp")).select(DOCUMENT.fieldNames())
+    found = spark.createDataFrame([("x/025.pdf", bytearray(b"one")), ("x/032.pdf", bytearray(b"bad"))], "path string, content binary")
+    once = upload.samples(docs, page_rows, found, reader, "nld", "s")
+    twice = upload.samples(*once[:2], found, reader, "nld", "t")
+    for documents, rows, results in (once, twice):
+        titles = {r.title: r for r in documents.collect()}
+        assert set(titles) == {"A", "B", "C", "Demo: 025 - nld", "Demo: 032 - nld"} and titles["Demo: 025 - nld"].ocr_completed and not titles["Demo: 032 - nld"].ocr_completed
+        assert rows.count() == page_rows.count() + 2 and "nld one" in {r.ocr_text for r in rows.collect()} and results.count() == 2
+
+
+class Program:
+    """An OCR program that notes what it is asked for; an image is its history."""
+
+    def __init__(self, broken=(), report="Page: 0\nRotate: 90\nRotate: 5", images=1, confidences=("71", "0", "-1", "84")):
+        self.broken, self.report, self.images, self.found, self.asked = broken, report, images, confidences, []
+
+    def _(self, name, *args):
+        self.asked.append((name, *args))
+        if name in self.broken:
+            raise OSError(name)
+
+    def image(self, content):
+        self._("image")
+        return [content]
+
+    def pdf_images(self, content, first, last):
+        self._("pdf_images", first, last)
+        return [[content]] * self.images
+
+    def grey(self, image):
+        return [*image, "grey"]
+
+    def orientation(self, image, config):
+        self._("orientation", config)
+        return self.report
+
+    def turned(self, image, degrees):
+        return [*image, degrees]
+
+    def enhanced(self, image, contrast, sharpness):
+        self._("enhanced", contrast, sharpness)
+        return [*image, "enhanced"]
+
+    def text(self, image, languages, config):
+        self._("text", languages, config)
+        return f"  {image} "
+
+    def confidences(self, image, languages, config):
+        self._("confidences", languages, config)
+        return self.found
+
+
+def test_engine():
+    p = Program()
+    assert PageEngine(p)("a/X.PDF", b"c", "eng+nld") == ("[b'c', 'grey', -90.0, 'enhanced']", 77.5, 90.0)
+    assert p.asked == [("pdf_images", 1, 1), ("orientation", "--psm 0"), ("enhanced", 1.2, 1.1), ("text", "eng+nld", "--oem 3 --psm 3"), ("confidences", "eng+nld", "--oem 3 --psm 3")]
+    p = Program(broken=("orientation", "enhanced", "confidences"))
+    assert PageEngine(p, "--psm 6")("a.pdf.png", b"c", "eng") == ("[b'c', 'grey']", 0.0, 0.0) and p.asked[0] == ("image",) and p.asked[-1][-1] == "--psm 6"
+    assert PageEngine(Program(report="Rotate: none", confidences=("x",)))("a.tif", b"c", "eng")[1:] == (0.0, 0.0)
+    assert PageEngine(Program(report="", confidences=()))("a.tif", b"c", "eng")[1:] == (0.0, 0.0)
+    with pytest.raises(ValueError, match="from PDF"):
+        PageEngine(Program(images=0))("a.pdf", b"c", "eng")
+    for broken in ("text", "image"):
+        with pytest.raises(OSError, match=broken):
+            PageEngine(Program(broken=(broken,)))("a.png", b"c", "eng")
+
+
+def test_engine_as_a_page_function(spark, docs):
+    rows = some_pages(spark, [(P[0], A, 1, "a.pdf", False, ""), (P[1], A, 2, "b.png", False, "")])
+    contents = spark.createDataFrame([("a.pdf", bytearray(b"x")), ("b.png", bytearray(b"y"))], "path string, content binary")
+    got = {r.page_id: r for r in recognition.recognize(rows, docs, contents, PageEngine(Program(images=0))).collect()}
+    assert got[P[0]].outcome == "failed" and "Could not extract image from PDF" in got[P[0]].error and (got[P[1]].outcome, got[P[1]].confidence) == ("ok", 77.5)
+
+
+def test_unique_keys(spark, docs, page_rows, tmp_path):
+    new = some_pages(spark, [("n1", A, 9, "f", False, ""), ("n2", B, 9, "f", False, "")])
+    key = ("document_id", "page_number")
+    assert snapshots.insert(page_rows, new, key).count() == page_rows.count() + 2
+    with pytest.raises(ValueError, match="must be unique"):
+        snapshots.insert(page_rows, new.unionByName(new), key)
+    with pytest.raises(ValueError, match=A):
+        snapshots.insert(page_rows, some_pages(spark, [("n1", A, 1, "f", False, "")]), key)
+    path = str(tmp_path / "pages")
+    files.append(new, path, key)
+    with pytest.raises(ValueError, match="must be unique"):
+        files.append(new, path, key)
+    files.append(some_pages(spark, [("n3", C, 9, "f", False, "")]), path, key)
+    assert spark.read.parquet(path).count() == 3
+    files.append(new, path)
+    assert spark.read.parquet(path).count() == 5
+    twice = spark.createDataFrame([(A, "x"), (A, "y")], "id string, title string")
+    with pytest.raises(Exception, match="must be unique"):
+        snapshots.patch(docs, twice, "id", ["title"]).collect()
+
+
+def test_delete_tree(spark):
+    t = {
+        "person": spark.createDataFrame([(1, "x"), (2, "y"), (3, "x")], "id long, name string"),
+        "event": spark.createDataFrame([(10, 1), (11, 2), (12, None)], "id long, person_id long"),
+        "link": spark.createDataFrame([(20, 1, 2), (21, 2, 3), (22, 2, 4), (23, 1, 3)], "id long, child_id long, parent_id long"),
+        "link_source": spark.createDataFrame([(20, "d"), (22, "d"), (23, "e")], "left_id long, right_id string"),
+    }
+    left, gone = snapshots.delete_tree(t, "person", F.col("name") == "x", [("event", "person_id", "person"), ("link", "child_id", "person"), ("link", "parent_id", "person"), ("link_source", "left_id", "link")])
+    assert {n: sorted(r[0] for r in df.collect()) for n, df in left.items()} == {"person": [2], "event": [11, 12], "link": [22], "link_source": [22]}
+    assert {n: sorted(r.id for r in df.collect()) for n, df in gone.items()} == {"person": [1, 3], "event": [10], "link": [20, 21, 23]}
+    same, none = snapshots.delete_tree(t, "person", F.col("name") == "z", [("event", "person_id", "person")])
+    assert same["event"].count() == 3 and none["event"].count() == 0
+
+
 def test_lists(spark):
     t = spark.createDataFrame([(1, None, "Élan"), (2, "2024-01-15", "de Vries"), (3, "2024-01-08", "Zee"), (4, "2023-12-31", None)], "id int, d string, n string")
     assert [r.id for r in listing.default_order(t, "d", "id").collect()] == [4, 3, 2, 1]
@@ -125,6 +304,8 @@ def test_files(spark, tmp_path):
         (tmp_path / n).write_bytes(n.encode())
     assert sorted(r.path.rsplit("/", 1)[1] for r in files.page_files(spark, str(tmp_path)).collect()) == ["a_001.pdf", "b.JPG"]
     assert files.sample_files(spark, str(tmp_path), ["b.JPG", "gone.pdf"]).count() == 1
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        files.sample_files(spark, str(tmp_path / "gone"), ["b.JPG"]).count()
 
 
 def test_queue(spark, page_rows, tmp_path):
