@@ -11,7 +11,6 @@ from __future__ import annotations
 import atexit
 import gc
 import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from hashlib import blake2b
@@ -23,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from ..sources.shared import cut, shared_folder
+
 CHUNK_BYTES = 1_000_000
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 WORD_BASE = 0xD1342543DE82EF95
@@ -186,19 +187,6 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's checkpoint folder. Where none is set, one of our own on a local master, and an error on a cluster."""
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if folder is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="folio-checkpoint-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return folder
-
-
 def own_folder(spark: SparkSession, kind: str) -> str:
     """A new place in the shared folder. What is still there when the driver ends is deleted then."""
     path = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
@@ -220,12 +208,6 @@ def _clear() -> None:
             pass
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Computes df once and ends its lineage in the shared folder, so a lost executor costs no recomputation."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame) -> tuple[DataFrame, str]:
     """df as a Parquet table in the shared folder, a third of a checkpoint's size; and its path, for remove()."""
     path = own_folder(df.sparkSession, "table")

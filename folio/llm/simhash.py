@@ -238,14 +238,15 @@ def grouped(rows: DataFrame, radius: int) -> DataFrame:
     names = [f"f{w}" for w in range(BITS // 64)]
     # Documents with one fingerprint are one node, so thousands of exact copies meet once; it has the
     # block keys of all of them, as the same words in another order have other shingles.
-    nodes = rows.groupBy("node").agg(*(F.first(c).alias(c) for c in names), F.array_distinct(F.flatten(F.collect_set("keys"))).alias("keys"))
+    nodes = rows.groupBy("node", "keys").agg(*(F.first(c).alias(c) for c in names))
     nodes, path = kernel.written(nodes)
     parts = graph.components(near_edges(nodes.select(F.explode("keys").alias("key"), "node", *names), radius))
     kernel.remove(rows.sparkSession, path)
     documents = rows.select("doc_id", "text_key", "node").distinct()
     placed = documents.join(parts, "node", "left").select("doc_id", "text_key", F.coalesce("component", "node").alias("component"))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
-    kept = placed.groupBy("component").agg(F.min(order).alias("kept"), F.count("*").alias("n")).where("n > 1").select("component", "kept")
+    # Cut, so that the join below meets two shuffled tables and Spark can split a component of very many.
+    kept = kernel.cut(placed.groupBy("component").agg(F.min(order).alias("kept"), F.count("*").alias("n")).where("n > 1").select("component", "kept"))
     joined = placed.join(kept, "component").where(~(F.col("doc_id").eqNullSafe(F.col("kept.id")) & (F.col("text_key") == F.col("kept.key"))))
     return joined.select("doc_id", "text_key", F.col("kept.id").alias("kept_id"), F.col("kept.key").alias("kept_key"))
 

@@ -208,7 +208,8 @@ def links(sketches: DataFrame, size: int = SIZE, alike: float = ALIKE) -> DataFr
     some = sketches.where(F.size("sketch") > 0)
     first = first_hashes(some, frequent(some, size), size, alike)
     shared = first.groupBy(F.col("key").alias("shared_key")).agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("shared_key")
-    meet = kernel.cut(first.join(shared, F.col("key") == F.col("shared_key")).select("key", "node").distinct())
+    # Spread over more than the key, so that the join may split a hash of very many.
+    meet = kernel.cut(first.join(shared, F.col("key") == F.col("shared_key")).select("key", "node").repartition("key", "node").distinct())
     kernel.release(spark)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -161,7 +161,10 @@ def repeats(docs: DataFrame, ways: bool = True) -> Repeats:
     often = kernel.cut(often.select(F.col("key").alias("often_key"), (F.col("b0") != F.col("b1")).alias("many")))
     kernel.release(docs.sparkSession)
     some = every.join(often, F.col("key") == F.col("often_key")).drop("often_key")
-    some = kernel.cut(some.dropDuplicates(["key", *DOCUMENT, "start"]))  # rows equal in id and text are one
+    if not keyed(docs).groupBy(*DOCUMENT).count().where("count > 1").isEmpty():  # rows equal in id and text are one
+        # Spread over more than the key, so that the join may split a minimizer of very many.
+        some = some.repartition("key", *DOCUMENT, "start").dropDuplicates(["key", *DOCUMENT, "start"])
+    some = kernel.cut(some)
     kernel.remove(docs.sparkSession, path)
     kinds = some.groupBy(*KIND).agg(
         F.min(place()).alias("first"), F.count("*").alias("copies"), F.first("windows").alias("windows"), F.first("many").alias("many"),

@@ -122,6 +122,15 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 50, 50: 50}
 
 
+def test_nodes_of_very_many_edges(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    edges = [(0, i) for i in range(1, 60)] + [(100, i) for i in range(30, 50)] + [(int(a), int(b)) for a, b in r.integers(200, 400, (150, 2))]
+    df = spark.createDataFrame(edges, "a long, b long")
+    want = {(x.node, x.component) for x in graph.components(df).collect()}
+    monkeypatch.setattr(graph, "HOT", 3)
+    assert {(x.node, x.component) for x in graph.components(df).collect()} == want and (100, 0) in want
+
+
 def test_messy(messy, empty):
     got = [(r.doc_id, r.kept_id) for r in simhash.groups(messy).collect()]
     assert got == [(7, 6)]
