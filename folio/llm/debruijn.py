@@ -90,7 +90,7 @@ def compact_apart(kinds: DataFrame, docs: DataFrame) -> DataFrame:
     first, last = F.col("j") == 0, F.col("j") == F.col("windows") - 1
     ways = {f"{way}_{n}": F.when(at, F.col(f"{name}_{n}")).otherwise(F.col(f"edge_{way}")) for way, at, name in (("in", first, "before"), ("out", last, "after")) for n in ("least", "most")}
     each = kernel.cut(each.select(*KIND, "j", "w0", "w1", "copies", *(c.alias(n) for n, c in ways.items())))
-    node = each.groupBy(F.col("w0").alias("v0"), F.col("w1").alias("v1")).agg(F.sum("copies").alias("copies"), *((F.min if n.endswith("least") else F.max)(n).alias(n) for n in ways)).where("copies > 1")
+    node = kernel.cut(each.groupBy(F.col("w0").alias("v0"), F.col("w1").alias("v1")).agg(F.sum("copies").alias("copies"), *((F.min if n.endswith("least") else F.max)(n).alias(n) for n in ways)).where("copies > 1"))
     placed = each.select(*KIND, "j", "w0", "w1").join(node, (F.col("w0") == F.col("v0")) & (F.col("w1") == F.col("v1")))
     return placed.select(*KIND, F.col("j").alias("j0"), (F.col("j") + 1).alias("j1"), F.col("w0").alias("segment"), only("in").alias("way_in"), only("out").alias("way_out"), "copies")
 

@@ -159,7 +159,7 @@ def settle(rows: pa.Table) -> pa.RecordBatch:
 def settle_apart(kinds: DataFrame, docs: DataFrame) -> DataFrame:
     """What settle() gives, for kinds too many for one task: equal windows meet by digest, in Spark's partial aggregation."""
     each = kernel.cut(windows.single_windows(kinds, docs, []).select(*KIND, *DOCUMENT, "j", (F.col("start") + F.col("j")).alias("start"), "w0", "w1").dropDuplicates([*KIND, "j"]))
-    owner = each.groupBy(F.col("w0").alias("v0"), F.col("w1").alias("v1")).agg(F.min(windows.place()).alias("o"))
+    owner = kernel.cut(each.groupBy(F.col("w0").alias("v0"), F.col("w1").alias("v1")).agg(F.min(windows.place()).alias("o")))
     placed = each.join(owner, (F.col("w0") == F.col("v0")) & (F.col("w1") == F.col("v1"))).select(*KIND, "j", *(F.col(f"o.{c}").alias(f"o_{c}") for c in (*DOCUMENT, "start")))
     # Windows in a row whose owners are in a row are one range.
     shift = [*KIND, "o_no_id", "o_id", "o_text_key", "shift"]

@@ -114,22 +114,25 @@ def fit(lists: list[np.ndarray], toxic: np.ndarray, seed: int = 7) -> Machine:
     best = np.flatnonzero(have >= MIN_DOCS)
     ends = np.cumsum(sizes)
     kept = np.concatenate([[0], np.cumsum(have[at] >= MIN_DOCS)])
-    return learn(terms[have[at] >= MIN_DOCS], kept[np.concatenate([[0], ends])], toxic, known[best].astype(np.int64), odds[best], np.abs(odds / error)[best], seed)
+    chosen = have[at] >= MIN_DOCS
+    return learn((np.cumsum(have >= MIN_DOCS) - 1)[at[chosen]].astype(np.int32), kept[np.concatenate([[0], ends])], toxic, known[best].astype(np.int64), odds[best], np.abs(odds / error)[best], seed)
 
 
 def nothing() -> Machine:
     return Machine(np.zeros(0, np.int64), -10.0, np.zeros(0), np.zeros((0, FACTORS)))
 
 
-def gathered(starts: np.ndarray, index: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """The sum of values[index[starts[i] : starts[i + 1]]] for each i."""
+def gathered(starts: np.ndarray, index: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """The sum of columns[k, index[starts[i] : starts[i + 1]]] for each k and i. Column by column, so that what is drawn from stays in the processor's cache."""
     n = len(starts) - 1
-    out, lo = np.zeros((n, values.shape[1])), 0
+    out, lo = np.zeros((len(columns), n)), 0
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + CHUNK, "right")) - 1)
         some = lo + np.flatnonzero(np.diff(starts[lo : hi + 1]))
         if len(some):
-            out[some] = np.add.reduceat(values[index[starts[lo] : starts[hi]]], starts[some] - starts[lo], axis=0)
+            part = index[starts[lo] : starts[hi]]
+            for k, column in enumerate(columns):
+                out[k, some] = np.add.reduceat(column[part], starts[some] - starts[lo])
         lo = hi
     return out
 
@@ -156,40 +159,38 @@ def minimum(loss, x: np.ndarray) -> np.ndarray:
         s, y = far * way, there[1] - grad
         x, (value, grad) = x + s, there
         if s @ y > 1e-12:
-            past = [*past, (s, y, 1 / (s @ y))][-MEMORY:]
+            past = [*past, (s.astype(np.float32), y.astype(np.float32), 1 / (s @ y))][-MEMORY:]
     return x
 
 
-def learn(values: np.ndarray, ends: np.ndarray, toxic: np.ndarray, buckets: np.ndarray, odds: np.ndarray, z: np.ndarray, seed: int = 7) -> Machine:
-    """The machine over some buckets, from those that each document has: document i the values from ends[i] to ends[i + 1]."""
+def learn(at: np.ndarray, ends: np.ndarray, toxic: np.ndarray, buckets: np.ndarray, odds: np.ndarray, z: np.ndarray, seed: int = 7) -> Machine:
+    """The machine over some buckets, from those that each document has: document i the buckets[at[ends[i] : ends[i + 1]]]."""
     n, positive = len(toxic), int(toxic.sum())
     if not len(buckets):
         return nothing()
     ends = ends.astype(np.int64)
-    at = np.searchsorted(buckets, values).astype(np.int32)
-    order = np.argsort(at, kind="stable")
-    rows = np.repeat(np.arange(n, dtype=np.int32), np.diff(ends))[order]
+    rows = np.repeat(np.arange(n, dtype=np.int32), np.diff(ends))[np.argsort(at, kind="stable")]  # the documents of each bucket, one after the other
     first = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(buckets)))])
-    del order
     strong = (np.abs(odds) >= np.log(MIN_LIFT)) & (z >= MIN_Z)
-    ridge = np.where(strong[:, None], RIDGE, np.array([WEAK_RIDGE[0]] + [WEAK_RIDGE[1]] * FACTORS))
+    ridge = np.where(strong, RIDGE, np.array([WEAK_RIDGE[0]] + [WEAK_RIDGE[1]] * FACTORS)[:, None])
     weight = np.where(toxic > 0, 0.5 / positive, 0.5 / (n - positive)) * n * 0.5 + 0.5  # half of the balanced weights
-    start = np.column_stack([np.where(strong, np.clip(odds, -3, 3) * 0.3, 0), np.random.default_rng(seed).normal(0, 0.02, (len(buckets), FACTORS))])
+    start = np.concatenate([np.where(strong, np.clip(odds, -3, 3) * 0.3, 0)[None], np.random.default_rng(seed).normal(0, 0.02, (len(buckets), FACTORS)).T])
 
     def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
         p = x[1:].reshape(start.shape)
-        v = p[:, 1:]
-        sums = gathered(ends, at, np.column_stack([p[:, 0] - 0.5 * (v * v).sum(1), v]))
-        total = x[0] + sums[:, 0] + 0.5 * (sums[:, 1:] ** 2).sum(1)
+        v = p[1:]
+        sums = gathered(ends, at, np.concatenate([(p[0] - 0.5 * (v * v).sum(0))[None], v]))
+        total = x[0] + sums[0] + 0.5 * (sums[1:] ** 2).sum(0)
         slope = (1 / (1 + np.exp(-np.clip(total, -500, 500))) - toxic) * weight / n
-        back = gathered(first, rows, np.column_stack([slope, slope[:, None] * sums[:, 1:]]))
-        back[:, 1:] -= v * back[:, :1]
+        back = gathered(first, rows, np.concatenate([slope[None], slope * sums[1:]]))
+        back[1:] -= v * back[:1]
         value = (weight * (np.logaddexp(0, total) - toxic * total)).mean() + 0.5 * (ridge * p * p).sum()
-        return value, np.concatenate([[slope.sum()], (back + ridge * p).ravel()])
+        back += ridge * p
+        return value, np.concatenate([[slope.sum()], back.ravel()])
 
     x = minimum(loss, np.concatenate([[np.log(positive / (n - positive))], start.ravel()]))
     p = x[1:].reshape(start.shape)
-    return Machine(buckets, float(x[0]), p[:, 0].copy(), p[:, 1:].copy())
+    return Machine(buckets, float(x[0]), p[0].copy(), p[1:].T.copy())
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Machine:
@@ -236,16 +237,20 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         for batch in batches:
             lists = batch.column("terms")
             values, row = lists.flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths()))
-            keep = np.isin(values, model.value)
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), kernel.ragged(values[keep], np.bincount(row[keep], minlength=batch.num_rows), pa.int32())], names=["toxic", "terms"])
-
-    table = listed.mapInArrow(narrow, "toxic int, terms array<int>").toArrow()
-    lists = table.column("terms").combine_chunks()
-    values, ends, toxic = lists.flatten().to_numpy(), lists.offsets.to_numpy(), table.column("toxic").to_numpy().astype(float)
-    order = sorted(range(n), key=lambda i: (ends[i + 1] - ends[i], toxic[i], values[ends[i] : ends[i + 1]].tobytes()))  # the same whatever order tasks end in
-    whole = np.concatenate([values[ends[i] : ends[i + 1]] for i in order])
-    ends = np.concatenate([[0], np.cumsum(np.diff(ends)[order])])
-    return learn(whole, ends, toxic[order], buckets, best.column("odds").to_numpy(), best.column("z").to_numpy())
+            at = np.minimum(np.searchsorted(model.value, values), len(model.value) - 1)
+            keep = model.value[at] == values
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("toxic"), kernel.ragged(at[keep].astype(np.int32), np.bincount(row[keep], minlength=batch.num_rows), pa.int32())], names=["row", "toxic", "terms"])
+
+    odds, z = best.column("odds").to_numpy(), best.column("z").to_numpy()
+    del best, counted
+    if not len(buckets):
+        return nothing()
+    # In the order of the rows' digests, whatever order tasks end in.
+    table = listed.mapInArrow(narrow, "row string, toxic int, terms array<int>").toArrow().sort_by("row")
+    size, toxic = table.column("terms").combine_chunks().value_lengths().to_numpy(), table.column("toxic").to_numpy().astype(float)
+    at = table.column("terms").combine_chunks().flatten().to_numpy()
+    del table
+    return learn(at, np.concatenate([[0], np.cumsum(size, dtype=np.int64)]), toxic, buckets, odds, z)
 
 
 def score(docs: DataFrame, machine: Machine, out: tuple[str, str] = ("toxicity", "toxic"), threshold: float = THRESHOLD) -> DataFrame:

@@ -105,7 +105,7 @@ def test_the_sample_is_bounded_by_rows(spark, words, monkeypatch):
     """Ids that many rows share, and repeated rows: no more documents than the bound reach the driver, the same ones however the rows lie."""
     seen = []
     here = toxicity.learn
-    monkeypatch.setattr(toxicity, "learn", lambda values, ends, toxic, *rest: seen.append((len(toxic), values.tobytes(), toxic.tobytes())) or here(values, ends, toxic, *rest))
+    monkeypatch.setattr(toxicity, "learn", lambda at, ends, toxic, *rest: seen.append((len(toxic), at.tobytes(), toxic.tobytes())) or here(at, ends, toxic, *rest))
     rows = [(i % 6, f"{words(i % 40, 20)} {'wretch' if i % 6 < 3 else 'oak'}") for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i < 3)) for i in range(6)], "doc_id long, toxic int")
