@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ MIN_DOCS = 3
 #: A term whose odds alone say so much has RIDGE; of others, the weight and the factors have the two of WEAK_RIDGE. None is left out.
 MIN_LIFT, MIN_Z = 3.0, 3.0
 FACTORS, STEPS, MEMORY, RIDGE, WEAK_RIDGE = 4, 40, 8, 2e-4, (5e-2, 1e-2)
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 THRESHOLD = 0.5
 
 LETTER = np.zeros(256, bool)
@@ -58,8 +59,11 @@ def term_buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def distinct(rows: np.ndarray, values: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray]:
-    both = np.unique(rows * below + values)
-    return both // below, both % below
+    both = rows * below + values
+    both.sort()
+    both = both[np.diff(both, prepend=-1) > 0]
+    rows = both // below
+    return rows, both - rows * below
 
 
 @dataclass
@@ -71,18 +75,37 @@ class Machine:
     weights: np.ndarray
     factors: np.ndarray
 
+    @cached_property
+    def slots(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A table by the low bits of a bucket: the place of the first one with these bits, in an order by them; that order, and the buckets in it."""
+        low = self.buckets & (SIEVE - 1)
+        order = np.argsort(low, kind="stable")
+        first = np.full(SIEVE, -1, np.int32)
+        first[low[order[::-1]]] = np.arange(len(order) - 1, -1, -1, dtype=np.int32)
+        return first, order, np.append(self.buckets[order], -1)
+
+    def find(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of some terms are among the buckets, and the places of these."""
+        first, order, known = self.slots
+        place = first[terms & (SIEVE - 1)]
+        found = known[place] == terms  # the last of known, where place is -1, is no bucket
+        seek = np.flatnonzero(~found & (place >= 0))
+        while len(seek):  # buckets that share the low bits lie one after the other
+            place[seek] += 1
+            got = known[place[seek]]
+            found[seek[got == terms[seek]]] = True
+            seek = seek[(got != terms[seek]) & (((got ^ terms[seek]) & (SIEVE - 1)) == 0) & (got >= 0)]
+        hit = np.flatnonzero(found)
+        return hit, order[place[hit]]
+
     def score(self, texts: pa.Array) -> np.ndarray:
         """The probability of being toxic, for each text."""
         n = len(texts)
         total = np.full(n, self.bias)
         if len(self.buckets):
-            sieve = np.zeros(SIEVE, bool)
-            sieve[self.buckets % SIEVE] = True
             rows, terms = term_buckets(texts)
-            hit = np.flatnonzero(sieve[terms % SIEVE])
-            at = np.minimum(np.searchsorted(self.buckets, terms[hit]), len(self.buckets) - 1)
-            hit = hit[self.buckets[at] == terms[hit]]
-            rows, at = distinct(rows[hit], np.searchsorted(self.buckets, terms[hit]), len(self.buckets))
+            hit, at = self.find(terms)
+            rows, at = distinct(rows[hit], at, len(self.buckets))
             total += machine_sum(rows, at, n, self.weights, self.factors)[0]
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
@@ -130,13 +153,20 @@ def gathered(starts: np.ndarray, index: np.ndarray, columns: np.ndarray) -> np.n
         hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + CHUNK, "right")) - 1)
         some = lo + np.flatnonzero(np.diff(starts[lo : hi + 1]))
         if len(some):
-            part = index[starts[lo] : starts[hi]]
+            part = index[starts[lo] : starts[hi]].astype(np.intp)
+            drawn = np.empty(len(part))
             for k, column in enumerate(columns):
-                out[k, some] = np.add.reduceat(column[part], starts[some] - starts[lo])
+                np.take(column, part, out=drawn, mode="clip")
+                out[k, some] = np.add.reduceat(drawn, starts[some] - starts[lo])
         lo = hi
     return out
 
 
+def dot(a: np.ndarray, b: np.ndarray) -> float:
+    """By one thread: those of a BLAS wait at work."""
+    return np.einsum("i,i", a, b)
+
+
 def minimum(loss, x: np.ndarray) -> np.ndarray:
     """Where limited-memory BFGS gets from x; loss gives the value and the gradient."""
     value, grad = loss(x)
@@ -144,12 +174,12 @@ def minimum(loss, x: np.ndarray) -> np.ndarray:
     for _ in range(STEPS):
         way, parts = -grad, []
         for s, y, r in reversed(past):
-            parts.append(r * (s @ way))
+            parts.append(r * dot(s, way))
             way = way - parts[-1] * y
-        way = way / (past[-1][2] * (past[-1][1] @ past[-1][1])) if past else way * (0.01 / max(1e-12, np.abs(grad).max()))
+        way = way / (past[-1][2] * dot(past[-1][1], past[-1][1])) if past else way * (0.01 / max(1e-12, np.abs(grad).max()))
         for (s, y, r), part in zip(past, reversed(parts), strict=True):
-            way = way + s * (part - r * (y @ way))
-        slope, far = grad @ way, 1.0
+            way = way + s * (part - r * dot(y, way))
+        slope, far = dot(grad, way), 1.0
         if slope > -1e-10:
             break
         while (there := loss(x + far * way))[0] > value + 1e-4 * far * slope:
@@ -158,8 +188,8 @@ def minimum(loss, x: np.ndarray) -> np.ndarray:
                 return x
         s, y = far * way, there[1] - grad
         x, (value, grad) = x + s, there
-        if s @ y > 1e-12:
-            past = [*past, (s.astype(np.float32), y.astype(np.float32), 1 / (s @ y))][-MEMORY:]
+        if dot(s, y) > 1e-12:
+            past = [*past, (s.astype(np.float32), y.astype(np.float32), 1 / dot(s, y))][-MEMORY:]
     return x
 
 
