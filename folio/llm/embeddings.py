@@ -1,4 +1,4 @@
-"""Near-duplicate vectors by PCA-ordered tiled comparison.
+"""Near-duplicate vectors by PCA-ordered tiled comparison of all pairs.
 
 Vectors are scaled to length 1 and turned onto the principal axes of all of them, largest
 first, which changes no cosine. Two tiles of vectors are compared over the leading axes first;
@@ -6,12 +6,10 @@ what the others can still add is at most the product of the two vectors' norms o
 tile stops when no pair can reach the threshold any more, and from the point where few pairs
 can, only those go on.
 
-Every vector is compared with all in its buckets: signs over random hyperplanes, in so many
-tables that a pair at the threshold shares a bucket with probability RECALL at least, and
-closer pairs with more. The number of hyperplanes follows the number of vectors, so that a
-bucket has about BUCKET_ROWS of them at any size, and there are LEAST_BITS of them at least: one
-rule for all sizes. Buckets have no cap; a bucket of very many is split into tiles, every two of
-which meet (blocks.py).
+No pair at the threshold is left out, at any number of vectors: different vectors lie in the
+shared folder as tiles, and every two tiles meet once in a task that reads both there, so that
+the pairs grow with the square of the vectors and what is written doesn't. From a task come
+how many near ones each vector has there, and edges that connect what is connected.
 """
 
 from __future__ import annotations
@@ -22,6 +20,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,13 +30,15 @@ from . import blocks, graph, kernel
 THRESHOLD, RECALL = 0.9, 0.99
 BUCKET_ROWS, LEAST_BITS = 2048, 2
 BRANCHES = 64
+LEAST_TILES = 8  # so that a table of few vectors is not one task's
 TILE, STEP = 512, 8
 FEW = 0.02  # of a tile's pairs: from here on they go on one by one
-SLACK = 1e-6  # what single precision may be off
+SLACK = 1e-6  # what single precision may be off, besides its rounding of each of the terms
+TINY = 1e-11  # what double precision may be off
 
 
 def plan(n: int, threshold: float) -> tuple[int, int]:
-    """Hyperplanes a table, and tables."""
+    """Hyperplanes a table, and tables, of a search in buckets that finds a pair with probability RECALL. No query uses it: compared() takes all pairs. It stays as long as its test does."""
     bits = max(LEAST_BITS, math.ceil(math.log2(max(1, n) / BUCKET_ROWS)))
     share = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, max(1, math.ceil(math.log(1 - RECALL) / math.log(1 - share))) if share < 1 else 1
@@ -53,6 +55,16 @@ def scaled(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of equal rows, with sums in the order of the elements, as SQL has them."""
+    both, one, two = np.zeros((3, len(x)))
+    for k in range(x.shape[1]):
+        both += x[:, k] * y[:, k]
+        one += x[:, k] * x[:, k]
+        two += y[:, k] * y[:, k]
+    return both / np.sqrt(one * two)
+
+
 def usable(vector: Column) -> Column:
     """Whether a vector has a direction: elements, all of them finite, and not all zero."""
     return F.coalesce((F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == math.inf)) & F.exists(vector, lambda x: x != 0), F.lit(False))
@@ -94,125 +106,89 @@ def axes(rows: DataFrame, dim: int) -> tuple[np.ndarray, int]:
 
 
 def near(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows whose dot product reaches the threshold; rows have length 1."""
+    """Pairs of rows whose dot product reaches the threshold, by TINY less at most; rows have length 1."""
     dim = x.shape[1]
     rest = [np.sqrt(np.maximum(0, np.cumsum((m * m)[:, ::-1], axis=1)[:, ::-1])) for m in (x, y)]
-    total = np.zeros((len(x), len(y)), x.dtype)
-    for k in range(0, dim, STEP):
-        total += x[:, k : k + STEP] @ y[:, k : k + STEP].T
-        end = min(dim, k + STEP)
-        if end < dim:
-            alive = total + np.outer(rest[0][:, end], rest[1][:, end]) >= threshold - SLACK
-        else:
-            alive = total >= threshold - SLACK
-        count = int(alive.sum())
+    least, end = threshold - SLACK - 1.2e-7 * (dim + 1), 0
+    while end < dim:
+        end = min(dim, max(STEP, 2 * end))
+        # The norms of what is left are one more axis, and its product is the bound.
+        left, right = ((np.concatenate([m[:, :end], r[:, end : end + 1]], 1)).astype(np.float32) for m, r in zip((x, y), rest, strict=True))
+        alive = left @ right.T >= np.float32(least)
+        count = np.count_nonzero(alive)
         if not count:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if count <= FEW * alive.size or end == dim:
+        if count <= FEW * alive.size:
             break
     i, j = np.nonzero(alive)
-    sums = total[i, j]
-    for k in range(end, dim, STEP):
+    sums = np.zeros(len(i))
+    for k in range(0, dim, STEP):
         sums = sums + np.einsum("ij,ij->i", x[i, k : k + STEP], y[j, k : k + STEP])
-        more = rest[0][i, min(dim - 1, k + STEP)] * rest[1][j, min(dim - 1, k + STEP)] if k + STEP < dim else 0.0
-        keep = sums + more >= threshold - SLACK
+        more = rest[0][i, k + STEP] * rest[1][j, k + STEP] if k + STEP < dim else 0.0
+        keep = sums + more >= threshold - TINY
         i, j, sums = i[keep], j[keep], sums[keep]
-    exact = np.einsum("ij,ij->i", x[i].astype(np.float64), y[j].astype(np.float64)) >= threshold
-    return i[exact], j[exact]
-
-
-def bucket_edges(x: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect what is connected at the threshold. All pairs of tiles are compared; of a group's pairs, those that join it are kept."""
-    n = len(x)
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    label = np.arange(n)
-    for i in range(0, n, TILE):
-        for j in range(i, n, TILE):
-            p, q = near(x[i : i + TILE], x[j : j + TILE], threshold)
-            p, q = p + i, q + j
-            p, q, label = blocks.spanning(label, p[p < q], q[p < q])
-            a.append(p)
-            b.append(q)
-    return np.concatenate(a), np.concatenate(b)
-
-
-def edges(rows: DataFrame, dim: int, threshold: float) -> tuple[DataFrame, np.ndarray]:
-    """(a, b) of distinct vectors, by vkey, that connect near ones; and the axes."""
-    turn, n = axes(rows, dim)
-    bits, tables = plan(n, threshold)
-    planes = np.random.default_rng(11).normal(size=(dim, bits * tables))
-    model = rows.sparkSession.sparkContext.broadcast((turn, planes))  # bounded by the dimension and the logarithm of the vectors
-    single = rows.schema["vector"].dataType.elementType.typeName() == "float"
-
-    def placed(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, pa.RecordBatch]]:
-        for lo in range(0, batch.num_rows, 1 << 13):
-            part = batch.slice(lo, 1 << 13)
-            raw = matrix(part.column("vector"), dim)
-            signs = (scaled(raw) @ model.value[1] > 0).reshape(len(raw), tables, bits)
-            yield (signs * (1 << np.arange(bits, dtype=np.int64))).sum(2) + (np.arange(tables, dtype=np.int64) << bits), raw, part
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for bucket, raw, part in placed(batch):
-                flat = pa.Array.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer(np.arange(len(raw) + 1, dtype=np.int32) * (raw.itemsize * dim)), pa.py_buffer(np.ascontiguousarray(raw))])
-                for t in range(tables):
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket[:, t]), part.column("vkey"), flat], names=["bucket", "vkey", "vector"])
+    return i, j
 
-    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for bucket, _, _ in placed(batch):
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket.ravel())})
-
-    def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        keys = table.column("vkey").to_numpy()
-        data, _ = kernel.flat(table.column("vector"))
-        raw = np.frombuffer(data.tobytes(), np.float32 if single else np.float64).reshape(-1, dim)
-        a, b = [], []
-        begin = blocks.begins(table, BUCKET)
-        for lo, hi in zip(begin, np.append(begin[1:], len(raw)), strict=True):
-            if hi - lo > 1:
-                p, q = bucket_edges(scaled(raw[lo:hi]) @ model.value[0], threshold)
-                a.append(keys[lo + p])
-                b.append(keys[lo + q])
-        yield pa.RecordBatch.from_pydict({"a": pa.array(np.concatenate([np.zeros(0, np.int64), *a])), "b": pa.array(np.concatenate([np.zeros(0, np.int64), *b]))})
-
-    distinct, path = kernel.written(rows.dropDuplicates(["vkey"]))  # copies of one vector are compared once
-    cut = blocks.tiled(distinct.mapInArrow(place, "bucket long, vkey long, vector binary"), "bucket", "vkey", keys=distinct.mapInArrow(buckets, "bucket long"))
-    found = kernel.cut(blocks.each(cut.drop("tile"), BUCKET, compare, "a long, b long"))
-    kernel.remove(rows.sparkSession, path)
-    return found, turn
-
-
-BUCKET = ["bucket", *blocks.BLOCK]
-
-
-def links(distinct: DataFrame, parts: DataFrame, turns: dict[int, np.ndarray], threshold: float) -> DataFrame:
-    """(near_key, links): how many other vectors are near each, of all in its component."""
-    model = distinct.sparkSession.sparkContext.broadcast(turns)  # bounded by the dimensions
-    some = distinct.join(parts, F.col("vkey") == F.col("node")).select("component", "vkey", "vector")
-
-    def count(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        keys, tile, lists = table.column("vkey").to_numpy(), table.column("tile").to_numpy(), table.column("vector").combine_chunks()
-        n = np.zeros(len(keys), np.int64)
-        begin = blocks.begins(table, COMPONENT)
-        for lo, hi in zip(begin, np.append(begin[1:], len(keys)), strict=True):
-            alike = table.column("lo")[lo].as_py() == table.column("hi")[lo].as_py()  # else only pairs of different tiles
-            part = lists.slice(lo, hi - lo)
-            dim = len(part[0])
-            x = scaled(matrix(part, dim)) @ model.value[dim]
-            for i in range(0, len(x), TILE):
-                for j in range(i, len(x), TILE):
-                    p, q = near(x[i : i + TILE], x[j : j + TILE], threshold)
-                    p, q = p + i + lo, q + j + lo
-                    once = (p < q) & ((tile[p] != tile[q]) | alike)
-                    np.add.at(n, p[once], 1)
-                    np.add.at(n, q[once], 1)
-        yield pa.RecordBatch.from_pydict({"near_key": pa.array(keys), "links": pa.array(n)})
-
-    return blocks.each(blocks.tiled(some, "component", "vkey"), COMPONENT, count, "near_key long, links long").groupBy("near_key").agg(F.sum("links").alias("links"))
-
-
-COMPONENT = ["component", *blocks.BLOCK]
+
+def tile_pair(number: int, tiles: int) -> tuple[int, int] | None:
+    """The two tiles that meet under a number below tiles * (tiles // 2 + 1): each two once, and each with itself."""
+    a, step = divmod(number, tiles // 2 + 1)
+    return None if 2 * step == tiles and 2 * a >= tiles else (a, (a + step) % tiles)
+
+
+def compared(rows: DataFrame, dim: int, threshold: float) -> DataFrame:
+    """(node, other, links) of vectors, by vkey, from all pairs of different ones: edges (node, other) that connect near ones; and, where other is null, parts of the number of others near a node."""
+    spark = rows.sparkSession
+    turn, n = axes(rows, dim)
+    model = spark.sparkContext.broadcast(turn)  # bounded by the dimension
+    deal = max(LEAST_TILES, math.ceil(n / blocks.ROWS))
+    _, path = kernel.written(rows.dropDuplicates(["vkey"]).select("vkey", "vector").repartition(deal, "vkey"))  # copies of one vector are compared once
+    files, folder = fs.FileSystem.from_uri(path)
+    names = sorted(f.base_name for f in files.get_file_info(fs.FileSelector(folder)) if f.base_name.endswith(".parquet"))
+    tiles = len(names)
+
+    def load(k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        files, folder = fs.FileSystem.from_uri(path)
+        table = pq.read_table(f"{folder}/{names[k]}", columns=["vkey", "vector"], filesystem=files)
+        raw = matrix(table.column("vector").combine_chunks(), dim).astype(np.float64)
+        raw = np.ldexp(raw, -np.frexp(np.abs(raw).max(1, keepdims=True))[1])  # by a power of two: no square is beyond the numbers, and no cosine is rounded in another way
+        return table.column("vkey").to_numpy(), raw, scaled(raw) @ model.value
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for number in (k for batch in batches for k in batch.column(0).to_pylist()):
+            if (pair := tile_pair(number, tiles)) is None:
+                continue
+            held = {k: held[k] if k in held else load(k) for k in pair}
+            (keys, raw, x), (other_keys, other_raw, y) = held[pair[0]], held[pair[1]]
+            same, n = pair[0] == pair[1], len(x)
+            label, links, other_links, a, b = np.arange(n + len(y)), np.zeros(n, np.int64), np.zeros(len(y), np.int64), [], []
+            for i in range(0, n, TILE):
+                for j in range(i if same else 0, len(y), TILE):
+                    p, q = near(x[i : i + TILE], y[j : j + TILE], threshold)
+                    p, q = p + i, q + j
+                    once = np.flatnonzero((p < q) | (not same))
+                    for lo in range(0, len(once), 1 << 14):
+                        u, v = p[once[lo : lo + (1 << 14)]], q[once[lo : lo + (1 << 14)]]
+                        ok = cosines(raw[u], other_raw[v]) >= threshold
+                        u, v = u[ok], v[ok]
+                        links += np.bincount(u, minlength=n)
+                        other_links += np.bincount(v, minlength=len(y))
+                        u, v, label = blocks.spanning(label, u, v + (0 if same else n))
+                        a.append(u)
+                        b.append(v)
+            every = keys if same else np.concatenate([keys, other_keys])
+            links = links + other_links if same else np.concatenate([links, other_links])
+            some = np.flatnonzero(links)
+            if len(some):
+                yield pa.RecordBatch.from_pydict({"node": pa.array(every[some]), "other": pa.nulls(len(some), pa.int64()), "links": pa.array(links[some])})
+                a, b = np.concatenate(a), np.concatenate(b)
+                yield pa.RecordBatch.from_pydict({"node": pa.array(every[a]), "other": pa.array(every[b]), "links": pa.nulls(len(a), pa.int64())})
+
+    numbers = tiles * (tiles // 2 + 1)
+    found = kernel.cut(spark.range(0, numbers, 1, min(numbers, max(64, numbers // 16))).mapInArrow(meet, "node long, other long, links long"))
+    kernel.remove(spark, path)
+    return found
 
 
 def placed(rows: DataFrame, threshold: float) -> DataFrame:
@@ -221,14 +197,14 @@ def placed(rows: DataFrame, threshold: float) -> DataFrame:
         raise ValueError("the threshold is a cosine above 0")
     every = kernel.cut(vectors(rows))
     kept = every.where("vkey is not null")
-    # Each length has its own axes and buckets.
+    # Each length has its own axes and tiles.
     dims = [r.dim for r in kept.groupBy(F.size("vector").alias("dim")).count().where("count > 1").orderBy("dim").collect()]
     members = every.select("vec_id", "vkey").distinct()
     if not dims:
         return members.select("vec_id", "vkey", F.struct(F.col("vec_id").alias("id"), F.col("vkey").alias("key")).alias("kept"), F.lit(0).cast("long").alias("links"))
-    found = {dim: edges(kept.where(F.size("vector") == dim), dim, threshold) for dim in dims}
-    parts = kernel.cut(graph.components(functools.reduce(DataFrame.unionByName, (f for f, _ in found.values()))))
-    counted = links(kept.dropDuplicates(["vkey"]), parts, {dim: turn for dim, (_, turn) in found.items()}, threshold)
+    found = functools.reduce(DataFrame.unionByName, (compared(kept.where(F.size("vector") == dim), dim, threshold) for dim in dims))
+    parts = kernel.cut(graph.components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))))
+    counted = found.where("other is null").groupBy(F.col("node").alias("near_key")).agg(F.sum("links").alias("links"))
     members = members.join(parts, F.col("vkey") == F.col("node"), "left").join(counted, F.col("vkey") == F.col("near_key"), "left")
     members = members.select("vec_id", "vkey", F.coalesce("component", "vkey").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
     order = F.struct(F.col("vec_id").isNull().alias("no_id"), F.col("vec_id").alias("id"), F.col("vkey").alias("key"))
@@ -240,9 +216,8 @@ def placed(rows: DataFrame, threshold: float) -> DataFrame:
 def classes(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(vec_id, class_id, links) of every vector: the least id of its group, and how many other vectors are near it; copies of one vector count once.
 
-    Groups are the connected components of cosine >= threshold. A pair at the threshold is found
-    with probability RECALL at least, at any number of vectors; equal vectors always are. Links
-    are counted among all of a group.
+    Groups are the connected components of cosine >= threshold, and links are counted, over all
+    pairs of different vectors: none is left out, at any number of vectors.
 
     Defined cases: null and empty vectors, zero vectors, and those with null, infinite or NaN
     elements are near nothing, and vectors of different lengths not near each other; a null id

@@ -115,3 +115,27 @@ def test_recall(spark, n):
     got = {tuple(p) for p in embeddings.groups(frame(spark, x)).collect()}
     want = {(n - 400 + i, i) for i in range(400)}
     assert got <= want and len(got) >= 0.98 * len(want)
+
+
+def test_no_pair_at_the_threshold_is_left_out(spark):
+    """Each of 400 pairs just above the threshold, and one that is at it in double precision, with their links."""
+    r = np.random.default_rng(5)
+    n = 3000
+    x = r.normal(size=(n, 48))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    off = r.normal(size=(400, 48))
+    off -= (off * x[:400]).sum(1, keepdims=True) * x[:400]
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    cosine = embeddings.THRESHOLD + 1e-5
+    x[n - 400 :] = cosine * x[:400] + np.sqrt(1 - cosine**2) * off
+    x[n - 401], x[n - 402] = np.eye(48)[0], np.r_[9.0, 4.0, 1.0, 1.0, 1.0, np.zeros(43)]  # 9 / sqrt(100)
+    got = {tuple(p) for p in embeddings.classes(frame(spark, x)).collect()}
+    first = {i: n - 400 + i for i in range(400)} | {n - 402: n - 401}
+    of = first | {j: i for i, j in first.items()}
+    assert got == {(i, min(i, of.get(i, i)), int(i in of)) for i in range(n)}
+
+
+@pytest.mark.parametrize("tiles", range(1, 9))
+def test_every_two_tiles_meet_once(tiles):
+    met = [embeddings.tile_pair(k, tiles) for k in range(tiles * (tiles // 2 + 1))]
+    assert sorted(tuple(sorted(p)) for p in met if p) == [(i, j) for i in range(tiles) for j in range(i, tiles)]
