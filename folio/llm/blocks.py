@@ -36,8 +36,8 @@ def tiled(rows: DataFrame, key: str, node: str, most: int | None = None, keys: D
     return joined.withColumn("meets", F.explode(with_)).select(*rows.columns, "meets.*", "tile")
 
 
-def each(rows: DataFrame, keys: list[str], work: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str, order: tuple[str, ...] = ()) -> DataFrame:
-    """Applies work to tables that hold whole blocks, sorted by keys and order, many small ones at once. A block that Arrow batches cut is put together again."""
+def each(rows: DataFrame, keys: list[str], work: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str, order: tuple[str, ...] = (), tasks: int | None = None) -> DataFrame:
+    """Applies work to tables that hold whole blocks, sorted by keys and order, many small ones at once. A block that Arrow batches cut is put together again. tasks: how many, where the size of the rows doesn't tell the work."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -56,7 +56,7 @@ def each(rows: DataFrame, keys: list[str], work: Callable[[pa.Table], Iterator[p
         if held:
             yield from work(pa.Table.from_batches(held))
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return rows.repartition(*([tasks] if tasks else []), *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def begins(table: pa.Table, keys: list[str]) -> np.ndarray:

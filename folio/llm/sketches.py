@@ -8,20 +8,24 @@ signed numbers in the order of the unsigned ones.
 
 Two different sketches are linked if the estimate of their resemblance is ALIKE or more. None
 of these links is missed: two such sketches share at least ALIKE of the longer one's hashes, so
-with all hashes in one order, one of the first 1 - ALIKE of each is the same. Hashes that very
-many sketches have come last in that order, so that boilerplate brings few together. Sketches
-that share one of their first hashes are compared by signatures in bit planes (simhash.py),
+with all hashes in one order, one of the first 1 - ALIKE of each is the same. In that order rare
+hashes come first, by counters that many hashes share, and those that very many sketches have
+last, so that few meet that are not alike. Sketches that share one of their first hashes are compared by signatures in bit planes (simhash.py),
 which leave out none that can be linked; what these connect is compared in full, each sketch
-once with each other of its component, and only counts leave the task.
+once with each other of its component, and only counts leave the task. Sketches stay in the
+files where they were written: what is found is brought to them, by file and row.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +35,9 @@ SIZE, SHINGLE = 128, 5
 ALIKE = 0.8
 SIGNATURE = 512  # bits
 OFTEN = 500  # a hash that one in so many sketches has comes late in the order
-CHUNK = 1 << 14
+COUNTERS, COUNTING, SLICES = 1 << 20, 16, 16  # counters of hashes, tasks that count, and parts in which the counters are added up
+SALTS = 64  # parts of the rows of a hash that very many sketches have
+CHUNK, READ = 1 << 14, 1 << 12
 FLIP = np.uint64(1 << 63)
 
 
@@ -178,38 +184,104 @@ def frequent(sketches: DataFrame, size: int) -> np.ndarray:
     return np.sort(seen.where(F.col("n") * (2 * OFTEN) >= sketches.count()).select("value").toArrow().column("value").to_numpy())
 
 
-def first_hashes(sketches: DataFrame, often: np.ndarray, size: int, alike: float) -> DataFrame:
-    """(key, node) of the hashes that a linked sketch must share one of, for each sketch."""
-    model = sketches.sparkSession.sparkContext.broadcast(often)  # bounded, see frequent()
+def levels(sketches: DataFrame) -> np.ndarray:
+    """For each of COUNTERS, how many hashes fall to it: four times the logarithm. The result of no query depends on them."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            total += np.bincount(batch.column(0).flatten().to_numpy() & (COUNTERS - 1), minlength=COUNTERS)
+        parts = np.minimum(total, 0xFFFF).astype(np.uint16).reshape(SLICES, -1)
+        yield pa.RecordBatch.from_pydict({"slice": pa.array(range(SLICES), pa.int32()), "part": pa.array([x.tobytes() for x in parts], pa.binary())})
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                sums[k] = sums.get(k, 0) + np.frombuffer(part.as_py(), np.uint16).astype(np.int64)
+        yield pa.RecordBatch.from_pydict({"slice": pa.array(sums, pa.int32()), "part": pa.array([np.ceil(4 * np.log2(1 + x)).astype(np.uint8).tobytes() for x in sums.values()], pa.binary())})
+
+    kind = "slice int, part binary"
+    parts = sketches.select("sketch").coalesce(COUNTING).mapInArrow(look, kind).repartition("slice").mapInArrow(together, kind).toArrow().sort_by("slice")
+    return np.frombuffer(b"".join(parts.column("part").to_pylist()), np.uint8) if len(parts) else np.zeros(COUNTERS, np.uint8)
+
+
+def first_hashes(sketches: DataFrame, often: np.ndarray, level: np.ndarray, size: int, alike: float) -> DataFrame:
+    """(key, salt, node) of the hashes that a linked sketch must share one of, for each sketch; the salt is 0 but for keys among `often`. Copies of a sketch may be left out."""
+    model = sketches.sparkSession.sparkContext.broadcast((often, level))  # bounded, see frequent() and levels()
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, level = model.value
         for batch in batches:
             for lo in range(0, batch.num_rows, CHUNK):
                 part = batch.slice(lo, CHUNK)
+                part = part.take(pa.array(np.unique(part.column("sketch_id").to_numpy(), return_index=True)[1]))
                 full, counts = grid(part.column("sketch"), size)
-                late = np.isin(full, model.value)
-                order = np.argsort(late, axis=1, kind="stable") if late.any() else np.broadcast_to(np.arange(size), full.shape)
+                late = np.isin(full, often)
+                order = np.argsort(level[full & (COUNTERS - 1)] + late.astype(np.uint16) * np.uint16(256), axis=1, kind="stable")
                 n = counts - np.ceil(alike * counts - 1e-9).astype(np.int64) + 1
                 # Places that are filled up count for nothing, wherever the order has them.
                 inside = np.take_along_axis(np.arange(size) < counts[:, None], order, 1)
                 place = np.cumsum(inside, axis=1)
                 chosen = inside & (place <= n[:, None])
-                yield pa.RecordBatch.from_arrays([pa.array(np.take_along_axis(full, order, 1)[chosen]), part.column("sketch_id").take(pa.array(np.nonzero(chosen)[0]))], names=["key", "node"])
+                node = part.column("sketch_id").to_numpy()[np.nonzero(chosen)[0]]
+                salt = np.where(np.take_along_axis(late, order, 1)[chosen], 1 + (node & (SALTS - 1)), 0).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.take_along_axis(full, order, 1)[chosen]), pa.array(salt), pa.array(node)], names=["key", "salt", "node"])
+
+    return sketches.select("sketch_id", "sketch").mapInArrow(take, "key long, salt int, node long")
+
 
-    return sketches.select("sketch_id", "sketch").mapInArrow(take, "key long, node long")
+def meeting(first: DataFrame) -> DataFrame:
+    """(key, node), each once, of the keys that several nodes have; and of all with a salt, whose rows go to no one task."""
 
+    def shared(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, salt, node = (table.column(c).to_numpy() for c in ("key", "salt", "node"))
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1]) | (salt[1:] != salt[:-1])
+        key, salt, node = key[new], salt[new], node[new]
+        like = np.zeros(len(key) + 1, bool)
+        like[1:-1] = key[1:] == key[:-1]
+        some = like[1:] | like[:-1] | (salt > 0)
+        yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(node[some])], names=["key", "node"])
 
-def links(sketches: DataFrame, size: int = SIZE, alike: float = ALIKE) -> DataFrame:
+    return blocks.each(first, ["key", "salt"], shared, "key long, node long", order=("node",))
+
+
+def places(table: DataFrame) -> DataFrame:
+    """(sketch_id, file, row) of a written table: a hash of the file's name, and the number of the row in it."""
+    return table.select("sketch_id", F.xxhash64("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+
+
+def at_files(path: str, rows: DataFrame, columns: list[str], work: Callable[[pa.RecordBatch, np.ndarray, pa.Table], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """Brings rows (file, row, ...) of places() to the files of the table at path. work gets each stretch of a file, and the rows that are for it, in order: where in the stretch, and the rows."""
+    files, folder = fs.FileSystem.from_uri(path)
+    names = [f.base_name for f in files.get_file_info(fs.FileSelector(folder)) if f.base_name.endswith(".parquet")]
+    every = rows.sparkSession.createDataFrame([(n,) for n in names], "name string").select(F.xxhash64("name").alias("file"), "name")
+
+    def run(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        files, folder = fs.FileSystem.from_uri(path)
+        begin = blocks.begins(table, ["file"])
+        for lo, hi in zip(begin, np.append(begin[1:], table.num_rows), strict=True):
+            name, mine = table.column("name")[lo].as_py(), table.slice(lo + 1, hi - lo - 1)  # a null row is the first
+            at, done = mine.column("row").to_numpy(), 0
+            with files.open_input_file(f"{folder}/{name}") as opened:
+                for batch in pq.ParquetFile(opened).iter_batches(READ, columns=columns):
+                    a, b = np.searchsorted(at, [done, done + batch.num_rows])
+                    if (out := work(batch, at[a:b] - done, mine.slice(a, b - a))) is not None:
+                        yield out
+                    done += batch.num_rows
+
+    return blocks.each(rows.unionByName(every, allowMissingColumns=True), ["file"], run, schema, order=("row",), tasks=2 * len(names) or 1)
+
+
+def links(sketches: DataFrame, path: str, size: int = SIZE, alike: float = ALIKE) -> DataFrame:
     """(node, links, nearest) of every sketch with a link: how many other sketches it has one to, and the one of greatest resemblance: (resemblance, containment of this in that, other_id), of equal ones the least other_id.
 
-    sketches has (sketch_id, sketch), in any number of equal rows.
+    sketches has (sketch_id, sketch), in any number of equal rows, and is the table written at path.
     """
     spark, words = sketches.sparkSession, SIGNATURE // 64
     some = sketches.where(F.size("sketch") > 0)
-    first = first_hashes(some, frequent(some, size), size, alike)
-    shared = first.groupBy(F.col("key").alias("shared_key")).agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("shared_key")
-    # Spread over more than the key, so that the join may split a hash of very many.
-    meet = kernel.cut(first.join(shared, F.col("key") == F.col("shared_key")).select("key", "node").repartition("key", "node").distinct())
+    meet = kernel.cut(meeting(first_hashes(some, frequent(some, size), levels(some), size, alike)))
     kernel.release(spark)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +314,14 @@ def links(sketches: DataFrame, size: int = SIZE, alike: float = ALIKE) -> DataFr
                 best = order[begin]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[me[best]]), pa.array(np.diff(np.append(begin, len(me)))), pa.array(r[best]), pa.array(c[best]), pa.array(ids[it[best]])], names=["node", "links", "resemblance", "containment", "other_id"])
 
-    placed = some.select("sketch_id", "sketch").join(parts, F.col("sketch_id") == F.col("node")).select("component", "sketch_id", "sketch").dropDuplicates(["component", "sketch_id"])
+    def bring(batch: pa.RecordBatch, at: np.ndarray, rows: pa.Table) -> pa.RecordBatch | None:
+        if not len(at):
+            return None
+        took = batch.take(pa.array(at))
+        return pa.RecordBatch.from_arrays([rows.column("component").combine_chunks(), took.column("sketch_id"), took.column("sketch").cast(pa.list_(pa.int64()))], names=["component", "sketch_id", "sketch"])
+
+    where = places(sketches).join(parts, F.col("sketch_id") == F.col("node")).groupBy("sketch_id", "component").agg(F.min(F.struct("file", "row")).alias("at"))
+    placed = at_files(path, where.select("component", "at.file", "at.row"), ["sketch_id", "sketch"], bring, "component long, sketch_id long, sketch array<long>")
     counted = blocks.each(blocks.tiled(placed, "component", "sketch_id", keys=parts), COMPONENT, count, "node long, links long, resemblance double, containment double, other_id long")
     best = F.max(F.struct("resemblance", F.bitwise_not("other_id").alias("flipped"), "containment"))
     found = counted.groupBy("node").agg(F.sum("links").alias("links"), best.alias("best"))
@@ -267,12 +346,22 @@ def fingerprints(docs: DataFrame, size: int = SIZE, k: int = SHINGLE, alike: flo
     whole; of links with equal resemblance the least sketch_id is named; an empty table gives no
     rows; other columns are not looked at.
     """
-    each, _ = kernel.written(sketch(docs, size, k))
+    each, path = kernel.written(sketch(docs, size, k))
     whole = kernel.small(merge(each, "source", size).select(F.col("source").alias("of_source"), distinct(F.col("sketch"), size).alias("source_shingles")))
-    linked = kernel.cut(links(each, size, alike))
+    linked = kernel.cut(links(each, path, size, alike))
     kernel.release(docs.sparkSession)
-    joined = each.join(whole, F.col("source").eqNullSafe(F.col("of_source"))).join(linked, F.col("sketch_id") == F.col("node"), "left")
-    return joined.select(
-        "doc_id", "sketch_id", "sketch", distinct(F.col("sketch"), size).alias("distinct_shingles"), "source_shingles",
-        F.coalesce("links", F.lit(0)).alias("links"), F.col("nearest.other_id").alias("nearest_id"), "nearest.resemblance", "nearest.containment",
-    )
+
+    def beside(batch: pa.RecordBatch, at: np.ndarray, rows: pa.Table) -> pa.RecordBatch:
+        n = np.zeros(batch.num_rows, np.int64)
+        n[at] = rows.column("links").to_numpy()
+        to = np.full(batch.num_rows, -1)
+        to[at] = np.arange(len(at))
+        best = rows.select(["nearest_id", "resemblance", "containment"]).take(pa.array(to, mask=to < 0)).combine_chunks()
+        lists = batch.column("sketch").cast(pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), batch.column("sketch_id"), lists, pa.array(n), *(pc.cast(c.combine_chunks(), t) for c, t in zip(best.columns, (pa.int64(), pa.float64(), pa.float64()), strict=True))], names=names)
+
+    names = ["doc_id", "source", "sketch_id", "sketch", "links", "nearest_id", "resemblance", "containment"]
+    rows = places(each).join(linked, F.col("sketch_id") == F.col("node")).select("file", "row", "links", F.col("nearest.other_id").alias("nearest_id"), "nearest.resemblance", "nearest.containment")
+    found = at_files(path, rows, names[:4], beside, "doc_id long, source string, sketch_id long, sketch array<long>, links long, nearest_id long, resemblance double, containment double")
+    joined = found.join(whole, F.col("source").eqNullSafe(F.col("of_source")))
+    return joined.select("doc_id", "sketch_id", "sketch", distinct(F.col("sketch"), size).alias("distinct_shingles"), "source_shingles", "links", "nearest_id", "resemblance", "containment")

@@ -122,3 +122,28 @@ def test_query_against_exact_sets(spark, corpus, tmp_path):
     assert near > 20
 
 
+
+def test_rare_hashes_bring_sketches_together(spark):
+    """Sketches in sevens with their 30 least hashes in common, too few for a link: none meet. Those with all but 10 in common do, and are linked."""
+    r = np.random.default_rng(4)
+    rows = r.integers(0, 1 << 62, (700, sketches.SIZE))
+    rows[:, :30] = np.repeat(r.integers(-(1 << 63), 0, (100, 30)), 7, axis=0)
+    alike = r.integers(0, 1 << 62, (2, sketches.SIZE))
+    alike[1, 10:] = alike[0, 10:]
+    df = spark.createDataFrame([(i, sorted(v.tolist())) for i, v in enumerate(np.concatenate([rows, alike]))], "sketch_id long, sketch array<long>")
+    often, level = sketches.frequent(df, sketches.SIZE), sketches.levels(df)
+    met = {x.node for x in sketches.meeting(sketches.first_hashes(df, often, level, sketches.SIZE, sketches.ALIKE)).collect()}
+    assert met >= {700, 701} and len(met) < 20
+
+
+def test_sketches_stay_in_their_files(spark, corpus):
+    """Spark joins places of sketches, and reads no sketch to shuffle it, however many links there are."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = sketches.fingerprints(frame(spark, corpus))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert len(found.collect()) == len(corpus)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert not any("FileScan parquet" in x and "sketch:array" in x for x in plan.splitlines())
