@@ -16,6 +16,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
@@ -162,6 +163,24 @@ def gathered(starts: np.ndarray, index: np.ndarray, columns: np.ndarray) -> np.n
     return out
 
 
+def turned(at: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The documents of each of n buckets, in order and one bucket after the other, and where each bucket begins; document i has at[ends[i] : ends[i + 1]]. A stretch at a time, as the whole in 64-bit numbers is large."""
+    stretches = [slice(lo, lo + CHUNK) for lo in range(0, len(at), CHUNK)]
+    first = np.zeros(n + 1, np.int64)
+    for stretch in stretches:
+        first[1:] += np.bincount(at[stretch], minlength=n)
+    np.cumsum(first, out=first)
+    rows, free = np.empty(len(at), np.int32), first[:-1].copy()
+    for stretch in stretches:
+        order = np.argsort(at[stretch], kind="stable")
+        bucket = at[stretch][order]
+        begin = np.flatnonzero(np.diff(bucket, prepend=-1))
+        count = np.diff(begin, append=len(bucket))
+        rows[free[bucket] + np.arange(len(bucket)) - np.repeat(begin, count)] = np.searchsorted(ends[1:], stretch.start + order, "right")
+        free[bucket[begin]] += count
+    return rows, first
+
+
 def dot(a: np.ndarray, b: np.ndarray) -> float:
     """By one thread: those of a BLAS wait at work."""
     return np.einsum("i,i", a, b)
@@ -199,15 +218,14 @@ def learn(at: np.ndarray, ends: np.ndarray, toxic: np.ndarray, buckets: np.ndarr
     if not len(buckets):
         return nothing()
     ends = ends.astype(np.int64)
-    rows = np.repeat(np.arange(n, dtype=np.int32), np.diff(ends))[np.argsort(at, kind="stable")]  # the documents of each bucket, one after the other
-    first = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(buckets)))])
+    rows, first = turned(at, ends, len(buckets))
     strong = (np.abs(odds) >= np.log(MIN_LIFT)) & (z >= MIN_Z)
     ridge = np.where(strong, RIDGE, np.array([WEAK_RIDGE[0]] + [WEAK_RIDGE[1]] * FACTORS)[:, None])
     weight = np.where(toxic > 0, 0.5 / positive, 0.5 / (n - positive)) * n * 0.5 + 0.5  # half of the balanced weights
     start = np.concatenate([np.where(strong, np.clip(odds, -3, 3) * 0.3, 0)[None], np.random.default_rng(seed).normal(0, 0.02, (len(buckets), FACTORS)).T])
 
     def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
-        p = x[1:].reshape(start.shape)
+        p = x[1:].reshape(1 + FACTORS, -1)
         v = p[1:]
         sums = gathered(ends, at, np.concatenate([(p[0] - 0.5 * (v * v).sum(0))[None], v]))
         total = x[0] + sums[0] + 0.5 * (sums[1:] ** 2).sum(0)
@@ -219,7 +237,7 @@ def learn(at: np.ndarray, ends: np.ndarray, toxic: np.ndarray, buckets: np.ndarr
         return value, np.concatenate([[slope.sum()], back.ravel()])
 
     x = minimum(loss, np.concatenate([[np.log(positive / (n - positive))], start.ravel()]))
-    p = x[1:].reshape(start.shape)
+    p = x[1:].reshape(1 + FACTORS, -1)
     return Machine(buckets, float(x[0]), p[0].copy(), p[1:].T.copy())
 
 
@@ -275,12 +293,29 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     del best, counted
     if not len(buckets):
         return nothing()
-    # In the order of the rows' digests, whatever order tasks end in.
-    table = listed.mapInArrow(narrow, "row string, toxic int, terms array<int>").toArrow().sort_by("row")
-    size, toxic = table.column("terms").combine_chunks().value_lengths().to_numpy(), table.column("toxic").to_numpy().astype(float)
-    at = table.column("terms").combine_chunks().flatten().to_numpy()
-    del table
-    return learn(at, np.concatenate([[0], np.cumsum(size, dtype=np.int64)]), toxic, buckets, odds, z)
+    # The driver's JVM gives its garbage back before the terms come and before they are trained on, as both together are the driver's peak.
+    kernel.release(docs.sparkSession)
+    at, ends, toxic = in_order(listed.mapInArrow(narrow, "row string, toxic int, terms array<int>").toArrow())
+    pa.default_memory_pool().release_unused()
+    kernel.release(docs.sparkSession)
+    return learn(at, ends, toxic, buckets, odds, z)
+
+
+def in_order(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The terms of (row, toxic, terms), where those of each row end, and toxic, in the order of the rows' digests, whatever order tasks end in."""
+    order = pc.sort_indices(table.column("row")).to_numpy()
+    lists = table.column("terms").chunks
+    size = np.concatenate([np.asarray(x.value_lengths()) for x in lists]).astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(size[order])])
+    to = np.empty(len(order), np.int64)
+    to[order] = ends[:-1]
+    at, row = np.empty(ends[-1], np.int32), 0
+    for chunk in lists:
+        values, lo = chunk.flatten().to_numpy(), 0
+        for n in size[row : row + len(chunk)].tolist():
+            at[to[row] : to[row] + n] = values[lo : lo + n]
+            row, lo = row + 1, lo + n
+    return at, ends, table.column("toxic").to_numpy().astype(float)[order]
 
 
 def score(docs: DataFrame, machine: Machine, out: tuple[str, str] = ("toxicity", "toxic"), threshold: float = THRESHOLD) -> DataFrame:

@@ -114,3 +114,19 @@ def test_the_sample_is_bounded_by_rows(spark, words, monkeypatch):
         for df in (docs, docs.orderBy(F.rand(1)).repartition(5)):
             toxicity.train(df, labels, most)
         assert seen[-1] == seen[-2] and seen[-1][0] == want
+
+
+def test_training_takes_little_memory_beside_its_input():
+    """Documents of each bucket in their order, in no more than their own size and stretches of the input; whole 64-bit copies took five times it."""
+    import tracemalloc
+
+    r = np.random.default_rng(6)
+    ends = np.concatenate([[0], np.cumsum(r.integers(0, 4000, 2000))])
+    at = r.integers(0, 5000, ends[-1]).astype(np.int32)
+    want = np.repeat(np.arange(2000, dtype=np.int32), np.diff(ends))[np.argsort(at, kind="stable")]
+    tracemalloc.start()
+    rows, first = toxicity.turned(at, ends, 5000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (rows == want).all() and (np.diff(first) == np.bincount(at, minlength=5000)).all()
+    assert peak < at.nbytes + 20e6
