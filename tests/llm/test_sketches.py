@@ -147,3 +147,41 @@ def test_sketches_stay_in_their_files(spark, corpus):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert not any("FileScan parquet" in x and "sketch:array" in x for x in plan.splitlines())
+
+
+def test_quick_estimate():
+    """Of sketches of all lengths, those of one hash and of equal ones included."""
+    r = np.random.default_rng(8)
+    size, n = 16, 3000
+    x, y = np.full((2, n, size), np.iinfo(np.int64).max)
+    nx, ny = r.integers(1, size + 1, (2, n))
+    for k in range(n):
+        x[k, : nx[k]] = np.sort(r.choice(24, nx[k], replace=False))
+        y[k, : ny[k]] = np.sort(r.choice(24, ny[k], replace=False))
+    x[:50], nx[:50] = y[:50], ny[:50]
+    assert (sketches.alikeness(x, nx, y, ny, size) == sketches.estimate(x, nx, y, ny, size)[0]).all()
+
+
+def test_a_large_group_is_counted_in_a_row_a_sketch():
+    """However many pairs of a block are linked; before, each stretch of pairs had rows of its own."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(9)
+    n, size = 600, 128
+    rows = np.repeat(r.integers(-(1 << 62), 1 << 62, (1, size)), n, axis=0)
+    rows[np.arange(n)[:, None], r.integers(0, size, (n, 5))] = r.integers(-(1 << 62), 1 << 62, (n, 5))
+    rows.sort(1)
+    zero = pa.array(np.zeros(n, np.int32))
+    table = pa.table({"component": pa.array(np.zeros(n, np.int64)), "sketch_id": pa.array(np.arange(n) * 7), "sketch": pa.array(rows.tolist(), pa.list_(pa.int64())), "lo": zero, "hi": zero, "tile": zero})
+    got = sketches.counted(table, size, sketches.ALIKE).to_pylist()
+    i, j = np.triu_indices(n, 1)
+    full = np.full(n, size)
+    alike, one, two = sketches.estimate(rows[i], full[i], rows[j], full[j], size)
+    want: dict = {}
+    for a, b, s, c, d in zip(i.tolist(), j.tolist(), alike, one, two, strict=True):
+        if s >= sketches.ALIKE:
+            for me, it, part in ((a, b, c), (b, a, d)):
+                k, best = want.get(me, (0, (0, 0, 0)))
+                want[me] = k + 1, max(best, (s, -it, part))
+    assert len(got) == len(want) > 500 and max(k for k, _ in want.values()) > 300
+    assert {g["node"]: (g["links"], (g["resemblance"], -g["other_id"], g["containment"])) for g in got} == {7 * me: (k, (s, 7 * it, c)) for me, (k, (s, it, c)) in want.items()}
