@@ -36,8 +36,8 @@ def tiled(rows: DataFrame, key: str, node: str, most: int | None = None, keys: D
     return joined.withColumn("meets", F.explode(with_)).select(*rows.columns, "meets.*", "tile")
 
 
-def each(rows: DataFrame, keys: list[str], work: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str, order: tuple[str, ...] = (), tasks: int | None = None) -> DataFrame:
-    """Applies work to tables that hold whole blocks, sorted by keys and order, many small ones at once. A block that Arrow batches cut is put together again. tasks: how many, where the size of the rows doesn't tell the work."""
+def each(rows: DataFrame, keys: list[str], work: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str, order: tuple[str, ...] = (), tasks: int | None = None, apply: Callable = DataFrame.mapInArrow) -> DataFrame:
+    """Applies work to tables that hold whole blocks, sorted by keys and order, many small ones at once. A block that Arrow batches cut is put together again. tasks: how many, where the size of the rows doesn't tell the work. apply: kernel.stored to have the result as a table, and its path."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -56,7 +56,7 @@ def each(rows: DataFrame, keys: list[str], work: Callable[[pa.Table], Iterator[p
         if held:
             yield from work(pa.Table.from_batches(held))
 
-    return rows.repartition(*([tasks] if tasks else []), *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return apply(rows.repartition(*([tasks] if tasks else []), *keys).sortWithinPartitions(*keys, *order), run, schema)
 
 
 def begins(table: pa.Table, keys: list[str]) -> np.ndarray:
@@ -68,6 +68,16 @@ def begins(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def portions(table: pa.Table, keys: list[str], rows: int) -> Iterator[pa.Table]:
+    """Whole blocks of a sorted table, as many at once as have about so many rows; a larger block is one portion."""
+    starts = np.append(begins(table, keys), table.num_rows)
+    lo = 0
+    while lo < len(starts) - 1:
+        hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + rows, "right")) - 1)
+        yield table.slice(starts[lo], starts[hi] - starts[lo])
+        lo = hi
+
+
 def spanning(label: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of the edges (p, q), some that join what all of them join, beyond what label has as one already; and the new labels."""
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]

@@ -17,14 +17,17 @@ that of the document.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import kernel, suffixes, windows
+from . import blocks, kernel, suffixes, windows
 from .windows import DOCUMENT, KIND, WIDTH
 
+KINDS = 1024  # compacted at once, if no minimizer has more: some 30 windows each, with some 20 numbers of 8 bytes
 WAYS = ["before_least", "before_most", "after_least", "after_most"]
 SEGMENTS = "key long, body long, more long, j0 int, j1 int, segment long, way_in long, way_out long, copies long"
 
@@ -84,6 +87,12 @@ def compact(rows: pa.Table) -> pa.RecordBatch:
     )
 
 
+def compact_each(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """compact() of whole minimizers, some at a time."""
+    for some in blocks.portions(table, ["key"], KINDS):
+        yield compact(some)
+
+
 def compact_apart(kinds: DataFrame, docs: DataFrame) -> DataFrame:
     """What compact() gives, for kinds too many for one task, with a segment for each node: equal nodes meet by digest, in Spark's partial aggregation."""
     each = windows.single_windows(kinds, docs, ["copies", *WAYS]).dropDuplicates([*KIND, "j"])
@@ -108,10 +117,10 @@ def paths(segments: DataFrame) -> DataFrame:
     b = segments.where("way_in <> 0").select("segment", F.col("way_in").alias("edge"))
     back = b.join(a, "edge").select("segment", "before", "distance")
     # A segment points back to another of its path, over a distance; each round doubles what has been passed.
-    now, at = kernel.written(segments.select("segment").join(back, "segment", "left").select("segment", F.coalesce("before", "segment").alias("path"), F.coalesce("distance", F.lit(0).cast("long")).alias("distance")))
+    now, at = kernel.stored(segments.select("segment").join(back, "segment", "left").select("segment", F.coalesce("before", "segment").alias("path"), F.coalesce("distance", F.lit(0).cast("long")).alias("distance")))
     while True:
         on = now.where("path <> segment").select(F.col("segment").alias("path"), F.col("path").alias("further"), F.col("distance").alias("more"))
-        after, path = kernel.written(now.join(on, "path", "left").select("segment", F.coalesce("further", "path").alias("path"), (F.col("distance") + F.coalesce("more", F.lit(0))).alias("distance"), F.col("further").isNotNull().alias("moved")))
+        after, path = kernel.stored(now.join(on, "path", "left").select("segment", F.coalesce("further", "path").alias("path"), (F.col("distance") + F.coalesce("more", F.lit(0))).alias("distance"), F.col("further").isNotNull().alias("moved")))
         kernel.remove(segments.sparkSession, at)
         now, at = after.drop("moved"), path
         if after.where("moved").isEmpty():
@@ -124,14 +133,14 @@ def paths(segments: DataFrame) -> DataFrame:
 def path_occurrences(docs: DataFrame) -> DataFrame:
     """(*DOCUMENT, path, w0, w1, copies): where each nonbranching path occurs, as words [w0, w1)."""
     found = windows.repeats(docs)
-    compared = windows.by_minimizer(windows.with_text(found.kinds.where("many and not hot"), docs, ["copies", *WAYS]), compact, SEGMENTS)
+    compared, _ = blocks.each(windows.with_text(found.kinds.where("many and not hot"), docs, ["copies", *WAYS]), ["key"], compact_each, SEGMENTS, tuple(KIND[1:]), apply=kernel.stored)
     if not (hot := found.kinds.where("hot")).isEmpty():
-        compared = compared.unionByName(compact_apart(hot, docs))
+        compared = compared.unionByName(kernel.stored(compact_apart(hot, docs))[0])
     alike = found.kinds.where("not many").select(*KIND, F.lit(0).alias("j0"), F.col("windows").alias("j1"), F.xxhash64(*KIND).alias("segment"), only("before").alias("way_in"), only("after").alias("way_out"), "copies")
-    placed = kernel.cut(compared.unionByName(alike))
+    placed = compared.unionByName(alike)
     kernel.release(docs.sparkSession)
     segments = placed.groupBy("segment").agg(F.first(F.col("j1") - F.col("j0")).cast("long").alias("nodes"), F.first("way_in").alias("way_in"), F.first("way_out").alias("way_out"))
-    known = paths(kernel.cut(segments))
+    known = paths(kernel.stored(segments)[0])
     located = placed.join(known, "segment").select(*KIND, "j0", "j1", "path", "distance", "length", "copies")
     spans = found.occurrences.join(located, KIND).withColumn("w0", F.col("start") + F.col("j0")).withColumn("w1", F.col("start") + F.col("j1") + (WIDTH - 1))
     whole = spans.groupBy(*DOCUMENT, "path", (F.col("w0") - F.col("distance")).alias("origin"), "length").agg(F.sum(F.col("j1") - F.col("j0")).alias("seen"), F.min("w0").alias("w0"), F.max("w1").alias("w1"), F.max("copies").alias("copies"))

@@ -17,7 +17,9 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -27,6 +29,7 @@ from ..sources.shared import cut, shared_folder
 CHUNK_BYTES = 1_000_000
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 WORD_BASE = 0xD1342543DE82EF95
+GROUP_ROWS = 1 << 16  # of a stored table's row groups
 SHORT_WORD = 32  # bytes; the hash of a longer word is no polynomial, as these have known collisions for every base
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -215,6 +218,45 @@ def written(df: DataFrame) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def stored(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None, schema: str = "") -> tuple[DataFrame, str]:
+    """df, or df.mapInArrow(work, schema), as written() has it, but with files that Python tasks write; for columns that aren't nested.
+
+    On a local file system Spark's own writers start a process (chmod) for each file, in a
+    checkpoint too, and until that runs a program of its own it has the executor's memory once
+    more. A task writes under a name of its own attempt and renames at the end, so a task that is
+    run again replaces its file whole.
+    """
+    spark = df.sparkSession
+    path = own_folder(spark, "table")
+
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = fs.FileSystem.from_uri(path)
+        part = TaskContext.get()
+        name, draft = f"{root}/part-{part.partitionId():06d}.parquet", f"{root}/_{part.partitionId()}-{part.taskAttemptId()}-{uuid.uuid4().hex}"
+        writer, held, n = None, [], 0
+        for batch in work(batches) if work else batches:
+            if writer is None:
+                writer = pq.ParquetWriter(draft, batch.schema, filesystem=files)
+            held.append(batch)
+            n += batch.num_rows
+            if n >= GROUP_ROWS:
+                writer.write_table(pa.Table.from_batches(held), GROUP_ROWS)
+                held, n = [], 0
+        if writer is not None:
+            if held:
+                writer.write_table(pa.Table.from_batches(held), GROUP_ROWS)
+            writer.close()
+            if files.get_file_info(name).type != fs.FileType.NotFound:  # of an attempt that ended but whose executor was lost
+                files.delete_file(name)
+            files.move(draft, name)
+        yield pa.RecordBatch.from_pydict({"done": [True]})
+
+    files, root = fs.FileSystem.from_uri(path)
+    files.create_dir(root, recursive=True)
+    df.mapInArrow(store, "done boolean").collect()
+    return spark.read.schema(df.mapInArrow(work, schema).schema if work else df.schema).parquet(path), path
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a table that nothing reads any more."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -111,25 +111,21 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(*identity(F.col("doc_id"), text), text.alias("text"))
 
 
-def stretches(docs: DataFrame) -> DataFrame:
-    """All stretches of all texts, without their text."""
-
-    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in kernel.pieces(batch, "text"):
-                s = Stretches.of(part.column("text"))
-                if not len(s.start):
-                    continue
-                row = pa.array(s.row)
-                begin = s.start - s.words.first[s.row]
-                body = kernel.signed(s.body)
-                columns = [
-                    pa.array(kernel.signed(s.key)), pa.array(body[:, 0]), pa.array(body[:, 1]), *(part.column(c).take(row) for c in DOCUMENT),
-                    pa.array(begin, pa.int32()), pa.array(s.windows, pa.int32()), pa.array(kernel.signed(s.before)), pa.array(kernel.signed(s.after)),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in STRETCH.split(", ")])
-
-    return keyed(docs).mapInArrow(cut_up, STRETCH)
+def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All stretches of all texts of keyed(), without their text."""
+    for batch in batches:
+        for part in kernel.pieces(batch, "text"):
+            s = Stretches.of(part.column("text"))
+            if not len(s.start):
+                continue
+            row = pa.array(s.row)
+            begin = s.start - s.words.first[s.row]
+            body = kernel.signed(s.body)
+            columns = [
+                pa.array(kernel.signed(s.key)), pa.array(body[:, 0]), pa.array(body[:, 1]), *(part.column(c).take(row) for c in DOCUMENT),
+                pa.array(begin, pa.int32()), pa.array(s.windows, pa.int32()), pa.array(kernel.signed(s.before)), pa.array(kernel.signed(s.after)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in STRETCH.split(", ")])
 
 
 def place(prefix: str = "") -> Column:
@@ -152,25 +148,30 @@ class Repeats:
 
 
 def repeats(docs: DataFrame, ways: bool = True) -> Repeats:
-    """ways: whether the kinds have the words before and after."""
+    """ways: whether the kinds have the words before and after; if so, Python tasks write the tables between."""
     around = ["before", "after"] if ways else []
-    every, path = kernel.written(stretches(docs).drop(*({"before", "after"} - {*around})))
+
+    def keep(df: DataFrame) -> tuple[DataFrame, str | None]:
+        return kernel.stored(df) if ways else (kernel.cut(df), None)
+
+    every, path = kernel.stored(keyed(docs), cut_up, STRETCH) if ways else kernel.written(keyed(docs).mapInArrow(cut_up, STRETCH).drop("before", "after"))
     # Partial aggregation leaves one row a task of a passage however many copies it has.
     body = F.struct("body", "more")
     often = every.groupBy("key").agg(F.min(place()).alias("first"), F.max(place()).alias("last"), F.min(body).alias("b0"), F.max(body).alias("b1")).where("first <> last")
-    often = kernel.cut(often.select(F.col("key").alias("often_key"), (F.col("b0") != F.col("b1")).alias("many")))
+    often, often_path = keep(often.select(F.col("key").alias("often_key"), (F.col("b0") != F.col("b1")).alias("many")))
     kernel.release(docs.sparkSession)
     some = every.join(often, F.col("key") == F.col("often_key")).drop("often_key")
     if not keyed(docs).groupBy(*DOCUMENT).count().where("count > 1").isEmpty():  # rows equal in id and text are one
         # Spread over more than the key, so that the join may split a minimizer of very many.
         some = some.repartition("key", *DOCUMENT, "start").dropDuplicates(["key", *DOCUMENT, "start"])
-    some = kernel.cut(some)
-    kernel.remove(docs.sparkSession, path)
+    some, _ = keep(some)
+    for done in filter(None, (path, often_path)):
+        kernel.remove(docs.sparkSession, done)
     kinds = some.groupBy(*KIND).agg(
         F.min(place()).alias("first"), F.count("*").alias("copies"), F.first("windows").alias("windows"), F.first("many").alias("many"),
         *(f(c).alias(f"{c}_{n}") for c in around for n, f in (("least", F.min), ("most", F.max))),
     )
-    kinds = kernel.cut(kinds.select(*KIND, "first.*", "copies", "windows", "many", *(f"{c}_{n}" for c in around for n in ("least", "most"))))
+    kinds, _ = keep(kinds.select(*KIND, "first.*", "copies", "windows", "many", *(f"{c}_{n}" for c in around for n in ("least", "most"))))
     hot = kernel.small(kinds.where("many").groupBy("key").count().where(F.col("count") > HOT_KINDS).select(F.col("key").alias("hot_key")))
     kinds = kinds.join(hot, F.col("key") == F.col("hot_key"), "left").withColumn("hot", F.col("hot_key").isNotNull()).drop("hot_key")
     found = Repeats(some.select(*KIND, *DOCUMENT, "start", "windows"), kinds)

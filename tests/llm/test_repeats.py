@@ -1,5 +1,7 @@
 import re
+import tracemalloc
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -147,6 +149,45 @@ def test_collisions_are_seen(words, monkeypatch):
     assert label[0] != label[3] and label[0] == label[6] and label[1] != label[0]
 
 
+def test_compaction_takes_some_kinds_at_a_time(words):
+    """Memory goes by KINDS, not by the rows that come at once; a minimizer stays whole."""
+    n = 6000
+    key = np.repeat(np.arange(n // 2), 2)  # two kinds each, with the first 60 of 70 words in common
+    text = [f"{words(k, 60)} {words(n + i, 10)}".encode() for i, k in enumerate(key.tolist())]
+    numbers = {c: np.arange(1, n + 1) for c in ("body", *debruijn.WAYS)}
+    fixed = {"no_id": np.zeros(n, bool), "id": np.arange(n), **{c: np.zeros(n, np.int64) for c in ("more", "text_key")}, "copies": np.ones(n, np.int64)}
+    t = pa.table({"key": key, **numbers, **fixed, **{c: np.full(n, v, np.int32) for c, v in (("start", 0), ("windows", 21), ("at", 30))}, "words": pa.array(text, pa.binary())})
+    peaks, found = [], []
+    for work in (debruijn.compact_each, lambda t: [debruijn.compact(t)]):
+        tracemalloc.start()
+        found.append(pa.Table.from_batches(list(work(t))))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert found[0].num_rows == n and found[0] == found[1]
+    assert peaks[0] < peaks[1] / 3
+
+
+def test_tables_between_start_no_processes(spark, corpus):
+    """Spark's writers start a process for each file on a local file system, and leave a .crc beside it; of these there is only that of the hot minimizers."""
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = {*shared.rglob(".*.crc")}
+    assert debruijn.repeated_spans(frame(spark, corpus)).count() > 10
+    assert len({p.parent for p in {*shared.rglob(".*.crc")} - before}) <= 1
+
+
+def test_stored(spark, empty, monkeypatch):
+    """Tables of several row groups, tasks without rows, and no rows at all."""
+    monkeypatch.setattr(kernel, "GROUP_ROWS", 3)
+    df = spark.range(0, 40_000, 1, 3).select("id", (F.col("id") % 2 == 0).alias("even"), F.when(F.col("id") > 5, F.col("id").cast("int")).alias("some"), F.lit(None).cast("string").alias("none"))
+    for rows in (df, df.where("id < 7"), df.where("id < 0"), empty):
+        table, path = kernel.stored(rows)
+        assert table.dtypes == rows.dtypes and sorted(table.collect(), key=str) == sorted(rows.collect(), key=str)
+        assert not [p for p in Path(path.removeprefix("file://")).iterdir() if p.name.startswith("_")]
+        kernel.remove(spark, path)
+    table, _ = kernel.stored(df.select("id"), lambda batches: (b.slice(0, 1) for b in batches), "id long")
+    assert 3 <= table.count() < 40 and table.columns == ["id"]
+
+
 def thue_morse(n):
     return "".join("ab"[i.bit_count() & 1] for i in range(n))
 
