@@ -52,17 +52,17 @@ def repair_plan(pages: DataFrame) -> DataFrame:
     number reaches them.
     """
     said = text.stored_page_number(F.col("original_filename"))
-    # By document once: windows within a document and a number need no other partitioning.
-    marked = pages.withColumn("said", said).withColumn("too_large", text.too_large_number(F.col("original_filename"), F.col("said"))).repartition("document_id")
-    marked = marked.withColumn("moves", F.coalesce(F.col("said") != F.col("page_number"), F.lit(False)))
-    document = Window.partitionBy("document_id")
-    marked = marked.withColumn("final", F.when(F.col("moves"), F.col("said")).otherwise(F.col("page_number")))
-    marked = marked.withColumn("same_final", F.count("*").over(Window.partitionBy("document_id", "final"))).withColumn("moving", F.count_if("moves").over(document))
+    marked = pages.withColumn("said", said).withColumn("too_large", text.too_large_number(F.col("original_filename"), F.col("said")))
+    moves = F.coalesce(F.col("said") != F.col("page_number"), F.lit(False))
+    # Moved and sorted once, by document and number, which suits the windows of both; what they need is computed above the sort, so that it holds no more than the pages.
+    marked = marked.repartition("document_id").withColumn("final", F.when(moves, F.col("said")).otherwise(F.col("page_number"))).sortWithinPartitions("document_id", "final")
+    number, document = Window.partitionBy("document_id", "final"), Window.partitionBy("document_id")
+    marked = marked.withColumn("clash", (F.count("*").over(number) > 1) & (F.max(moves.cast("int")).over(number) == 1))
+    marked = marked.withColumns({"bad": F.max((F.col("clash") | F.col("too_large")).cast("int")).over(document), "moving": F.count_if(moves).over(document), "nearest": F.min(F.when(F.col("final") >= TEMPORARY, F.col("final"))).over(document)})
     # A temporary number clashes with a page that stays, or with a final number set while it is still in use.
-    into_temporary = (F.col("final") >= TEMPORARY) & (F.col("final") < F.col("moving") + TEMPORARY)
-    bad = ((F.col("same_final") > 1) & (F.max(F.when(F.col("moves"), 1)).over(Window.partitionBy("document_id", "final")) == 1)) | F.col("too_large") | (into_temporary & (F.col("moving") > 0))
-    marked = marked.withColumn("blocked", F.max(bad.cast("int")).over(document) == 1)
-    action = F.when(F.col("said").isNull(), "no_number").when(~F.col("moves"), "same").when(F.col("blocked"), "conflict").otherwise("update")
+    into_temporary = (F.col("moving") > 0) & (F.col("nearest") < F.col("moving") + TEMPORARY)
+    blocked = (F.col("bad") == 1) | into_temporary
+    action = F.when(F.col("said").isNull(), "no_number").when(~moves, "same").when(blocked, "conflict").otherwise("update")
     return marked.select("id", "document_id", "page_number", "original_filename", "said", action.alias("action"))
 
 

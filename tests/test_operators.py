@@ -72,6 +72,23 @@ def test_repair(spark):
     assert {r.action for r in swap.collect()} == {"update"}
 
 
+def test_repair_sorts_once(spark):
+    """Windows of a document and of its numbers share one sort, so a task holds its pages once."""
+    d = "id int, document_id int, page_number int, original_filename string"
+    rows = [(1, 1, 5, "001_a.pdf"), (2, 1, 10000, "x.pdf"), (3, 2, 5, "001_a.pdf"), (4, 2, 10001, "x.pdf"), (5, 3, 5, "001_a.pdf"), (6, 3, 6, "002_b.pdf"), (7, 3, 10001, "x.pdf"), (8, 4, 5, "10000_a.pdf")]
+    rows += [(9, 5, None, "001_a.pdf"), (10, 5, 2, None), (11, 5, 3, "004_a.pdf"), (12, 5, None, None), (13, None, 7, "008_a.pdf"), (14, 6, 1, None), (15, 6, 2, "001_a.pdf"), (16, 7, 10000, "x.pdf"), (17, 7, 3, "003_a.pdf")]
+    plan = numbering.repair_plan(spark.createDataFrame(rows, d))
+    update = {3, 11, 13}
+    conflict = {1, 5, 6, 8, 15}
+    same = {9, 17}
+    assert {r.id: r.action for r in plan.collect()} == {i: "update" if i in update else "conflict" if i in conflict else "same" if i in same else "no_number" for i in range(1, 18)}
+    listed = numbering.moves_by_document(plan)
+    assert sorted((r.document_id or 0, [tuple(m) for m in r.moves]) for r in listed.collect()) == [(0, [(7, 8)]), (2, [(5, 1)]), (5, [(3, 4)])]
+    for df in (plan, listed):
+        physical = df._jdf.queryExecution().executedPlan().initialPlan().toString()
+        assert physical.count("- Sort [") == 1 and physical.count("- Window [") == 2
+
+
 def test_kin(spark):
     people = spark.createDataFrame([(1, "Anna", "Jansen", "de Vries"), (2, "Jan", "Bakker", ""), (3, "Piet", "Bakker", "")], "id long, given_names string, surname string, maiden_name string")
     own = spark.createDataFrame([(7, "m"), (8, "m")], "id long, partnership_type string")
